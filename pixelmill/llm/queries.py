@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import common, simhash
+from . import common, simhash, suffix
+
+
+def op7_suffix(spark, sf_dir):
+    return suffix.repeat_digests(common.read(spark, sf_dir, "documents"), length=100)
 
 
 def op8_simhash(spark, sf_dir):
@@ -13,6 +17,7 @@ def op8_simhash(spark, sf_dir):
 
 
 QUERIES = {
+    "op7_suffix": op7_suffix,
     "op8_simhash": op8_simhash,
 }
 
