@@ -4,7 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import common, simhash, suffix
+from . import common, mixing, ppm, simhash, suffix
+
+
+def op4_ppm(spark, sf_dir):
+    docs = common.read(spark, sf_dir, "documents")
+    model = ppm.train(docs.where(~ppm.held_out(F.col("doc_id"))))
+    found = ppm.predict(docs, model)
+    return found.select("doc_id", ppm.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op5_mixing(spark, sf_dir):
+    found = mixing.mix(common.read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op7_suffix(spark, sf_dir):
@@ -17,6 +29,8 @@ def op8_simhash(spark, sf_dir):
 
 
 QUERIES = {
+    "op4_ppm": op4_ppm,
+    "op5_mixing": op5_mixing,
     "op7_suffix": op7_suffix,
     "op8_simhash": op8_simhash,
 }
