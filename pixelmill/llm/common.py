@@ -137,3 +137,26 @@ class Rolling:
 
 def total_bytes(docs: DataFrame, text_col: str) -> int:
     return docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_IN_WORD = np.zeros(256, bool)
+_IN_WORD[48:58] = _IN_WORD[65:91] = _IN_WORD[97:123] = True
+_IN_WORD[128:] = True
+
+
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of texts (runs of ASCII letters, digits and bytes over 127;
+    A-Z read as a-z) in order, and the len + 1 offsets of each text's words."""
+    inside = _IN_WORD[data]
+    begins, ends = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1]
+    ends[:-1] &= ~inside[1:]
+    edges = offsets[1:-1]
+    edges = edges[(edges > 0) & (edges < len(data))]
+    begins[edges] = inside[edges]
+    ends[edges - 1] = inside[edges - 1]
+    start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    hashed = Rolling(_LOWER[data]).spans(start, end) if len(start) else np.zeros(0, np.uint64)
+    return hashed, np.searchsorted(start, offsets)

@@ -4,7 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import common, mixing, ppm, simhash, suffix
+from . import chat, common, decontaminate, mixing, ppm, simhash, suffix
+
+
+def op3_chat(spark, sf_dir):
+    rows = common.read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    probe = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat.conversation_digests(rows.unionAll(probe))
 
 
 def op4_ppm(spark, sf_dir):
@@ -28,11 +35,17 @@ def op8_simhash(spark, sf_dir):
     return found.select("doc_id", simhash.hex_fingerprint("fp").alias("fingerprint"), "component_id")
 
 
+def op9_decontaminate(spark, sf_dir):
+    return decontaminate.contaminated(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
+    "op3_chat": op3_chat,
     "op4_ppm": op4_ppm,
     "op5_mixing": op5_mixing,
     "op7_suffix": op7_suffix,
     "op8_simhash": op8_simhash,
+    "op9_decontaminate": op9_decontaminate,
 }
 
 ORACLE_SQL: dict[str, str] = {}
