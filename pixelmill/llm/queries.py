@@ -4,7 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, common, decontaminate, mixing, ppm, simhash, suffix
+from . import chat, common, decontaminate, licenses, mixing, ppm, quality, simhash, suffix
+
+
+def op1_licenses(spark, sf_dir):
+    found = licenses.scan(common.read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def op2_quality(spark, sf_dir):
+    found = quality.apply_rules(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "labels"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rules")
 
 
 def op3_chat(spark, sf_dir):
@@ -40,6 +50,8 @@ def op9_decontaminate(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_licenses": op1_licenses,
+    "op2_quality": op2_quality,
     "op3_chat": op3_chat,
     "op4_ppm": op4_ppm,
     "op5_mixing": op5_mixing,
