@@ -64,7 +64,7 @@ def scan(
     text_col: str = "text",
     phrases: dict[str, str] | None = None,
     notices: dict[str, str] | None = None,
-    least_share: float = 0.8,
+    least_share: float = 0.85,
     gap: int = 3,
 ) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans).

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, common, decontaminate, licenses, mixing, ppm, quality, simhash, suffix
+from . import chat, common, decontaminate, licenses, mixing, ppm, pseudo, quality, simhash, suffix, weak
 
 
 def op1_licenses(spark, sf_dir):
@@ -36,6 +36,10 @@ def op5_mixing(spark, sf_dir):
     return found.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_pseudo(spark, sf_dir):
+    return pseudo.score(common.read(spark, sf_dir, "documents"))
+
+
 def op7_suffix(spark, sf_dir):
     return suffix.repeat_digests(common.read(spark, sf_dir, "documents"), length=100)
 
@@ -49,15 +53,21 @@ def op9_decontaminate(spark, sf_dir):
     return decontaminate.contaminated(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "benchmark"))
 
 
+def op10_weak(spark, sf_dir):
+    return weak.classify(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_licenses": op1_licenses,
     "op2_quality": op2_quality,
     "op3_chat": op3_chat,
     "op4_ppm": op4_ppm,
     "op5_mixing": op5_mixing,
+    "op6_pseudo": op6_pseudo,
     "op7_suffix": op7_suffix,
     "op8_simhash": op8_simhash,
     "op9_decontaminate": op9_decontaminate,
+    "op10_weak": op10_weak,
 }
 
 ORACLE_SQL: dict[str, str] = {}
