@@ -180,7 +180,9 @@ def _score(model_of):
                 own = letters[i:j]
                 pred[i:j][own] = np.array(model.langs, object)[best[own]]
                 score[i:j][own] = share[own]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score)], names=["key", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(pred, pa.string()), pa.array(score)], names=["key", "text", "lang_pred", "score"]
+            )
 
     return run
 
@@ -191,11 +193,25 @@ def predict(docs: DataFrame, model: Model | None, *, key_cols: tuple[str, ...] =
     A null text, one without a letter, or no model at all: ``und`` with score 0.
     Every row gets its own result, from its text alone.
     """
+    found = _predicted(docs, model, list(key_cols), text_col)
+    return found.select("key.*", "lang_pred", "score")
+
+
+def _predicted(docs: DataFrame, model: Model | None, key_cols: list[str], text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.struct(*key_cols).alias("key"), text.alias("text"), text.rlike("\\p{L}").alias("letters"))
     if model is None:
-        return rows.select("key.*", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+        return rows.select("key", "text", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = rows.schema["key"].dataType.simpleString()
-    found = rows.mapInArrow(_score(shared), f"key {kind}, lang_pred string, score double")
-    return found.select("key.*", "lang_pred", "score")
+    return rows.mapInArrow(_score(shared), f"key {kind}, text string, lang_pred string, score double")
+
+
+def keep_known(docs: DataFrame, model: Model | None, *, text_col: str = "text", least_score: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose text has a language: not ``und``, and scored ``least_score`` or more.
+
+    Columns pass unchanged; nothing is shuffled.
+    """
+    others = [c for c in docs.columns if c != text_col]
+    found = _predicted(docs, model, others, text_col).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score))
+    return found.select(*[F.col("text").alias(c) if c == text_col else F.col("key")[c].alias(c) for c in docs.columns])
