@@ -1,8 +1,8 @@
 """All registered queries of the raster engine: Spark plans and their DuckDB oracles.
 
 Effects are written once against ``Rel``; a query runs them on Spark, its oracle is
-the same chain as DuckDB SQL. Error diffusion, tracing and other serial work has its
-own numpy code on Spark and an independent SQL oracle, or tests against brute force.
+the same chain as DuckDB SQL. Error diffusion, tracing and other other serial work has
+its own numpy code on Spark and an independent SQL oracle, or tests against brute force.
 """
 
 from __future__ import annotations
@@ -83,7 +83,7 @@ def run_effect(src, id: str, params: dict | None = None):
 
 def _pairs() -> dict:
     """name -> function of a source, for both engines."""
-    out = {f"fx_{id.replace('-', '_')}": (lambda src, id=id: run_effect(src, id)) for id, e in EFFECTS.items() if e.access != "serial"}
+    out = {f"fx_{id.replace('-', '_')}": (lambda src, id=id: run_effect(src, id)) for id in EFFECTS}
     from pixelmill import extras
 
     return out | extras.PAIRS
