@@ -7,7 +7,7 @@ its own numpy code on Spark and an independent SQL oracle, or tests against brut
 
 from __future__ import annotations
 
-from pixelmill.operators import diffusion, dithers, generators, pointwise, spatial  # noqa: F401  (register effects)
+from pixelmill.operators import compositing, diffusion, dithers, generators, pointwise, spatial  # noqa: F401  (register effects)
 from pixelmill.operators.context import Context
 from pixelmill.operators.palettes import Palette
 from pixelmill.operators.registry import EFFECTS, apply

@@ -1,5 +1,225 @@
-"""Queries beyond single effects."""
+"""Queries beyond single effects: compositing, palettes, animation, census, tracing, tables as rasters."""
 
-PAIRS: dict = {}
+from __future__ import annotations
+
+from pixelmill.functions import color
+from pixelmill.operators import animation, census, compositing, dithers, palettes
+from pixelmill.operators.context import Context
+from pixelmill.operators.palettes import Palette
+from pixelmill.operators.registry import EFFECTS, apply
+from pixelmill.plans.rel import SparkRel
+from pixelmill.sources import rasters
+from pixelmill.sources.rasters import emb8, result
+
+
+def dithered(src, palette="game-boy"):
+    return apply(emb8(src), "bayer-4", {}, Context(src, Palette.of(palette)))
+
+
+def blend_modes(src):
+    base = emb8(src)
+    top = apply(base, "invert", {"amount": 0.9})
+    out = None
+    for mode in compositing.BLENDS:
+        own = result(compositing.composite(base, top, mode, 0.7)).let(mode=f"'{mode}'")
+        out = own if out is None else out.union(own)
+    return out
+
+
+def _masked(mask):
+    def run(src):
+        base = emb8(src)
+        top = apply(base, "posterize", {"levels": 2})
+        return result(compositing.composite(base, top, "multiply", 0.8, mask, base))
+
+    return run
+
+
+def sequence(src, n=4):
+    """Four embeddings in a row as the frames of one image."""
+    rel = emb8(src)
+    return rel.let(frame=f"image_id % {n}", image_id=rel.d.div("image_id", n)).where("image_id >= 0")
+
+
+def feedback_loop(src):
+    ctx = Context(src)
+    ctx.frames = 4
+    return result(apply(sequence(src), "feedback", {"decay": 0.8, "offsetX": 0.5, "rotate": 0.03, "blend": "lighten"}, ctx))
+
+
+def palette_match(metric):
+    def run(src):
+        return palettes.nearest(emb8(src), Palette.of("cga-16", metric)).let(idx="cast(idx as int)").keep("image_id", "x", "y", "idx")
+
+    return run
+
+
+def palette_remap(src):
+    """Indices after sorting the palette by luminance: the inverse permutation, joined as a table."""
+    p = Palette.of("cga-16")
+    _, inverse = p.reordered(p.sort_order("luminance"))
+    table = src.values(["idx", "new_idx"], list(enumerate(inverse)))
+    rel = palettes.nearest(emb8(src), p).let(idx="cast(idx as bigint)")
+    return rel.join(table, ["idx"]).keep("image_id", "x", "y", "idx", "new_idx")
+
+
+def populations(src):
+    return dithered(src).group(["idx"], pixels="count(*)").let(rank="row_number() over (order by pixels desc, idx)")
+
+
+def gradient_noise(src):
+    """Interleaved gradient noise over a canvas."""
+    rel = rasters.blank(src, 64, 48)
+    v = color.fract(f"(52.9829189 * {color.fract('(0.06711056 * x + 0.00583715 * y)')})")
+    return rel.let(value=f"round({v}, 6)").keep("x", "y", "value")
+
+
+BINDINGS = [
+    {"shape": s, "cycles": k + 1, "phase": 0.1 * k, "base": 2.0, "amount": 1.5, "legal": (0.0, 3.2), "seed": 40 + k, "bipolar": k % 2 == 0, "kind": "int" if k == 3 else "float"}
+    for k, s in enumerate(animation.SHAPES)
+]
+TEMPORAL = {
+    "static": {},
+    "per-frame-reseed": {"base": 5},
+    "hold-k": {"base": 5, "hold": 4},
+    "ping-pong": {"base": 5, "hold": 3},
+    "blue-noise-cycle": {"period": 64},
+    "bayer-offset-scroll": {"cells": (8, 16)},
+    "ign-scroll": {"cells": (5, 7)},
+    "bayer-rotation": {"turns": 2},
+    "golden-ratio-rotation": {},
+}
+
+
+def modulators(src):
+    return animation.modulated(src, BINDINGS, 48).let(value="round(value, 6) + 0.0")
+
+
+def temporal_modes(src):
+    out = None
+    for mode, v in TEMPORAL.items():
+        own = animation.temporal(src, mode, 24, **v).let(mode=f"'{mode}'", ox="ox + 0.0", oy="oy + 0.0", turns="round(turns, 6) + 0.0")
+        out = own if out is None else out.union(own)
+    return out
+
+
+def keyframes(src):
+    return animation.keyframed(src, [(3, 1.0, "linear"), (9, 4.0, "ease-in-out"), (14, -2.0, "hold"), (20, 0.5, "ease-out")], 24).let(value="round(value, 6) + 0.0")
+
+
+def animated_levels(src):
+    """A bound parameter: frames are added only where the first animated node begins."""
+    gammas = animation.modulated(src, [{"shape": "sine", "cycles": 1, "base": 1.0, "amount": 0.5, "legal": (0.1, 9.99)}], 6)
+    still = emb8(src)  # frame-invariant, computed once
+    rel = still.explode("frame", still.d.ints(0, 5)).let(frame="cast(frame as bigint)").join(gammas.keep("frame", "value"), ["frame"])
+    rel = rel.let(**{c: color.decode(f"pow({color.clamp(color.encode(c))}, 1.0 / value)") for c in "rgb"})
+    return result(rel.drop("value"))
+
+
+def flatten_on_matte(src):
+    return result(compositing.flatten(emb8(src).let(a="(r + g) / 2.0"), (0.2, 0.4, 0.6)))
+
+
+def loop_palette(src):
+    rel = census.rgba8(apply(sequence(src).drop("frame"), "bayer-4", {}, Context(src, Palette.of("cga-16"))))
+    return rel.group(["cr", "cg", "cb"], pixels="count(*)")
+
+
+def regions(src):
+    rel = dithered(src, "mono")
+    return census.regions_spark(rel) if isinstance(rel, SparkRel) else census.regions_duck(rel)
+
+
+def small_features(src):
+    """Regions of fewer than four pixels: what a trace with that minimum drops."""
+    return regions(src).where("area < 4").group(["image_id"], dropped="count(*)", pixels="sum(area)").let(pixels="cast(pixels as bigint)")
+
+
+def order_strips(src):
+    """Colour strips of all orders, levelled and indexed; how often each colour occurs."""
+    rel = apply(rasters.li_rgb(src), "levels", {"gamma": 1.4})
+    rel = palettes.nearest(rel, Palette.of("cga-16"))
+    return rel.group(["idx"], pixels="count(*)", orders="count(distinct image_id)")
+
+
+def event_raster(src):
+    rel = apply(rasters.ev_time(src), "bayer-8", {}, Context(src))
+    return result(rel)
+
+
+def catalogue_search(src, words=("noise", "dis", "edge")):
+    """Effects that match every word: a whole word of the id 1, a beginning 0.7, a part 0.4."""
+    rows = [(id, e.slot, w) for id, e in sorted(EFFECTS.items()) for w in id.split("-")]
+    rel = src.values(["id", "slot", "word"], rows)
+    out = None
+    for q in words:
+        n = len(q)
+        score = f"case when word = '{q}' then 1.0 when substring(word, 1, {n}) = '{q}' then 0.7 when word like '%{q}%' then 0.4 else 0.0 end"
+        own = rel.let(score=score).group(["id", "slot"], score="max(score)").where("score > 0.0")
+        own = own.let(query=f"'{q}'", rank="row_number() over (order by score desc, id)")
+        out = own if out is None else out.union(own)
+    return out
+
+
+def batch_plan(src):
+    """Output names of a batch by template, and which of them collide regardless of case."""
+    rel = src.table("part", "p_partkey", "p_name", "p_brand")
+    rel = rel.let(name="concat(lower(replace(p_name, ' ', '_')), '-', p_brand, '.png')")
+    rel = rel.let(same="lower(name)").let(copies="count(*) over (partition by same)")
+    return rel.let(status="case when copies > 1 then 'collision' else 'ok' end").keep("p_partkey", "name", "status")
+
+
+def fixtures(src):
+    out = None
+    for name in ("linear-ramp", "radial-gradient", "colour-wheel", "hard-edge-chart", "flat-mid-grey"):
+        own = result(rasters.fixture(src, name)).let(fixture=f"'{name}'")
+        out = own if out is None else out.union(own)
+    return out
+
+
+def blue_tile(src):
+    """The rank tile itself: a permutation of 0 .. 4095."""
+    return src.values(["place", "rank"], list(enumerate(dithers.blue_noise_ranks())))
+
+
+def output_modes(src):
+    """RGB levels as a palette: every combination of evenly spaced codes."""
+    levels = src.ints("i", 4 * 4 * 2)
+    d = levels.d
+    return levels.let(cr=f"{d.div('i', 8)} * 85", cg=f"{d.div('i', 2)} % 4 * 85", cb="i % 2 * 255")
+
+
+PAIRS = {
+    "blend_modes": blend_modes,
+    "mask_luminance": _masked({"kind": "luminance", "low": 0.2, "high": 0.7, "feather": 0.1}),
+    "mask_color": _masked({"kind": "color", "color": (200, 120, 90), "tolerance": 0.1, "feather": 0.2, "invert": True}),
+    "mask_image": _masked({"kind": "image", "channel": "green"}),
+    "feedback_loop": feedback_loop,
+    "palette_match_oklab": palette_match("oklab"),
+    "palette_match_srgb": palette_match("srgb"),
+    "palette_remap": palette_remap,
+    "palette_populations": populations,
+    "palette_histogram": lambda src: census.histogram(emb8(src)),
+    "palette_output_modes": output_modes,
+    "noise_interleaved_gradient": gradient_noise,
+    "noise_blue_tile": blue_tile,
+    "animation_modulators": modulators,
+    "animation_temporal_modes": temporal_modes,
+    "animation_keyframes": keyframes,
+    "animation_bound_levels": animated_levels,
+    "census_colours": lambda src: census.colour_census(dithered(src)),
+    "census_loop_palette": loop_palette,
+    "census_changed_rectangle": lambda src: census.changed_rectangle(sequence(src)),
+    "flatten_on_matte": flatten_on_matte,
+    "trace_runs": lambda src: census.runs(dithered(src, "mono")),
+    "trace_regions": regions,
+    "trace_small_features": small_features,
+    "raster_orders": order_strips,
+    "raster_events": event_raster,
+    "raster_fixtures": fixtures,
+    "catalogue_search": catalogue_search,
+    "batch_plan": batch_plan,
+}
 SPARK_QUERIES: dict = {}
 ORACLES: dict = {}
+

@@ -14,3 +14,4 @@ class Context:
     sides: tuple[int, ...] = (8,)
     tile: object = None
     tile_size: tuple[int, int] = (0, 0)
+    frames: int = 1

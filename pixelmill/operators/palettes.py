@@ -91,7 +91,7 @@ def _distances(rel, palette: Palette, of):
 
 def _first_least(names, values, least) -> str:
     arms = " ".join(f"when {v} <= {least} then {i}" for i, v in zip(names, values, strict=True))
-    return f"(case {arms} end)"
+    return f"coalesce(case {arms} end, 0)"  # never null: a null check on it would repeat its whole formula
 
 
 def nearest(rel, palette: Palette, of=color.RGB, name="idx"):
