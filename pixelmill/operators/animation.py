@@ -131,7 +131,7 @@ def keyframed(src, keys: list[tuple[int, float, str]], n: int):
         f0=f"{ignore(last, 'kf')} {back}", v0=f"{ignore(last, 'value')} {back}", e0=f"{ignore(last, 'easing')} {back}",
         f1=f"{ignore(last, 'kf')} {ahead}", v1=f"{ignore(last, 'value')} {ahead}",
     )
-    both = both.where("is_key = 0").let(u="cast(frame - f0 as double) / (f1 - f0)")
+    both = both.where("is_key = 0").let(u="cast(frame - f0 as double) / nullif(f1 - f0, 0)")
     ease = "case e0 " + " ".join(f"when '{k}' then {v}" for k, v in EASINGS.items()) + " end"
     return both.let(value=f"v0 + (v1 - v0) * ({ease}) + 0.0").keep("frame", "value")
 
