@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pixelmill.functions import color
-from pixelmill.operators import animation, census, compositing, dithers, palettes
+from pixelmill.operators import animation, census, compositing, dithers, extract, palettes
 from pixelmill.operators.context import Context
 from pixelmill.operators.palettes import Palette
 from pixelmill.operators.registry import EFFECTS, apply
-from pixelmill.plans.rel import SparkRel
+from pixelmill.plans import document
+from pixelmill.plans.rel import Spark, SparkRel
 from pixelmill.sources import rasters
 from pixelmill.sources.rasters import emb8, result
 
@@ -189,7 +190,32 @@ def output_modes(src):
     return levels.let(cr=f"{d.div('i', 8)} * 85", cg=f"{d.div('i', 2)} % 4 * 85", cb="i % 2 * 255")
 
 
+DOCUMENT = """{"stack": [
+  {"id": "tone", "effect": "levels", "params": {"gamma": 1.3}},
+  {"id": "off", "effect": "invert", "enabled": false},
+  {"id": "soft", "effect": "blur", "params": {"radius": 1.0}, "opacity": 0.6, "blend": "screen",
+   "mask": {"kind": "luminance", "low": 0.1, "high": 0.8, "feather": 0.1}},
+  {"id": "dither", "effect": "bayer-4"},
+  {"id": "line", "effect": "outline", "params": {"targetIndex": 2, "colorIndex": 0}},
+  {"id": "unused", "effect": "grain"}],
+ "edges": [{"from": "tone", "to": "off"}, {"from": "off", "to": "soft"}, {"from": "soft", "to": "dither"},
+  {"from": "dither", "to": "line"}, {"from": "tone", "to": "unused"}],
+ "output": "line"}"""
+
+
+def document_render(src):
+    return result(document.plan(document.Document.parse(DOCUMENT), emb8(src), Context(src)))
+
+
+def _extracted(method):
+    def run(spark, sf_dir):
+        return extract.extract(emb8(Spark(spark, sf_dir)), 4, method).df
+
+    return run
+
+
 PAIRS = {
+    "document_render": document_render,
     "blend_modes": blend_modes,
     "mask_luminance": _masked({"kind": "luminance", "low": 0.2, "high": 0.7, "feather": 0.1}),
     "mask_color": _masked({"kind": "color", "color": (200, 120, 90), "tolerance": 0.1, "feather": 0.2, "invert": True}),
@@ -220,6 +246,6 @@ PAIRS = {
     "catalogue_search": catalogue_search,
     "batch_plan": batch_plan,
 }
-SPARK_QUERIES: dict = {}
+SPARK_QUERIES: dict = {f"palette_extract_{m.replace('-', '_')}": _extracted(m) for m in extract.METHODS}
 ORACLES: dict = {}
 
