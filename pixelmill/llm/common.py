@@ -11,7 +11,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Characters that separate words in most contracts: space, \t \n \v \f \r.
 SPACES = " \t\n\x0b\f\r"
@@ -135,10 +134,6 @@ class Rolling:
         return mix64((self.prefix[end] - self.prefix[start]) * self.inverse[start] + mix64((end - start).astype(np.uint64)))
 
 
-def total_bytes(docs: DataFrame, text_col: str) -> int:
-    return docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-
-
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IN_WORD = np.zeros(256, bool)

@@ -28,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, Rolling, Table, blocks, mix64, text_buffer, total_bytes
+from .common import NULL_ID, Rolling, Table, blocks, mix64, text_buffer
 
 PLACE_BITS = 24
 PLACE = np.uint64((1 << PLACE_BITS) - 1)
-BLOCK, SEGMENT, BATCH = 1_500_000, 8_000_000, 16_000_000
+BLOCK, SEGMENT, BATCH = 1_000_000, 8_000_000, 16_000_000
 #: Bytes of text whose records make one reducer's group.
 PER_BUCKET = 24_000_000
 DIGITS = "bucket int, kind int, a binary, b binary, id binary, h binary, s binary, n binary"
@@ -245,7 +245,7 @@ def _third_digits(length: int):
                     p = np.unique(_expand(s1 - low, n1))
                     rows.append((w[p], np.full(len(p), ids[i]), np.full(len(p), hs[i]), p + low))
                     held += len(p)
-                if held >= 400_000:
+                if held >= 250_000:
                     yield flush(rows)
                     rows, held = [], 0
         if rows:
@@ -254,20 +254,31 @@ def _third_digits(length: int):
     return run
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, h, text): rows with one id are told apart by their texts; equal rows count as one document."""
-    return docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"),
-        F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).bitwiseAND(F.lit(2**31 - 1)).cast("int").alias("h"),
-        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-    )
+def document_key(docs: DataFrame, id_col: str, text_col: str) -> tuple:
+    """(id, h, bytes of all texts): rows with one id are told apart by a hash of their texts.
 
+    Equal rows count as one document. Where no id has two texts h is 0, which keeps
+    it out of the shuffles.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    h = F.xxhash64(text).bitwiseAND(F.lit(2**31 - 1)).cast("int")
+    ids = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
+    by_id = docs.select(ids.alias("id"), h.alias("h"), F.octet_length(text).cast("long").alias("n")).groupBy("id")
+    seen = by_id.agg(F.min("h").alias("low"), F.max("h").alias("high"), F.sum("n").alias("n"))
+    size, apart = seen.agg(F.sum("n"), F.max(F.col("low") != F.col("high"))).first()
+    return ids, h if apart else F.lit(0), size or 0
+
+
+def keyed(docs: DataFrame, key: tuple, text_col: str) -> DataFrame:
+    """(id, h, text)."""
+    return docs.select(key[0].alias("id"), key[1].alias("h"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
-def repeated_ranges(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 100, gram: int = 36) -> DataFrame:
+
+def repeated_ranges(docs: DataFrame, key: tuple, *, text_col: str = "text", length: int = 100, gram: int = 36) -> DataFrame:
     """(id, h, ranges): for each document with any, the starts s .. s + n - 1 of strings of
     ``length`` bytes that also start earlier (smaller id, or the same document and an earlier start)."""
-    texts = keyed(docs, id_col, text_col)
-    bits = max(4, int(total_bytes(docs, text_col) // PER_BUCKET).bit_length())
+    texts = keyed(docs, key, text_col)
+    bits = max(4, int(key[2] // PER_BUCKET).bit_length())
     records = texts.mapInArrow(_first_passes(length, gram, bits), DIGITS)
     split = Table(records.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_second_pass, RANGES)).df
     open_ = split.where("kind = 0").groupBy("id", "h").agg(F.collect_list(F.struct("s", "n")).alias("ranges"))
@@ -279,36 +290,42 @@ def repeated_ranges(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def _covered(size: int, at: np.ndarray, lists, length: int) -> np.ndarray:
-    """Which bytes of a batch's texts the ranges cover."""
-    change = np.zeros(size + 1, np.int64)
+    """Which bytes of some texts the ranges cover."""
+    change = np.zeros(size + 1, np.int32)
     bounds = np.asarray(lists.offsets)
     row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     s, n = (np.asarray(lists.values.field(k))[bounds[0] : bounds[-1]] for k in (0, 1))
     np.add.at(change, at[row] + s, 1)
     np.add.at(change, at[row] + s + n - 1 + length, -1)
-    return np.cumsum(change[:-1]) > 0
+    return np.cumsum(change[:-1], dtype=np.int32) > 0
+
+
+def _blocks_with_ranges(batch, text: int, ranges: int, length: int):
+    """(rows, bytes, offsets, covered) of about BLOCK bytes at once, so that memory follows BLOCK, not the batch."""
+    data, at = text_buffer(batch.column(text))
+    lists = _filled(batch.column(ranges))
+    for i, j in blocks(at, BLOCK):
+        own, o = data[at[i] : at[j]], at[i : j + 1] - at[i]
+        yield range(i, j), own, o, _covered(len(own), o[:-1], lists.slice(i, j - i), length)
 
 
 def _digests(length: int):
     def run(batches):
         for batch in batches:
-            data, at = text_buffer(batch.column(1))
-            gone = _covered(len(data), at[:-1], _filled(batch.column(2)), length)
-            before = np.concatenate(([0], np.cumsum(gone)))
-            begins = gone.copy()
-            begins[1:] &= ~gone[:-1]
-            inner = at[:-1][(at[:-1] < len(data))]
-            begins[inner] = gone[inner]
-            spans = np.concatenate(([0], np.cumsum(begins)))
-            removed = before[at[1:]] - before[at[:-1]]
-            digests = []
-            for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
-                left = data[a:b] if not removed[i] else data[a:b][~gone[a:b]]
-                digests.append(hashlib.sha256(left).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.diff(at)), pa.array(removed), pa.array(spans[at[1:]] - spans[at[:-1]]), pa.array(digests)],
-                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
-            )
+            size, removed, runs_, digests = [], [], [], []
+            for _, data, at, gone in _blocks_with_ranges(batch, 1, 2, length):
+                begins = gone.copy()
+                begins[1:] &= ~gone[:-1]
+                inner = at[:-1][at[:-1] < len(data)]
+                begins[inner] = gone[inner]
+                for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    lost = int(np.count_nonzero(gone[a:b]))
+                    size.append(b - a)
+                    removed.append(lost)
+                    runs_.append(int(np.count_nonzero(begins[a:b])))
+                    digests.append(hashlib.sha256(data[a:b][~gone[a:b]] if lost else data[a:b]).hexdigest())
+            columns = [batch.column(0), *(pa.array(c, pa.int64()) for c in (size, removed, runs_)), pa.array(digests, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     return run
 
@@ -331,8 +348,9 @@ def repeat_digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     one document and get the same result each; the same id with other texts are
     documents of their own, in the order of a hash. Other columns are not read.
     """
-    ranges = repeated_ranges(docs, id_col=id_col, text_col=text_col, length=length, gram=gram)
-    texts = keyed(docs, id_col, text_col).join(ranges, ["id", "h"], "left")
+    key = document_key(docs, id_col, text_col)
+    ranges = repeated_ranges(docs, key, text_col=text_col, length=length, gram=gram)
+    texts = keyed(docs, key, text_col).join(ranges, ["id", "h"], "left")
     known = texts.select(F.when(F.col("id") != NULL_ID, F.col("id")).alias("doc_id"), "text", "ranges")
     return known.mapInArrow(_digests(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
@@ -340,22 +358,15 @@ def repeat_digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 def _stripped(length: int):
     def run(batches):
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index("text"))
-            data, at = text_buffer(column)
-            gone = _covered(len(data), at[:-1], _filled(batch.column(batch.schema.get_field_index("ranges"))), length)
-            if gone.any():  # a character goes only if all its bytes do
-                first = np.flatnonzero((data & 0xC0) != 0x80)
-                whole = np.logical_and.reduceat(gone, first)
-                gone = np.repeat(whole, np.diff(np.append(first, len(data))))
-            raw, texts = data.tobytes(), []
-            lost = np.concatenate(([0], np.cumsum(gone)))
-            for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
-                if not column[i].is_valid:
-                    texts.append(None)
-                elif lost[b] == lost[a]:
-                    texts.append(raw[a:b].decode())
-                else:
-                    texts.append(data[a:b][~gone[a:b]].tobytes().decode())
+            valid, texts = batch.column(1).is_valid(), []
+            for rows, data, at, gone in _blocks_with_ranges(batch, 1, 2, length):
+                if gone.any():  # a character goes only if all its bytes do
+                    first = np.flatnonzero((data & 0xC0) != 0x80)
+                    whole = np.logical_and.reduceat(gone, first)
+                    gone = np.repeat(whole, np.diff(np.append(first, len(data))))
+                for k, a, b in zip(rows, at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    left = data[a:b][~gone[a:b]] if gone[a:b].any() else data[a:b]
+                    texts.append(left.tobytes().decode() if valid[k].as_py() else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["row", "text"])
 
     return run
@@ -366,14 +377,11 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     Every row stays, one left without text too. Other columns pass unchanged.
     """
-    ranges = repeated_ranges(docs, id_col=id_col, text_col=text_col, length=length, gram=gram)
+    key = document_key(docs, id_col, text_col)
+    ranges = repeated_ranges(docs, key, text_col=text_col, length=length, gram=gram)
     others = [c for c in docs.columns if c != text_col]
-    text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
-        F.struct(*others).alias("row"),
-        F.col(text_col).alias("text"),
-        F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"),
-        F.xxhash64(text).bitwiseAND(F.lit(2**31 - 1)).cast("int").alias("h"),
+        F.struct(*others).alias("row"), F.col(text_col).alias("text"), key[0].alias("id"), key[1].alias("h")
     ).join(ranges, ["id", "h"], "left").select("row", "text", "ranges")
     kind = rows.schema["row"].dataType.simpleString()
     cut = rows.mapInArrow(_stripped(length), f"row {kind}, text string")
