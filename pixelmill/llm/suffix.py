@@ -83,6 +83,13 @@ def _pieces(offsets: np.ndarray, length: int):
                 yield np.array([i]), np.array([at]), np.array([a]), np.array([min(a + SEGMENT + length - 1, int(offsets[j]))])
 
 
+def _first_of_equal(*columns: np.ndarray) -> np.ndarray:
+    """Which rows of sorted columns differ from the row before."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return new
+
+
 def _merged(doc: np.ndarray, s: np.ndarray, n: np.ndarray):
     """Touching ranges of suffixes of one document joined; sorted by document and place."""
     o = np.lexsort((s, doc))
@@ -98,9 +105,11 @@ def _first_passes(length: int, gram: int, bits: int):
 
     def flush(ids, hs, rows):
         doc, s, n, a, b = (np.concatenate(x) for x in zip(*rows, strict=True))
+        o = np.lexsort((hs, ids))
         rank = np.empty(len(ids), np.int64)
-        rank[np.lexsort((hs, ids))] = np.arange(len(ids))
+        rank[o] = np.cumsum(_first_of_equal(ids[o], hs[o]))
         o = np.lexsort((s, rank[doc]))
+        o = o[_first_of_equal(rank[doc[o]], s[o])]  # repeated rows are one document
         doc, s, n, a, b = (x[o] for x in (doc, s, n, a, b))
         both = mix64(a ^ mix64(b))
         o = np.argsort(both, kind="stable")
@@ -179,6 +188,7 @@ def _second_pass(batches):
             ids, h, s, n = (np.concatenate(x)[more] for x in zip(*own, strict=True))
             a = a[more]
             o = np.lexsort((s, h, ids, b, a))
+            o = o[_first_of_equal(a[o], b[o], ids[o], h[o], s[o])]
             a, b, ids, h, s, n = (x[o] for x in (a, b, ids, h, s, n))
             new_a, new = np.ones(len(a), bool), np.ones(len(a), bool)
             new_a[1:] = a[1:] != a[:-1]
@@ -195,7 +205,8 @@ def _second_pass(batches):
 
     rows = []
     for batch in batches:
-        for r in batch.to_pylist():
+        for i in range(batch.num_rows):  # one bucket's rows as bytes, not the whole batch's
+            r = batch.slice(i, 1).to_pylist()[0]
             if rows and rows[-1]["bucket"] != r["bucket"]:
                 yield solve(rows)
                 rows = []
@@ -216,6 +227,7 @@ def _third_digits(length: int):
     def flush(rows):
         w, ids, h, s = (np.concatenate(x) for x in zip(*rows, strict=True))
         o = np.lexsort((s, h, ids, w))
+        o = o[_first_of_equal(w[o], ids[o], h[o], s[o])]
         w, ids, h, s = w[o], ids[o], h[o], s[o]
         again = np.zeros(len(w), np.int32)
         again[1:] = w[1:] == w[:-1]
@@ -284,7 +296,7 @@ def repeated_ranges(docs: DataFrame, key: tuple, *, text_col: str = "text", leng
     open_ = split.where("kind = 0").groupBy("id", "h").agg(F.collect_list(F.struct("s", "n")).alias("ranges"))
     digits = texts.join(open_, ["id", "h"]).mapInArrow(_third_digits(length), "w long, id long, h int, s long, kind int")
     order = Window.partitionBy("w").orderBy("id", "h", "s")
-    later = digits.withColumn("place", F.row_number().over(order)).where("kind = 1 or place > 1")
+    later = digits.withColumn("place", F.rank().over(order)).where("kind = 1 or place > 1")
     found = split.where("kind = 1").select("id", "h", "s", "n").unionAll(later.select("id", "h", "s", F.lit(1).cast("long").alias("n")))
     return found.groupBy("id", "h").agg(F.collect_list(F.struct("s", "n")).alias("ranges"))
 

@@ -124,6 +124,26 @@ def test_suffix_random_bytes(spark):
     assert sorted(map(tuple, got.collect())) == sorted(suffix.brute_force(texts, 30))
 
 
+def test_suffix_repeated_rows_are_one_document(spark):
+    rng = random.Random(11)
+    passage = prose(rng, 60)
+    texts = [(i, prose(rng, 50)) for i in range(6)]
+    texts += [(6, prose(rng, 50) + passage), (7, passage + prose(rng, 50)), (None, prose(rng, 50))]
+    expect = {r[0]: r for r in suffix.brute_force([(common.NULL_ID if i is None else i, t) for i, t in texts])}
+    other = (3, prose(rng, 50))  # an id with two texts
+    for rows_, more in ((texts, []), ([*texts, other], [other])):
+        for parts in (1, 5):
+            docs = spark.createDataFrame([r for r in rows_ for _ in range(3)], "doc_id long, text string").repartition(parts)
+            got = suffix.repeat_digests(docs).collect()
+            assert len(got) == 3 * len(rows_)
+            known = Counter({expect[common.NULL_ID if i is None else i][1:]: 3 for i, _ in texts})
+            known += Counter({suffix.brute_force([r])[0][1:]: 3 for r in more})
+            assert Counter(tuple(r)[1:] for r in got) == known
+            assert expect[7][2] > 100
+            kept = Counter((r.doc_id, r.text) for r in suffix.remove_repeats(docs).collect())
+            assert all(kept[r] == 3 for r in [*texts[:7], texts[8], *more])
+
+
 def test_remove_repeats_keeps_rows_and_valid_text(docs):
     got = suffix.remove_repeats(docs)
     assert got.columns == docs.columns and got.count() == len(rows())
