@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from pixelmill.llm import chat, common, components, decontaminate, licenses, mixing, ppm, pseudo, quality, simhash, suffix, weak
+from pixelmill.llm import chat, common, components, decontaminate, jaccard, licenses, mixing, ppm, pseudo, quality, simhash, suffix, weak
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, h string, words string, id string"
 SYL = "the of an er th in on re and tion ble ing st ea".split()
@@ -101,6 +101,41 @@ def test_keep_one_of_each_group(docs):
     assert kept == {i for i, c in expect.items() if i == c}
 
 
+def word_shingles(text, k=5):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
+def test_near_copies_by_jaccard(spark, docs, none):
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    texts = []
+    for g in range(12):  # copies with words changed here and there, similarity around 0.8
+        base = prose(rng, 200).split()
+        texts.append(" ".join(base))
+        for n in (1, 2, 4, 5, 9):
+            words = base.copy()
+            for i in rng.sample(range(200), n):
+                words[i] = f"x{g}y{i}"
+            texts.append(" ".join(words))
+    texts += [prose(rng, 100) for _ in range(20)] + ["two words", "Two  words", "", None, " "]
+    sets = [word_shingles(t) for t in texts]
+    parent = list(range(len(texts)))
+    for j in range(len(texts)):
+        for i in range(j):
+            if (not sets[i] and not sets[j]) or (sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])):
+                x, y = parent[i], parent[j]
+                parent = [min(x, y) if p in (x, y) else p for p in parent]
+    made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, made, "").collect())
+    assert got == [i for i, p in enumerate(parent) if p == i]
+    odd = [(1, texts[0]), (1, texts[0]), (1, prose(rng, 50)), (None, texts[0]), (None, prose(rng, 50)), (None, texts[1])]
+    got = jaccard.keep_one_of_each_group(spark.createDataFrame(odd, "doc_id long, text string")).collect()
+    assert Counter(map(tuple, got)) == Counter([odd[0], odd[2], odd[4]])
+    assert jaccard.keep_one_of_each_group(docs).columns == docs.columns and jaccard.keep_one_of_each_group(none).count() == 0
+
+
 def test_connected_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (5, 5)], "a long, b long")
     got = {r.node: r.component for r in components.connected_components(edges).collect()}
