@@ -12,8 +12,8 @@ they are, all else as one blank; blanks in a row count once.
 
 Training reads at most about ``docs_per_language`` labelled documents of each
 language, chosen by a hash of their id, and whole texts of them. The trees of all
-languages are laid out as one table, a row for each context and byte, with a cost
-for each language; ``max_cells`` bounds it (rarest longest contexts go first).
+languages are stored sparsely, only the contexts and bytes seen, about 1 MB a
+language; no language and no context is left out.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ from .common import blocks, text_buffer
 
 ORDER = 3
 BLOCK = 1_000_000
+#: Languages whose code lengths are found at once.
+PART = 16
 UNKNOWN = "und"
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[65:91] = np.arange(97, 123)
@@ -75,94 +77,98 @@ def _count(batches):
                 )
 
 
+class Lists:
+    """For some keys, the languages that have them, each with a value."""
+
+    def __init__(self, key: np.ndarray, lang: np.ndarray, value: np.ndarray):
+        o = np.argsort(key, kind="stable")
+        self.keys, first = np.unique(key[o], return_index=True)
+        self.bounds = np.append(first, len(o))
+        self.lang, self.value = lang[o].astype(np.int32), value[o].astype(np.float32)
+
+    def of(self, asked: np.ndarray):
+        """(places in ``asked``, languages, values)."""
+        at = np.minimum(np.searchsorted(self.keys, asked), len(self.keys) - 1)
+        hit = np.flatnonzero(self.keys[at] == asked)
+        at = at[hit]
+        count = self.bounds[at + 1] - self.bounds[at]
+        entry = np.arange(count.sum()) + np.repeat(self.bounds[at] - np.concatenate(([0], np.cumsum(count)[:-1])), count)
+        return np.repeat(hit, count), self.lang[entry], self.value[entry]
+
+
 @dataclass
 class Model:
     langs: list[str]
-    classes: np.ndarray  # byte -> class; 0 for bytes never seen
-    state: np.ndarray  # code of three classes -> row of the table
-    cost: np.ndarray  # (states * classes, languages): nats
+    uniform: float  # nats of a byte in the uniform order
+    #: For each PART of languages and each order: what escapes cost by context, and bytes by context and byte.
+    parts: list[list[tuple[Lists, Lists]]]
+
+    def costs(self, part: int, code: np.ndarray) -> np.ndarray:
+        """(codes, languages of the part): nats of each code's last byte after the others."""
+        number = min(PART, len(self.langs) - part * PART)
+        cost = np.full((len(code), number), self.uniform, np.float32)
+        for order, (escapes, bytes_) in enumerate(self.parts[part]):
+            at, lang, nats = escapes.of((code >> 8) & ((1 << 8 * order) - 1))
+            cost[at, lang] += nats
+            at, lang, nats = bytes_.of(code & ((1 << 8 * (order + 1)) - 1))
+            cost[at, lang] = nats
+        return cost
 
     def code_lengths(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """(texts, languages): nats."""
         f, at = folded(data, offsets)
-        c = self.classes[f].astype(np.int64)
-        a = int(self.classes.max()) + 1
-        ctx = np.zeros(len(c), np.int64)
-        ctx[ORDER:] = (c[:-3] * a + c[1:-2]) * a + c[2:-1]
-        nats = self.cost[self.state[ctx] * a + c]
-        for p in range(ORDER):
-            nats[at[:-1] + p] = 0
-        return np.add.reduceat(nats, at[:-1], axis=0, dtype=np.float64)
-
-
-def build(langs: list[str], lang: np.ndarray, code: np.ndarray, n: np.ndarray, max_cells: int = 12_000_000) -> Model:
-    """The table of exact code lengths from counts of (language, four bytes)."""
-    four = np.stack([(code >> s) & 255 for s in (24, 16, 8, 0)], 1)
-    seen = np.unique(four)
-    classes = np.zeros(256, np.uint8)
-    classes[seen] = np.arange(1, len(seen) + 1)
-    a, L = len(seen) + 1, len(langs)
-    c = classes[four].astype(np.int64)
-    below = np.broadcast_to(np.log(a), (1, a, L)).astype(np.float32)  # the uniform order
-    tables, keys = [], []
-    for order in range(ORDER + 1):
-        ctx = np.zeros(len(c), np.int64)
-        for k in range(ORDER - order, ORDER):
-            ctx = ctx * a + c[:, k]
-        ids, inv = np.unique(ctx, return_inverse=True)
-        if order == ORDER and len(ids) * a * L > max_cells:
-            often = np.sort(np.argsort(-np.bincount(inv, n), kind="stable")[: max(1, max_cells // (a * L))])
-            to = np.full(len(ids), -1)
-            to[often] = np.arange(len(often))
-            own = to[inv] >= 0
-            ids, inv = ids[often], to[inv][own]
-        else:
-            own = slice(None)
-        counts = np.zeros((len(ids), a, L), np.float32)
-        np.add.at(counts, (inv, c[own, ORDER], lang[own]), n[own])
-        total, distinct = counts.sum(1), (counts > 0).sum(1)
-        if order == 0:
-            parent = np.zeros(len(ids), np.int64)
-        else:
-            parent = np.searchsorted(keys[-1], ids % a ** (order - 1))
-        shorter = tables[-1][parent] if tables else below
-        with np.errstate(divide="ignore", invalid="ignore"):
-            whole = np.log(total + distinct)[:, None, :]
-            escape = np.where(total > 0, np.log(total + distinct) - np.log(distinct), 0)[:, None, :]
-            tables.append(np.where(counts > 0, whole - np.log(counts), escape + shorter).astype(np.float32))
-        keys.append(ids)
-    # the longest context that any language has seen
-    codes = np.arange(a**ORDER)
-    state, base = np.zeros(a**ORDER, np.int32), 0
-    for order in range(ORDER + 1):
-        short = codes % a**order
-        at = np.minimum(np.searchsorted(keys[order], short), len(keys[order]) - 1)
-        hit = keys[order][at] == short
-        state[hit] = base + at[hit]
-        base += len(keys[order])
-    return Model(langs, classes, state, np.concatenate(tables).reshape(-1, L))
+        code, own = np.unique(_grams(f, at), return_inverse=True)
+        code = code.astype(np.int64)
+        bounds = at - ORDER * np.arange(len(at))  # without the padding
+        full = np.diff(bounds) > 0
+        out = np.zeros((len(full), len(self.langs)))
+        if full.any():
+            for part in range(len(self.parts)):
+                nats = self.costs(part, code)[own]
+                out[full, part * PART : part * PART + nats.shape[1]] = np.add.reduceat(nats, bounds[:-1][full], axis=0, dtype=np.float64)
+        return out
+
+
+def build(langs: list[str], lang: np.ndarray, code: np.ndarray, n: np.ndarray) -> Model:
+    """Exact code lengths from counts of (language, four bytes)."""
+    seen = np.unique(np.concatenate([np.unique((code >> s) & 255) for s in (24, 16, 8, 0)]))
+    parts = []
+    for low in range(0, len(langs), PART):
+        mine = (lang >= low) & (lang < low + PART)
+        l_, c, m = lang[mine].astype(np.int64) - low, code[mine], n[mine]
+        tables = []
+        for order in range(ORDER + 1):
+            bits = 8 * (order + 1)
+            key, at = np.unique(l_ << bits | (c & ((1 << bits) - 1)), return_inverse=True)
+            count = np.bincount(at, m)
+            ctx, of = np.unique(key >> 8, return_inverse=True)
+            distinct = np.bincount(of)
+            whole = np.log(np.bincount(of, count) + distinct)
+            escapes = Lists(ctx & ((1 << (bits - 8)) - 1), ctx >> (bits - 8), whole - np.log(distinct))
+            tables.append((escapes, Lists(key & ((1 << bits) - 1), key >> bits, whole[of] - np.log(count))))
+        parts.append(tables)
+    return Model(langs, float(np.log(len(seen) + 1)), parts)
 
 
 def held_out(doc_id: Column) -> Column:
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4) == 2
 
 
-def train(docs: DataFrame, *, id_col="doc_id", text_col="text", lang_col="lang", docs_per_language: int = 4000, max_languages: int = 64) -> Model | None:
+def train(docs: DataFrame, *, id_col="doc_id", text_col="text", lang_col="lang", docs_per_language: int = 4000) -> Model | None:
     """The model of the languages in ``docs``; None without a labelled text."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")
     )
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
-    if not sizes:
-        return None
-    part = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(min(1.0, docs_per_language / r["count"]))) for r in sizes], F.lit(-1.0))
-    chosen = known.where(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1_000_000)) < part * 1_000_000)
+    sizes = known.groupBy("lang").count().select("lang", (F.lit(float(docs_per_language)) / F.col("count")).alias("part"))
+    chosen = known.join(F.broadcast(sizes), "lang").where(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1_000_000)) < F.col("part") * 1_000_000)
     counts = chosen.select("lang", "text").mapInArrow(_count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     got = counts.toArrow()
     if not got.num_rows:
         return None
-    langs = sorted(set(got["lang"].to_pylist()))
-    lang = np.searchsorted(np.array(langs, object), np.array(got["lang"].to_pylist(), object))
+    named = got["lang"].combine_chunks().dictionary_encode()
+    found = named.dictionary.to_pylist()
+    langs = sorted(found)
+    lang = np.array([langs.index(x) for x in found])[named.indices.to_numpy()]
     return build(langs, lang, got["code"].to_numpy(), got["n"].to_numpy())
 
 

@@ -232,6 +232,29 @@ def test_ppm_code_length_is_exact():
     assert abs(got - total) < 1e-4
 
 
+def test_ppm_learns_every_language_and_context(spark):
+    rng = random.Random(31)
+    rows_ = []
+    for k in range(70):  # the last languages have the fewest texts
+        own = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=4)) + chr(0xC0 + k % 64) + chr(0x400 + k) for _ in range(6)]
+        rows_ += [(" ".join(rng.choices(own, k=30)), f"l{k:02}") for _ in range(8 - k // 10)]
+    frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows_)], "doc_id long, text string, lang string")
+    model = ppm.train(frame)
+    assert len(model.langs) == 70
+    got = {r.doc_id: r.lang_pred for r in ppm.predict(frame, model).collect()}
+    assert [got[i] for i in range(len(rows_))] == [lang for _, lang in rows_]
+    # a language costs the same alone, with all its contexts, as among many
+    counts = Counter()
+    for t, lang in rows_:
+        raw = np.frombuffer(t.encode(), np.uint8)
+        counts.update((lang, int(c)) for c in ppm._grams(*ppm.folded(raw, np.array([0, len(raw)]))))
+    alone = [(c, n) for (lang, c), n in counts.items() if lang == "l69"]
+    one = ppm.build(["l69"], np.zeros(len(alone), int), np.array([c for c, _ in alone]), np.array([n for _, n in alone]))
+    raw = np.frombuffer(rows_[-1][0].encode(), np.uint8)
+    at = np.array([0, len(raw)])
+    assert abs(model.code_lengths(raw, at)[0, 69] - one.code_lengths(raw, at)[0, 0]) < 1e-3
+
+
 def test_mixing(docs, none):
     got = mixing.mix(docs).collect()
     size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t, *_ in rows()}
