@@ -357,6 +357,32 @@ def test_decontamination(spark, none):
     assert decontaminate.contaminated(none, bench).count() == 0
 
 
+def test_decontamination_misses_nothing_its_check_accepts(spark):
+    rng = random.Random(17)
+    common_words = SYL[:12]
+    items = [(k, " ".join(rng.choices(common_words, k=rng.choice([12, 30, 60]))) + ". " + " ".join(rng.choices(common_words, k=8))) for k in range(12)]
+    rare = [f"q{k}z" for k in range(8)]
+    texts = []
+    for k, (_, text) in enumerate(items * 8):  # copies with up to half of the words before the answer replaced by rare words
+        w = text.split()
+        for i in rng.sample(range(len(w) - 8), int((len(w) - 8) * (k // 12) / 14)):
+            w[i] = rng.choice(rare)
+        texts.append(prose(rng, rng.randint(0, 90)) + " " + " ".join(w) + " " + prose(rng, rng.randint(0, 90)))
+    texts += [" ".join(rng.choices(rare, k=60)) for _ in range(8)] + [prose(rng, 200) for _ in range(150)]  # so the rare words weigh much
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, spark.createDataFrame(items, "item_id long, text string"), rank=32).collect()}
+    expect, long = set(), decontaminate.common_subsequence
+    for d, t in enumerate(decontaminate.hashed(texts)):
+        for k, item in enumerate(decontaminate.hashed([x for _, x in items])):
+            answer, width = item[-8:].tolist(), -(-len(item) // 8) + (len(item) < 24)
+            for s in range(max(1, -(-len(t) // 8) - width + 1)):
+                there = t[max(0, 8 * s - 8) : 8 * (s + width) + 8].tolist()
+                share = long(item.tolist(), there) / len(item)
+                if share >= 0.8 or (share >= 0.6 and long(answer, there) >= 0.8 * 8):
+                    expect.add((d, k))
+    assert got == expect and len(expect) > 80
+
+
 def test_common_subsequence():
     rng = random.Random(2)
     for _ in range(50):
