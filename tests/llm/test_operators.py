@@ -357,6 +357,16 @@ def test_decontamination(spark, none):
     assert decontaminate.contaminated(none, bench).count() == 0
 
 
+def test_decontamination_drops_rows_without_id(spark):
+    rng = random.Random(19)
+    item = prose(rng, 40)
+    clean = [prose(rng, 80) for _ in range(20)]
+    rows_ = [(None, prose(rng, 20) + " " + item), (None, clean[0]), (1, item), (1, clean[1]), *enumerate(clean[2:], 2)]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string")
+    got = decontaminate.drop_contaminated(docs, spark.createDataFrame([(7, item)], "item_id long, text string"), rank=16)
+    assert got.columns == docs.columns and Counter(map(tuple, got.collect())) == Counter(r for r in rows_ if item not in r[1])
+
+
 def test_decontamination_misses_nothing_its_check_accepts(spark):
     rng = random.Random(17)
     common_words = SYL[:12]
