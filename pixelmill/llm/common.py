@@ -18,7 +18,19 @@ SPACES = " \t\n\x0b\f\r"
 NULL_ID = -(2**63)
 
 
+#: Rows of an Arrow batch. Texts have a few KB and some several MB, so Spark's default of 10 000 rows is too many.
+ARROW_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keeps Arrow batches of texts small, unless the session has a size of its own."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) == 10_000:
+        spark.conf.set(name, ARROW_ROWS)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -56,6 +68,7 @@ class Table:
 
     def __init__(self, df: DataFrame):
         self.spark = df.sparkSession
+        small_batches(self.spark)
         self.path = f"{scratch_dir(self.spark)}/t-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
@@ -101,27 +114,34 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 _RNG = np.random.Generator(np.random.PCG64(20240229))
-#: A random word for each byte value, so that no byte structure reaches the polynomial.
-BYTE_WORDS = _RNG.integers(0, 2**64, 256, np.uint64)
-BASE = 0x9E3779B97F4A7C15 | 1
-INVERSE = pow(BASE, -1, 2**64)
+#: Random words for each byte value, so that no byte structure reaches the polynomials; two independent sets.
+BYTE_WORDS = [_RNG.integers(0, 2**64, 256, np.uint64), _RNG.integers(0, 2**64, 256, np.uint64)]
+BASE = [0x9E3779B97F4A7C15 | 1, int(_RNG.integers(0, 2**63)) * 2 + 1]
+INVERSE = [pow(b, -1, 2**64) for b in BASE]
+#: Powers of the bases found so far, kept up to this many.
+_POWERS: dict[int, np.ndarray] = {}
+KEPT_POWERS = 1_100_000
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    if n:
-        out[0] = 1
-    return np.multiply.accumulate(out) if n else out
+    known = _POWERS.get(base)
+    if known is None or len(known) < n:
+        known = np.full(max(n, 1), base, np.uint64)
+        known[0] = 1
+        known = np.multiply.accumulate(known)
+        if n <= KEPT_POWERS:
+            _POWERS[base] = known
+    return known[:n]
 
 
 class Rolling:
-    """Hashes of any byte ranges of one buffer, from one prefix sum modulo 2**64."""
+    """Hashes of any byte ranges of one buffer, from one prefix sum modulo 2**64; ``which`` of two polynomials."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, which: int = 0):
         n = len(data)
-        self.inverse = powers(INVERSE, n + 1)
+        self.inverse = powers(INVERSE[which], n + 1)
         self.prefix = np.zeros(n + 1, np.uint64)
-        np.cumsum(BYTE_WORDS[data] * powers(BASE, n), out=self.prefix[1:])
+        np.cumsum(BYTE_WORDS[which][data] * powers(BASE[which], n), out=self.prefix[1:])
 
     def fixed(self, k: int) -> np.ndarray:
         """Mixed hashes of all windows of k bytes."""

@@ -1,7 +1,8 @@
 """Repeated byte strings by depth-limited radix passes over suffixes.
 
 Only suffixes that can share ``length`` bytes are ordered, and only through that
-depth. Three most-significant-digit passes split them:
+depth, most significant digit first. Spark sorts records by digit; a pass streams
+over the sorted rows, and groups of one end there.
 
 1. The first digit of a suffix is the ``gram`` bytes at its minimiser, the
    smallest hashed ``gram`` within its first ``length`` bytes. Equal strings have
@@ -13,10 +14,16 @@ depth. Three most-significant-digit passes split them:
    passages. Their suffixes are ordered by all ``length`` bytes; equal groups are
    exactly the repeated strings.
 
-Digits are 64-bit hashes of the bytes (the first needs no exactness: a clash only
-sends more runs to pass 3). Within a batch of about 16 MB equal runs and strings
-meet before the shuffle, so a string that stands in a third of all documents
-reaches a reducer once per batch, not once per document.
+Digits are held as hashes of their bytes, 96 bits wide where a match removes text
+(two polynomials with independent bases and byte words, 64 and 32 bits). Among
+10**12 strings a false match of any has a chance below 1e-5. The first digit needs
+no exactness: a clash there only sends more runs to pass 3.
+
+No group is held: a pass keeps one row of the group it stands in. Within a batch of
+about ``BATCH`` bytes equal runs and strings meet before the shuffle. A first digit
+with several second digits in one batch is known to go on, so of these rows only one
+is dealt out by the first digit; the rest go by both digits. So a digit that stands
+in a third of all documents reaches one task once a batch, not once a document.
 """
 
 from __future__ import annotations
@@ -32,10 +39,11 @@ from .common import NULL_ID, Rolling, Table, blocks, mix64, text_buffer
 
 PLACE_BITS = 24
 PLACE = np.uint64((1 << PLACE_BITS) - 1)
-BLOCK, SEGMENT, BATCH = 1_000_000, 8_000_000, 16_000_000
-#: Bytes of text whose records make one reducer's group.
-PER_BUCKET = 24_000_000
-DIGITS = "bucket int, kind int, a binary, b binary, id binary, h binary, s binary, n binary"
+BLOCK, SEGMENT, BATCH = 1_000_000, 2_000_000, 8_000_000
+#: Windows of pass 3 that meet before the shuffle.
+WINDOWS = 500_000
+#: kind: 0 a run, 1 a range known to repeat, 2 a run known to go on and dealt out by both digits.
+DIGITS = "kind int, a long, b long, c int, open int, id long, h int, s long, n long"
 RANGES = "id long, h int, s long, n long, kind int"
 
 
@@ -54,11 +62,11 @@ def _expand(first: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 def runs(data: np.ndarray, start: np.ndarray, end: np.ndarray, length: int, gram: int):
-    """(piece, first suffix, number, first digit, second digit) of the runs of pieces of ``data``."""
+    """(piece, first suffix, number, first digit, second digit in 64 and 32 bits) of the runs of pieces of ``data``."""
     count = np.maximum(end - start - length + 1, 0)
     if not count.sum():
         none = np.zeros(0, np.int64)
-        return none, none, none, none.view(np.uint64), none.view(np.uint64)
+        return none, none, none, none.view(np.uint64), none.view(np.uint64), none.astype(np.uint32)
     rolling = Rolling(data)
     grams = rolling.fixed(gram)
     least = window_minimum((grams & ~PLACE) | np.arange(len(grams), dtype=np.uint64), length - gram + 1)
@@ -67,9 +75,11 @@ def runs(data: np.ndarray, start: np.ndarray, end: np.ndarray, length: int, gram
     first = np.concatenate(([0], np.flatnonzero(anchor[1:] != anchor[:-1]) + 1))
     n = np.diff(np.append(first, len(s)))
     s0, at = s[first], anchor[first]
-    second = rolling.spans(s0, s0 + n - 1 + length) ^ mix64((at - s0).astype(np.uint64))
+    last = s0 + n - 1 + length
+    offset = mix64((at - s0).astype(np.uint64))
+    other = (Rolling(data, 1).spans(s0, last) >> np.uint64(32)).astype(np.uint32)
     piece = np.searchsorted(start, s0, "right") - 1
-    return piece, s0 - start[piece], n, grams[at], second
+    return piece, s0 - start[piece], n, grams[at], rolling.spans(s0, last) ^ offset, other
 
 
 def _pieces(offsets: np.ndarray, length: int):
@@ -100,45 +110,43 @@ def _merged(doc: np.ndarray, s: np.ndarray, n: np.ndarray):
     return doc[at], s[at], np.add.reduceat(n, at) if len(at) else n
 
 
-def _first_passes(length: int, gram: int, bits: int):
-    """Documents -> records by first digit, in one binary row for each bucket and batch."""
+def _table(schema: str, *columns: np.ndarray) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64()}
+    names, types = zip(*[x.split() for x in schema.split(", ")], strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(columns, types, strict=True)], names=list(names))
+
+
+def _first_pass(length: int, gram: int):
+    """Documents -> runs with their digits; repeats within a batch come as ranges."""
 
     def flush(ids, hs, rows):
-        doc, s, n, a, b = (np.concatenate(x) for x in zip(*rows, strict=True))
+        doc, s, n, a, b, c = (np.concatenate(x) for x in zip(*rows, strict=True))
         o = np.lexsort((hs, ids))
         rank = np.empty(len(ids), np.int64)
         rank[o] = np.cumsum(_first_of_equal(ids[o], hs[o]))
         o = np.lexsort((s, rank[doc]))
         o = o[_first_of_equal(rank[doc[o]], s[o])]  # repeated rows are one document
-        doc, s, n, a, b = (x[o] for x in (doc, s, n, a, b))
-        both = mix64(a ^ mix64(b))
-        o = np.argsort(both, kind="stable")
-        again = np.zeros(len(o), bool)
-        again[o[1:]] = both[o[1:]] == both[o[:-1]]
-        out = {k: [] for k in ("bucket", "kind", "a", "b", "id", "h", "s", "n")}
-
-        def put(bucket, kind, a, b, doc, s, n):
-            for k, v in zip(out, (bucket, kind, a.tobytes(), b.tobytes(), ids[doc].tobytes(), hs[doc].tobytes(), s.astype(np.uint32 if s.max(initial=0) < 2**32 else np.uint64).tobytes(), n.astype(np.uint32).tobytes()), strict=True):
-                out[k].append(v)
-
-        if again.any():
-            d, s1, n1 = _merged(doc[again], s[again], n[again])
-            none = np.zeros(0, np.uint8)
-            bucket = mix64(d.astype(np.uint64)) >> np.uint64(64 - bits)
-            for k in np.unique(bucket):
-                own = bucket == k
-                put(int(k), 1, none, none, d[own], s1[own], n1[own])
-        doc, s, n, a, b = (x[~again] for x in (doc, s, n, a, b))
-        bucket = (a >> np.uint64(64 - bits)).astype(np.int64)
-        o = np.argsort(bucket, kind="stable")
-        doc, s, n, a, b, bucket = (x[o] for x in (doc, s, n, a, b, bucket))
-        cut = np.flatnonzero(np.diff(bucket)) + 1
-        short = ((a << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
-        for i, j in zip([0, *cut.tolist()], [*cut.tolist(), len(bucket)], strict=True):
-            if j > i:
-                put(int(bucket[i]), 0, short[i:j], b[i:j], doc[i:j], s[i:j], n[i:j])
-        return pa.RecordBatch.from_arrays(
-            [pa.array(out[k], pa.int32() if k in ("bucket", "kind") else pa.binary()) for k in out], names=list(out)
+        o = o[np.lexsort((c[o], b[o], a[o]))]  # stable: the earliest of equal runs first
+        doc, s, n, a, b, c = (x[o] for x in (doc, s, n, a, b, c))
+        new = _first_of_equal(a, b, c)
+        d1, s1, n1 = _merged(doc[~new], s[~new], n[~new])
+        doc, s, n, a, b, c = (x[new] for x in (doc, s, n, a, b, c))
+        first = _first_of_equal(a)
+        group = np.cumsum(first) - 1
+        several = np.bincount(group)[group] > 1 if len(group) else first
+        none = np.zeros(len(d1), np.int64)
+        doc, s, n = (np.concatenate(x) for x in ((doc, d1), (s, s1), (n, n1)))
+        return _table(
+            DIGITS,
+            np.concatenate((np.where(first, 0, 2), none + 1)).astype(np.int32),
+            np.concatenate((a.view(np.int64), mix64(ids[d1].astype(np.uint64)).view(np.int64))),
+            np.concatenate((b.view(np.int64), none)),
+            np.concatenate((c.view(np.int32), none.astype(np.int32))),
+            np.concatenate((several, none)).astype(np.int32),
+            ids[doc],
+            hs[doc].astype(np.int32),
+            s,
+            n,
         )
 
     def run(batches):
@@ -149,8 +157,8 @@ def _first_passes(length: int, gram: int, bits: int):
             hs.append(batch.column(1).to_numpy())
             for row, at, start, end in _pieces(offsets, length):
                 low, high = int(start[0]), int(end[-1])
-                piece, s, n, a, b = runs(data[low:high], start - low, end - low, length, gram)
-                rows.append((row[piece] + known, s + at[piece], n, a, b))
+                piece, s, n, *digits = runs(data[low:high], start - low, end - low, length, gram)
+                rows.append((row[piece] + known, s + at[piece], n, *digits))
                 held += high - low
                 if held >= BATCH:
                     yield flush(np.concatenate(ids), np.concatenate(hs), rows)
@@ -166,82 +174,82 @@ def _first_passes(length: int, gram: int, bits: int):
 
 
 def _second_pass(batches):
-    """Rows of one bucket at a time -> ranges: kind 1 repeats, kind 0 goes on to the third pass."""
-
-    def solve(rows):
-        got = [(r["a"], r["b"], r["id"], r["h"], r["s"], r["n"]) for r in rows if r["kind"] == 0]
-        parts = [[], [], [], [], []]
-        for r in rows:
-            if r["kind"] == 1:
-                ids, h, s, n = _unpacked(r)
-                for p, v in zip(parts, (ids, h, s, n, np.ones(len(s), np.int32)), strict=True):
-                    p.append(v)
-        if got:
-            a = np.concatenate([np.frombuffer(g[0], np.uint32) for g in got])
-            o = np.argsort(a, kind="stable")
-            same = a[o[1:]] == a[o[:-1]]
-            more = np.zeros(len(a), bool)
-            more[o[1:][same]] = True
-            more[o[:-1][same]] = True
-            b = np.concatenate([np.frombuffer(g[1], np.uint64) for g in got])[more]
-            own = [_unpacked(r) for r in rows if r["kind"] == 0]
-            ids, h, s, n = (np.concatenate(x)[more] for x in zip(*own, strict=True))
-            a = a[more]
-            o = np.lexsort((s, h, ids, b, a))
-            o = o[_first_of_equal(a[o], b[o], ids[o], h[o], s[o])]
-            a, b, ids, h, s, n = (x[o] for x in (a, b, ids, h, s, n))
-            new_a, new = np.ones(len(a), bool), np.ones(len(a), bool)
-            new_a[1:] = a[1:] != a[:-1]
-            new[1:] = new_a[1:] | (b[1:] != b[:-1])
-            group = np.cumsum(new_a) - 1
-            kinds = np.bincount(group, new) if len(group) else np.zeros(0)
-            out = ~new | (kinds[group] > 1)
-            for p, v in zip(parts, (ids, h, s, n, (~new).astype(np.int32)), strict=True):
-                p.append(v[out])
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(p) if p else np.zeros(0), t) for p, t in zip(parts, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32()), strict=True)],
-            names=["id", "h", "s", "n", "kind"],
-        )
+    """Runs sorted by digits, then place -> ranges: kind 1 repeats, kind 0 goes on to the third pass.
 
-    rows = []
+    Of the group at hand only its last row is kept, and its first run until a
+    second digit shows that it goes on.
+    """
+    last = held = None
     for batch in batches:
-        for i in range(batch.num_rows):  # one bucket's rows as bytes, not the whole batch's
-            r = batch.slice(i, 1).to_pylist()[0]
-            if rows and rows[-1]["bucket"] != r["bucket"]:
-                yield solve(rows)
-                rows = []
-            rows.append(r)
-    if rows:
-        yield solve(rows)
-
-
-def _unpacked(r):
-    ids, n = np.frombuffer(r["id"], np.int64), np.frombuffer(r["n"], np.uint32)
-    s = np.frombuffer(r["s"], np.uint32 if len(r["s"]) == 4 * len(ids) else np.uint64)
-    return ids, np.frombuffer(r["h"], np.int32), s.astype(np.int64), n.astype(np.int64)
-
-
-def _third_digits(length: int):
-    """Documents with open ranges -> (whole digit, place); repeats within the batch come with kind 1."""
+        if not batch.num_rows:
+            continue
+        kind, a, b, c, open_, ids, h, s, n = (batch.column(k).to_numpy() for k in range(9))
+        digits = np.stack([a, b, c.astype(np.int64), ids, h.astype(np.int64), s])
+        before = np.concatenate((digits[:, :1] if last is None else last[:, None], digits[:, :-1]), axis=1)
+        differs = digits != before
+        if last is None:
+            differs[:, 0] = True
+        # a range known to repeat is a group of its own
+        new_a = differs[0] | (kind == 1)
+        new = new_a | differs[1] | differs[2]
+        if last is None:
+            new_a[0] = new[0] = True
+        group = np.cumsum(new_a) - new_a[0]
+        size = int(group[-1]) + 1
+        distinct = np.bincount(group, new, size)
+        goes_on = (distinct > 1) | (np.bincount(group, open_, size) > 0)
+        if not new_a[0]:  # the group began in an earlier batch
+            goes_on[0] |= distinct[0] > 0 or held is None
+        # the same place of a repeated row is not a repeat of itself
+        again = (kind == 1) | (~new & (differs[3] | differs[4] | differs[5]))
+        out = again | (new & goes_on[group])
+        rows = [ids[out], h[out], s[out], n[out], again[out].astype(np.int32)]
+        if held is not None and (new_a[0] or goes_on[0]):
+            if not new_a[0]:
+                rows = [np.append(x, y).astype(x.dtype) for x, y in zip(rows, (*held, 0), strict=True)]
+            held = None
+        if not goes_on[-1] and kind[-1] != 1 and (size > 1 or new_a[0]):
+            k = int(np.flatnonzero(new_a)[-1])
+            held = (ids[k], h[k], s[k], n[k])
+        last = digits[:, -1]
+        yield _table(RANGES, *rows)
+
+
+WHOLE = "w long, v int, id long, h int, s long, n long, kind int"
+
+
+def _third_digits(length: int, text: int, ranges: int, keys: tuple[int, int]):
+    """Documents with open ranges -> (whole digit, place); repeats within the batch come as ranges of kind 1."""
 
     def flush(rows):
-        w, ids, h, s = (np.concatenate(x) for x in zip(*rows, strict=True))
-        o = np.lexsort((s, h, ids, w))
-        o = o[_first_of_equal(w[o], ids[o], h[o], s[o])]
-        w, ids, h, s = w[o], ids[o], h[o], s[o]
-        again = np.zeros(len(w), np.int32)
-        again[1:] = w[1:] == w[:-1]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(w.view(np.int64)), pa.array(ids), pa.array(h), pa.array(s), pa.array(again)],
-            names=["w", "id", "h", "s", "kind"],
+        w, v, ids, h, s = (np.concatenate(x) for x in zip(*rows, strict=True))
+        o = np.lexsort((s, h, ids, v, w))
+        o = o[_first_of_equal(w[o], v[o], ids[o], h[o], s[o])]
+        w, v, ids, h, s = (x[o] for x in (w, v, ids, h, s))
+        new = _first_of_equal(w, v)
+        o = np.lexsort((s[~new], h[~new], ids[~new]))
+        i1, h1, s1 = (x[~new][o] for x in (ids, h, s))
+        begin = _first_of_equal(i1, h1, s1 - np.arange(len(s1)))
+        n1 = np.diff(np.append(np.flatnonzero(begin), len(s1)))
+        i1, h1, s1 = i1[begin], h1[begin], s1[begin]
+        w, v, ids, h, s = (x[new] for x in (w, v, ids, h, s))
+        return _table(
+            WHOLE,
+            np.concatenate((w.view(np.int64), mix64(i1.astype(np.uint64)).view(np.int64))),
+            np.concatenate((v.view(np.int32), np.zeros(len(i1), np.int32))),
+            np.concatenate((ids, i1)),
+            np.concatenate((h, h1)).astype(np.int32),
+            np.concatenate((s, s1)),
+            np.concatenate((np.ones(len(s), np.int64), n1)),
+            np.concatenate((np.zeros(len(s), np.int32), np.ones(len(i1), np.int32))),
         )
 
     def run(batches):
         rows, held = [], 0
         for batch in batches:
-            data, offsets = text_buffer(batch.column(2))
-            ids, hs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            lists = batch.column(3)
+            data, offsets = text_buffer(batch.column(text))
+            ids, hs = (batch.column(k).to_numpy() for k in keys)
+            lists = batch.column(ranges)
             at = np.asarray(lists.offsets)
             s_all, n_all = (np.asarray(lists.values.field(k)) for k in (0, 1))
             for i in range(batch.num_rows):
@@ -252,14 +260,17 @@ def _third_digits(length: int):
                 # neighbouring ranges share their bytes
                 far = np.flatnonzero(s[1:] > s[:-1] + n[:-1] + length) + 1
                 for s1, n1 in zip(np.split(s, far), np.split(n, far), strict=True):
-                    low, high = int(s1[0]), int((s1 + n1).max()) + length - 1
-                    w = Rolling(data[offsets[i] + low : offsets[i] + high]).fixed(length)
-                    p = np.unique(_expand(s1 - low, n1))
-                    rows.append((w[p], np.full(len(p), ids[i]), np.full(len(p), hs[i]), p + low))
-                    held += len(p)
-                if held >= 250_000:
-                    yield flush(rows)
-                    rows, held = [], 0
+                    for low in range(int(s1[0]), int((s1 + n1).max()), SEGMENT):
+                        high = min(low + SEGMENT, int((s1 + n1).max()))
+                        own = data[offsets[i] + low : offsets[i] + high + length - 1]
+                        p = np.unique(_expand(s1, n1))
+                        p = p[(p >= low) & (p < high)] - low
+                        w, v = Rolling(own).fixed(length)[p], Rolling(own, 1).fixed(length)[p]
+                        rows.append((w, (v >> np.uint64(32)).astype(np.uint32), np.full(len(p), ids[i]), np.full(len(p), hs[i]), p + low))
+                        held += len(p)
+                        if held >= WINDOWS:
+                            yield flush(rows)
+                            rows, held = [], 0
         if rows:
             yield flush(rows)
 
@@ -267,38 +278,43 @@ def _third_digits(length: int):
 
 
 def document_key(docs: DataFrame, id_col: str, text_col: str) -> tuple:
-    """(id, h, bytes of all texts): rows with one id are told apart by a hash of their texts.
+    """(id, h, names of the key): rows with one id are told apart by a hash h of their texts.
 
-    Equal rows count as one document. Where no id has two texts h is 0, which keeps
-    it out of the shuffles.
+    Equal rows count as one document. Where no id has two texts h is 0 and the id
+    is the key.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     h = F.xxhash64(text).bitwiseAND(F.lit(2**31 - 1)).cast("int")
     ids = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
-    by_id = docs.select(ids.alias("id"), h.alias("h"), F.octet_length(text).cast("long").alias("n")).groupBy("id")
-    seen = by_id.agg(F.min("h").alias("low"), F.max("h").alias("high"), F.sum("n").alias("n"))
-    size, apart = seen.agg(F.sum("n"), F.max(F.col("low") != F.col("high"))).first()
-    return ids, h if apart else F.lit(0), size or 0
-
-
-def keyed(docs: DataFrame, key: tuple, text_col: str) -> DataFrame:
-    """(id, h, text)."""
-    return docs.select(key[0].alias("id"), key[1].alias("h"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-
-
-def repeated_ranges(docs: DataFrame, key: tuple, *, text_col: str = "text", length: int = 100, gram: int = 36) -> DataFrame:
-    """(id, h, ranges): for each document with any, the starts s .. s + n - 1 of strings of
-    ``length`` bytes that also start earlier (smaller id, or the same document and an earlier start)."""
-    texts = keyed(docs, key, text_col)
-    bits = max(4, int(key[2] // PER_BUCKET).bit_length())
-    records = texts.mapInArrow(_first_passes(length, gram, bits), DIGITS)
-    split = Table(records.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_second_pass, RANGES)).df
-    open_ = split.where("kind = 0").groupBy("id", "h").agg(F.collect_list(F.struct("s", "n")).alias("ranges"))
-    digits = texts.join(open_, ["id", "h"]).mapInArrow(_third_digits(length), "w long, id long, h int, s long, kind int")
-    order = Window.partitionBy("w").orderBy("id", "h", "s")
+    seen = docs.select(ids.alias("id"), h.alias("h")).groupBy("id").agg(F.min("h").alias("low"), F.max("h").alias("high"))
+    apart = not seen.where("low <> high").isEmpty()
+    return ids, h if apart else F.lit(0), ["id", "h"] if apart else ["id"]
+
+
+def keyed(docs: DataFrame, key: tuple, text_col: str, *more) -> DataFrame:
+    """(id, h, text) and more columns."""
+    return docs.select(key[0].alias("id"), key[1].alias("h"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *more)
+
+
+def repeated_ranges(texts: DataFrame, by: list[str], *, length: int = 100, gram: int = 36) -> DataFrame:
+    """(key, ranges): for each document with any, the starts s .. s + n - 1 of strings of
+    ``length`` bytes that also start earlier (smaller id, or the same document and an earlier start).
+
+    ``texts`` has id, h, text and maybe more; ``by`` names its key."""
+    route = F.when(F.col("kind") == 2, F.xxhash64("a", "b")).otherwise(F.col("a"))
+    records = texts.select("id", "h", "text").mapInArrow(_first_pass(length, gram), DIGITS)
+    dealt = records.repartition(route).sortWithinPartitions("a", "b", "c", "id", "h", "s")
+    split = Table(dealt.mapInArrow(_second_pass, RANGES)).df
+    ranges = F.collect_list(F.struct("s", "n")).alias("ranges")
+    open_ = split.where("kind = 0").groupBy(*by).agg(ranges)
+    # all columns of the texts pass, so that the last join reads the same shuffle
+    asked = texts.join(open_, by)
+    at = {c: k for k, c in enumerate(asked.columns)}
+    digits = asked.mapInArrow(_third_digits(length, at["text"], at["ranges"], (at["id"], at["h"])), WHOLE)
+    order = Window.partitionBy("w", "v").orderBy("id", "h", "s")
     later = digits.withColumn("place", F.rank().over(order)).where("kind = 1 or place > 1")
-    found = split.where("kind = 1").select("id", "h", "s", "n").unionAll(later.select("id", "h", "s", F.lit(1).cast("long").alias("n")))
-    return found.groupBy("id", "h").agg(F.collect_list(F.struct("s", "n")).alias("ranges"))
+    found = split.where("kind = 1").select("id", "h", "s", "n").unionAll(later.select("id", "h", "s", "n"))
+    return found.groupBy(*by).agg(ranges)
 
 
 def _covered(size: int, at: np.ndarray, lists, length: int) -> np.ndarray:
@@ -361,8 +377,8 @@ def repeat_digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     documents of their own, in the order of a hash. Other columns are not read.
     """
     key = document_key(docs, id_col, text_col)
-    ranges = repeated_ranges(docs, key, text_col=text_col, length=length, gram=gram)
-    texts = keyed(docs, key, text_col).join(ranges, ["id", "h"], "left")
+    texts = keyed(docs, key, text_col)
+    texts = texts.join(repeated_ranges(texts, key[2], length=length, gram=gram), key[2], "left")
     known = texts.select(F.when(F.col("id") != NULL_ID, F.col("id")).alias("doc_id"), "text", "ranges")
     return known.mapInArrow(_digests(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
@@ -390,11 +406,10 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     Every row stays, one left without text too. Other columns pass unchanged.
     """
     key = document_key(docs, id_col, text_col)
-    ranges = repeated_ranges(docs, key, text_col=text_col, length=length, gram=gram)
     others = [c for c in docs.columns if c != text_col]
-    rows = docs.select(
-        F.struct(*others).alias("row"), F.col(text_col).alias("text"), key[0].alias("id"), key[1].alias("h")
-    ).join(ranges, ["id", "h"], "left").select("row", "text", "ranges")
+    texts = keyed(docs, key, text_col, F.struct(*others).alias("row"), F.col(text_col).isNull().alias("empty"))
+    rows = texts.join(repeated_ranges(texts, key[2], length=length, gram=gram), key[2], "left")
+    rows = rows.select("row", F.when(~F.col("empty"), F.col("text")).alias("text"), "ranges")
     kind = rows.schema["row"].dataType.simpleString()
     cut = rows.mapInArrow(_stripped(length), f"row {kind}, text string")
     return cut.select(*[F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
