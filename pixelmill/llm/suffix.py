@@ -39,11 +39,15 @@ from .common import NULL_ID, Rolling, Table, blocks, mix64, text_buffer
 
 PLACE_BITS = 24
 PLACE = np.uint64((1 << PLACE_BITS) - 1)
-BLOCK, SEGMENT, BATCH = 1_000_000, 2_000_000, 8_000_000
+BLOCK, SEGMENT, BATCH = 1_000_000, 2_000_000, 16_000_000
 #: Windows of pass 3 that meet before the shuffle.
-WINDOWS = 500_000
-#: kind: 0 a run, 1 a range known to repeat, 2 a run known to go on and dealt out by both digits.
-DIGITS = "kind int, a long, b long, c int, open int, id long, h int, s long, n long"
+WINDOWS = 1_000_000
+#: What ``m`` of a run holds beside 32 bits of its second digit: 20 of its length, and whether it is known to go
+#: on and is dealt out by both digits. A range known to repeat has a length of 0 here and its own in b. Rows are
+#: packed so, and h is left out where ids are unique, as they are most of what is shuffled.
+LENGTH_BITS = 20
+GOES_ON, BY_BOTH = 1 << LENGTH_BITS, 1 << LENGTH_BITS + 1
+DIGITS = "a long, b long, m long, id long, s long"
 RANGES = "id long, h int, s long, n long, kind int"
 
 
@@ -116,7 +120,11 @@ def _table(schema: str, *columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(columns, types, strict=True)], names=list(names))
 
 
-def _first_pass(length: int, gram: int):
+def _with_h(schema: str, apart: bool) -> str:
+    return schema + ", h int" if apart else schema
+
+
+def _first_pass(length: int, gram: int, apart: bool):
     """Documents -> runs with their digits; repeats within a batch come as ranges."""
 
     def flush(ids, hs, rows):
@@ -134,19 +142,16 @@ def _first_pass(length: int, gram: int):
         first = _first_of_equal(a)
         group = np.cumsum(first) - 1
         several = np.bincount(group)[group] > 1 if len(group) else first
-        none = np.zeros(len(d1), np.int64)
-        doc, s, n = (np.concatenate(x) for x in ((doc, d1), (s, s1), (n, n1)))
+        known = np.where(several, GOES_ON, 0) + np.where(first, 0, BY_BOTH)
+        doc, s = np.concatenate((doc, d1)), np.concatenate((s, s1))
         return _table(
-            DIGITS,
-            np.concatenate((np.where(first, 0, 2), none + 1)).astype(np.int32),
+            _with_h(DIGITS, apart),
             np.concatenate((a.view(np.int64), mix64(ids[d1].astype(np.uint64)).view(np.int64))),
-            np.concatenate((b.view(np.int64), none)),
-            np.concatenate((c.view(np.int32), none.astype(np.int32))),
-            np.concatenate((several, none)).astype(np.int32),
+            np.concatenate((b.view(np.int64), n1)),
+            np.concatenate((c.astype(np.int64) << 32 | known | n, np.zeros(len(d1), np.int64))),
             ids[doc],
-            hs[doc].astype(np.int32),
             s,
-            n,
+            *([hs[doc].astype(np.int32)] if apart else []),
         )
 
     def run(batches):
@@ -173,53 +178,60 @@ def _first_pass(length: int, gram: int):
     return run
 
 
-def _second_pass(batches):
+def _second_pass(apart: bool):
     """Runs sorted by digits, then place -> ranges: kind 1 repeats, kind 0 goes on to the third pass.
 
     Of the group at hand only its last row is kept, and its first run until a
     second digit shows that it goes on.
     """
-    last = held = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        kind, a, b, c, open_, ids, h, s, n = (batch.column(k).to_numpy() for k in range(9))
-        digits = np.stack([a, b, c.astype(np.int64), ids, h.astype(np.int64), s])
-        before = np.concatenate((digits[:, :1] if last is None else last[:, None], digits[:, :-1]), axis=1)
-        differs = digits != before
-        if last is None:
-            differs[:, 0] = True
-        # a range known to repeat is a group of its own
-        new_a = differs[0] | (kind == 1)
-        new = new_a | differs[1] | differs[2]
-        if last is None:
-            new_a[0] = new[0] = True
-        group = np.cumsum(new_a) - new_a[0]
-        size = int(group[-1]) + 1
-        distinct = np.bincount(group, new, size)
-        goes_on = (distinct > 1) | (np.bincount(group, open_, size) > 0)
-        if not new_a[0]:  # the group began in an earlier batch
-            goes_on[0] |= distinct[0] > 0 or held is None
-        # the same place of a repeated row is not a repeat of itself
-        again = (kind == 1) | (~new & (differs[3] | differs[4] | differs[5]))
-        out = again | (new & goes_on[group])
-        rows = [ids[out], h[out], s[out], n[out], again[out].astype(np.int32)]
-        if held is not None and (new_a[0] or goes_on[0]):
-            if not new_a[0]:
-                rows = [np.append(x, y).astype(x.dtype) for x, y in zip(rows, (*held, 0), strict=True)]
-            held = None
-        if not goes_on[-1] and kind[-1] != 1 and (size > 1 or new_a[0]):
-            k = int(np.flatnonzero(new_a)[-1])
-            held = (ids[k], h[k], s[k], n[k])
-        last = digits[:, -1]
-        yield _table(RANGES, *rows)
-
-
-WHOLE = "w long, v int, id long, h int, s long, n long, kind int"
-
-
-def _third_digits(length: int, text: int, ranges: int, keys: tuple[int, int]):
-    """Documents with open ranges -> (whole digit, place); repeats within the batch come as ranges of kind 1."""
+    def run(batches):
+        last = held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a, b, m, ids, s = (batch.column(k).to_numpy() for k in range(5))
+            h = batch.column(5).to_numpy() if apart else np.zeros(len(a), np.int32)
+            n = m & (GOES_ON - 1)
+            sure = n == 0  # a range known to repeat
+            n = np.where(sure, b, n)
+            digits = np.stack([a, b, m >> 32, ids, h.astype(np.int64), s])
+            before = np.concatenate((digits[:, :1] if last is None else last[:, None], digits[:, :-1]), axis=1)
+            differs = digits != before
+            if last is None:
+                differs[:, 0] = True
+            new_a = differs[0] | sure  # each of those is a group of its own
+            new = new_a | differs[1] | differs[2]
+            if last is None:
+                new_a[0] = new[0] = True
+            group = np.cumsum(new_a) - new_a[0]
+            size = int(group[-1]) + 1
+            distinct = np.bincount(group, new, size)
+            goes_on = (distinct > 1) | (np.bincount(group, m & GOES_ON, size) > 0)
+            if not new_a[0]:  # the group began in an earlier batch
+                goes_on[0] |= distinct[0] > 0 or held is None
+            # the same place of a repeated row is not a repeat of itself
+            again = sure | (~new & (differs[3] | differs[4] | differs[5]))
+            out = again | (new & goes_on[group])
+            rows = [ids[out], h[out], s[out], n[out], again[out].astype(np.int32)]
+            if held is not None and (new_a[0] or goes_on[0]):
+                if not new_a[0]:
+                    rows = [np.append(x, y).astype(x.dtype) for x, y in zip(rows, (*held, 0), strict=True)]
+                held = None
+            if not goes_on[-1] and not sure[-1] and (size > 1 or new_a[0]):
+                k = int(np.flatnonzero(new_a)[-1])
+                held = (ids[k], h[k], s[k], n[k])
+            last = digits[:, -1]
+            yield _table(RANGES, *rows)
+
+    return run
+
+
+#: vn: 32 bits of the digit, and the length of a range known to repeat (0: a window whose group is yet to be seen).
+WHOLE = "w long, vn long, id long, s long"
+
+
+def _third_digits(length: int, text: int, ranges: int, keys: tuple[int, int], apart: bool):
+    """Documents with open ranges -> (whole digit, place); repeats within the batch come as ranges."""
 
     def flush(rows):
         w, v, ids, h, s = (np.concatenate(x) for x in zip(*rows, strict=True))
@@ -234,14 +246,12 @@ def _third_digits(length: int, text: int, ranges: int, keys: tuple[int, int]):
         i1, h1, s1 = i1[begin], h1[begin], s1[begin]
         w, v, ids, h, s = (x[new] for x in (w, v, ids, h, s))
         return _table(
-            WHOLE,
+            _with_h(WHOLE, apart),
             np.concatenate((w.view(np.int64), mix64(i1.astype(np.uint64)).view(np.int64))),
-            np.concatenate((v.view(np.int32), np.zeros(len(i1), np.int32))),
+            np.concatenate((v.astype(np.int64) << 32, n1)),
             np.concatenate((ids, i1)),
-            np.concatenate((h, h1)).astype(np.int32),
             np.concatenate((s, s1)),
-            np.concatenate((np.ones(len(s), np.int64), n1)),
-            np.concatenate((np.zeros(len(s), np.int32), np.ones(len(i1), np.int32))),
+            *([np.concatenate((h, h1)).astype(np.int32)] if apart else []),
         )
 
     def run(batches):
@@ -301,19 +311,24 @@ def repeated_ranges(texts: DataFrame, by: list[str], *, length: int = 100, gram:
     ``length`` bytes that also start earlier (smaller id, or the same document and an earlier start).
 
     ``texts`` has id, h, text and maybe more; ``by`` names its key."""
-    route = F.when(F.col("kind") == 2, F.xxhash64("a", "b")).otherwise(F.col("a"))
-    records = texts.select("id", "h", "text").mapInArrow(_first_pass(length, gram), DIGITS)
-    dealt = records.repartition(route).sortWithinPartitions("a", "b", "c", "id", "h", "s")
-    split = Table(dealt.mapInArrow(_second_pass, RANGES)).df
+    apart = "h" in by
+    place = ["id", "h", "s"] if apart else ["id", "s"]
+    route = F.when(F.col("m").bitwiseAND(F.lit(BY_BOTH)) > 0, F.xxhash64("a", "b")).otherwise(F.col("a"))
+    records = texts.select("id", "h", "text").mapInArrow(_first_pass(length, gram, apart), _with_h(DIGITS, apart))
+    dealt = records.repartition(route).sortWithinPartitions("a", "b", F.shiftright("m", 32), *place)
+    split = Table(dealt.mapInArrow(_second_pass(apart), RANGES)).df
     ranges = F.collect_list(F.struct("s", "n")).alias("ranges")
     open_ = split.where("kind = 0").groupBy(*by).agg(ranges)
     # all columns of the texts pass, so that the last join reads the same shuffle
     asked = texts.join(open_, by)
     at = {c: k for k, c in enumerate(asked.columns)}
-    digits = asked.mapInArrow(_third_digits(length, at["text"], at["ranges"], (at["id"], at["h"])), WHOLE)
-    order = Window.partitionBy("w", "v").orderBy("id", "h", "s")
-    later = digits.withColumn("place", F.rank().over(order)).where("kind = 1 or place > 1")
-    found = split.where("kind = 1").select("id", "h", "s", "n").unionAll(later.select("id", "h", "s", "n"))
+    third = _third_digits(length, at["text"], at["ranges"], (at["id"], at["h"]), apart)
+    digits = asked.mapInArrow(third, _with_h(WHOLE, apart)).repartition("w")
+    digits = digits.withColumn("v", F.shiftright("vn", 32)).withColumn("n", F.col("vn").bitwiseAND(F.lit(2**32 - 1)))
+    order = Window.partitionBy("w", "v").orderBy(*place)
+    later = digits.withColumn("place", F.rank().over(order)).where("n > 0 or place > 1")
+    later = later.select(*place, F.greatest("n", F.lit(1)).cast("long").alias("n"))
+    found = split.where("kind = 1").select(*place, "n").unionAll(later)
     return found.groupBy(*by).agg(ranges)
 
 
