@@ -10,6 +10,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 #: Characters that separate words in most contracts: space, \t \n \v \f \r.
@@ -78,6 +79,11 @@ class Table:
         remove(self.spark, self.path)
 
 
+def shared(spark: SparkSession, value):
+    """A broadcast of bytes, opened by ``pickle.loads``: with the classes of this package by value, so workers need no copy of it."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all rows, end to end, and the len + 1 offsets; null is empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -18,6 +18,7 @@ language; no language and no context is left out.
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, text_buffer
+from .common import blocks, shared, text_buffer
 
 ORDER = 3
 BLOCK = 1_000_000
@@ -174,7 +175,7 @@ def train(docs: DataFrame, *, id_col="doc_id", text_col="text", lang_col="lang",
 
 def _score(model_of):
     def run(batches):
-        model = model_of.value
+        model = pickle.loads(model_of.value)
         for batch in batches:
             data, at = text_buffer(batch.column(1))
             letters = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
@@ -208,9 +209,9 @@ def _predicted(docs: DataFrame, model: Model | None, key_cols: list[str], text_c
     rows = docs.select(F.struct(*key_cols).alias("key"), text.alias("text"), text.rlike("\\p{L}").alias("letters"))
     if model is None:
         return rows.select("key", "text", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    model_of = shared(docs.sparkSession, model)
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(_score(shared), f"key {kind}, text string, lang_pred string, score double")
+    return rows.mapInArrow(_score(model_of), f"key {kind}, text string, lang_pred string, score double")
 
 
 def keep_known(docs: DataFrame, model: Model | None, *, text_col: str = "text", least_score: float = 0.5) -> DataFrame:
