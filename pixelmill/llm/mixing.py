@@ -26,6 +26,12 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit("[^\\x20\\x09-\\x0D]+")).cast("long")
 
 
+def shuffle_key(doc_id: Column, seed: int) -> Column:
+    """60 bits of an MD5 of the id."""
+    text = F.concat(F.lit(f"{seed}-"), F.coalesce(doc_id.cast("string"), F.lit("")))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def running_sum(rows: Table, order: list[str], amount: str, within: list[str], n: int) -> DataFrame:
     """``rows`` with ``run``: the sum of ``amount`` of all rows up to this one in ``order``,
     started again for each value of ``within`` (the first columns of ``order``)."""
@@ -90,7 +96,7 @@ def mix(
     n = max(1, -(-sizes.df.count() // PER_RANGE), int(sizes.spark.conf.get("spark.sql.shuffle.partitions")))
     sources = Table(source_targets(sizes.df, list(weights), share, max_repeats))
     known = sizes.df.join(sources.df.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    shuffled = Table(known.withColumn("h", F.xxhash64("doc_id", F.lit(seed))))
+    shuffled = Table(known.withColumn("h", shuffle_key(F.col("doc_id"), seed)))
     queued = Table(running_sum(shuffled, ["src", "h", "doc_id", "size"], "size", ["src"], n))
     copies = F.explode(F.sequence(F.lit(0), F.lit(max_repeats - 1)))
     finish = (F.col("copy") * F.col("source_size") + F.col("run")) / F.col("weight")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import chat, common, decontaminate, licenses, mixing, ppm, pseudo, quality, simhash, suffix, weak
+from .oracles import ORACLE_SQL  # noqa: F401
 
 
 def op1_licenses(spark, sf_dir):
@@ -69,5 +70,3 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_weak": op10_weak,
 }
-
-ORACLE_SQL: dict[str, str] = {}
