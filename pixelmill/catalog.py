@@ -95,7 +95,7 @@ def flagship(spark, sf_dir):
 
 
 def census(src):
-    ctx = Context(src, Palette.of("game-boy"))
+    ctx = Context(src, Palette.of("gameboy-dmg"))
     rel = apply(rasters.emb8(src), "levels", {"inputBlack": 0.05, "inputWhite": 0.95, "gamma": 1.2}, ctx)
     rel = apply(rel, "bayer-8", {}, ctx)
     return rel.group(["image_id", "idx"], pixels="count(*)")

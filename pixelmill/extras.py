@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
 from pixelmill.functions import color
-from pixelmill.operators import animation, census, compositing, dithers, extract, palettes
+from pixelmill.operators import animation, census, compositing, dithers, extract, noise, palettes
 from pixelmill.operators.context import Context
 from pixelmill.operators.palettes import Palette
 from pixelmill.operators.registry import EFFECTS, apply
@@ -13,7 +15,7 @@ from pixelmill.sources import rasters
 from pixelmill.sources.rasters import emb8, result
 
 
-def dithered(src, palette="game-boy"):
+def dithered(src, palette="gameboy-dmg"):
     return apply(emb8(src), "bayer-4", {}, Context(src, Palette.of(palette)))
 
 
@@ -48,6 +50,20 @@ def feedback_loop(src):
     return result(apply(sequence(src), "feedback", {"decay": 0.8, "offsetX": 0.5, "rotate": 0.03, "blend": "lighten"}, ctx))
 
 
+def framed(id, params):
+    """An effect over four frames of each image."""
+
+    def run(src):
+        return result(apply(sequence(src), id, params, Context(src)))
+
+    return run
+
+
+def composite_frames(src):
+    base = sequence(src)
+    return result(compositing.composite(base, apply(base, "invert", {"amount": 0.9}), "screen", 0.7))
+
+
 def palette_match(metric):
     def run(src):
         return palettes.nearest(emb8(src), Palette.of("cga-16", metric)).let(idx="cast(idx as int)").keep("image_id", "x", "y", "idx")
@@ -70,9 +86,47 @@ def populations(src):
 
 def gradient_noise(src):
     """Interleaved gradient noise over a canvas."""
-    rel = rasters.blank(src, 64, 48)
-    v = color.fract(f"(52.9829189 * {color.fract('(0.06711056 * x + 0.00583715 * y)')})")
-    return rel.let(value=f"round({v}, 6)").keep("x", "y", "value")
+    return noise.gradient(rasters.blank(src, 64, 48), 11).let(value="round(value, 6)").keep("x", "y", "value")
+
+
+def _field(kind, width=40, height=23, seed=9, cells=6):
+    def run(src):
+        if src.d.spark:
+            more = (cells,) if kind == "value" else ()
+            return SparkRel(getattr(noise, kind)(src.spark, width, height, *more, seed)).let(value="round(value, 6) + 0.0")
+        # draw by draw, as the definition has it
+        rng = dithers.Pcg32(seed, dithers.stream_of(noise.STREAMS[kind]))
+        if kind == "value":
+            points = src.values(["k", "v"], [(k, rng.next_f32()) for k in range(cells * cells)])
+            rel = src.ints("id", width * height).let(x=f"id % {width}", y=f"id // {width}")
+            for a, n in (("x", width), ("y", height)):
+                rel = rel.let(**{f"{a}0": f"(({a} * {cells}) // {n}) % {cells}", f"t{a}": f"{a} * {cells}.0 / {n} - ({a} * {cells}) // {n}"}).let(**{f"{a}1": f"({a}0 + 1) % {cells}"})
+            for i in "01":
+                for j in "01":
+                    rel = rel.let(k=f"y{i} * {cells} + x{j}").join(points, ["k"]).let(**{f"v{i}{j}": "v"}).drop("v", "k")
+            rel = rel.let(tx="tx * tx * (3.0 - 2.0 * tx)", ty="ty * ty * (3.0 - 2.0 * ty)").let(p="v00 + (v01 - v00) * tx", q="v10 + (v11 - v10) * tx")
+            return rel.let(value="round(p + (q - p) * ty, 6) + 0.0").keep("x", "y", "value")
+        v = []
+        while len(v) < width * height:
+            if kind == "white":
+                v.append(rng.next_f32())
+            else:
+                size, angle = math.sqrt(-2 * math.log(1 - rng.next_f32())), 2 * math.pi * rng.next_f32()
+                v += [size * math.cos(angle), size * math.sin(angle)]
+        rows = [(k % width, k // width, u) for k, u in enumerate(v[: width * height])]
+        return src.values(["x", "y", "value"], rows).let(value="round(value, 6) + 0.0")
+
+    return run
+
+
+def all_palettes(src):
+    """Every built-in palette's entries and where they stand when sorted by hue, by luminance and as given."""
+    rows = []
+    for name in palettes.BUILT_IN:
+        p = Palette.of(name)
+        place = {by: {i: k for k, i in enumerate(p.sort_order(by))} for by in ("hue", "luminance")}
+        rows += [(name, i, *c, place["hue"][i], place["luminance"][i]) for i, c in enumerate(p.colors)]
+    return src.values(["palette", "entry", "cr", "cg", "cb", "by_hue", "by_luminance"], rows)
 
 
 BINDINGS = [
@@ -82,11 +136,11 @@ BINDINGS = [
 TEMPORAL = {
     "static": {},
     "per-frame-reseed": {"base": 5},
-    "hold-k": {"base": 5, "hold": 4},
+    "hold-k-frames": {"base": 5, "hold": 4},
     "ping-pong": {"base": 5, "hold": 3},
     "blue-noise-cycle": {"period": 64},
-    "bayer-offset-scroll": {"cells": (8, 16)},
-    "ign-scroll": {"cells": (5, 7)},
+    "bayer-offset-scroll": {"cells": (8, -16), "period": 8},
+    "ign-scroll": {"period": 64},
     "bayer-rotation": {"turns": 2},
     "golden-ratio-rotation": {},
 }
@@ -99,7 +153,7 @@ def modulators(src):
 def temporal_modes(src):
     out = None
     for mode, v in TEMPORAL.items():
-        own = animation.temporal(src, mode, 24, **v).let(mode=f"'{mode}'", ox="ox + 0.0", oy="oy + 0.0", turns="round(turns, 6) + 0.0")
+        own = animation.temporal(src, mode, 24, **v).let(mode=f"'{mode}'", ox="round(ox, 6) + 0.0", oy="round(oy, 6) + 0.0", turns="round(turns, 6) + 0.0")
         out = own if out is None else out.union(own)
     return out
 
@@ -209,7 +263,8 @@ def document_render(src):
 
 def _extracted(method):
     def run(spark, sf_dir):
-        return extract.extract(emb8(Spark(spark, sf_dir)), 4, method).df
+        rel = emb8(Spark(spark, sf_dir))
+        return result(extract.populations(rel, extract.extract(rel, 4, method)), "entry", "pixels").df
 
     return run
 
@@ -221,6 +276,11 @@ PAIRS = {
     "mask_color": _masked({"kind": "color", "color": (200, 120, 90), "tolerance": 0.1, "feather": 0.2, "invert": True}),
     "mask_image": _masked({"kind": "image", "channel": "green"}),
     "feedback_loop": feedback_loop,
+    "composite_frames": composite_frames,
+    "fx_floyd_steinberg_frames": framed("floyd-steinberg", {}),
+    "fx_row_displacement_frames": framed("row-displacement", {"maxSliceHeight": 0.4, "offsetRange": 0.5, "probability": 0.8, "seed": 8}),
+    "fx_glyph_tile_frames": framed("glyph-tile", {"cellSize": 4}),
+    "fx_datamosh_smear_frames": framed("datamosh-smear", {"dragLength": 5.0, "threshold": 0.8, "seed": 1}),
     "palette_match_oklab": palette_match("oklab"),
     "palette_match_srgb": palette_match("srgb"),
     "palette_remap": palette_remap,
@@ -228,7 +288,11 @@ PAIRS = {
     "palette_histogram": lambda src: census.histogram(emb8(src)),
     "palette_output_modes": output_modes,
     "noise_interleaved_gradient": gradient_noise,
+    "noise_white": _field("white"),
+    "noise_gaussian": _field("gaussian"),
+    "noise_value": _field("value"),
     "noise_blue_tile": blue_tile,
+    "palette_built_in": all_palettes,
     "animation_modulators": modulators,
     "animation_temporal_modes": temporal_modes,
     "animation_keyframes": keyframes,

@@ -75,30 +75,47 @@ def modulated(src, bindings: list[dict], n: int):
     return out
 
 
+#: Steps of the R2 sequence (1/g and 1/g**2 of the plastic number), of animated gradient noise, and the golden angle
+#: in turns; fixed values.
+R2 = (0.7548776662466928, 0.5698402909980533)
+GRADIENT_ADVANCE = 5.588238
+GOLDEN_TURNS = (3 - math.sqrt(5)) / 2
+
+
+def seed_from_string(text: str) -> int:
+    return fold(*map(ord, text))
+
+
 def temporal(src, mode: str, n: int, **v):
-    """(frame, seed, ox, oy, turns): how a dither's pattern varies over the loop."""
+    """(frame, seed, ox, oy, turns): how a dither's pattern varies over the loop.
+
+    hold: frames a step lasts; base: the node's seed; period: cells after which an
+    offset repeats; cells: cells a loop on either axis; turns: turns a loop.
+    """
     rel = frames(src, n)
-    hold = v.get("hold", 1)
-    step = rel.d.div("frame", hold)
-    zero = {"seed": "cast(null as bigint)", "ox": num(0), "oy": num(0), "turns": num(0)}
-    steps = -(-n // hold)
-    seeds = rel.d.array([fold(v.get("base", 0), k) for k in range(steps)])
-    if mode in ("per-frame-reseed", "hold-k"):
-        zero["seed"] = f"cast({rel.d.at(seeds, step)} as bigint)"
+    d, hold, period = rel.d, v.get("hold", 1), num(v.get("period", 1))
+    step, steps = d.div("frame", hold), -(-n // hold)
+    out = {"seed": "cast(null as bigint)", "ox": num(0), "oy": num(0), "turns": num(0)}
+    seeds = d.array([fold(v.get("base", 0), seed_from_string(f"temporal:{mode}"), k) for k in range(steps)])
+
+    def wrapped(x):
+        return f"({x} - {period} * floor({x} / {period}))"
+
+    if mode in ("per-frame-reseed", "hold-k-frames"):
+        out["seed"] = f"cast({d.at(seeds, step)} as bigint)"
     elif mode == "ping-pong":
-        back = f"least({step}, {steps} - {step})"
-        zero["seed"] = f"cast({rel.d.at(seeds, back)} as bigint)"
-    elif mode == "blue-noise-cycle":  # the R2 sequence over the tile
-        g = 1.32471795724474602596
-        zero["ox"] = f"floor({fract(f'(0.5 + {step} * {num(1 / g)})')} * {num(v['period'])})"
-        zero["oy"] = f"floor({fract(f'(0.5 + {step} * {num(1 / g**2)})')} * {num(v['period'])})"
-    elif mode in ("bayer-offset-scroll", "ign-scroll"):
-        zero["ox"], zero["oy"] = (f"floor(t * {num(c)})" for c in v["cells"])
+        out["seed"] = f"cast({d.at(seeds, f'least({step}, {steps} - {step})')} as bigint)"
+    elif mode == "blue-noise-cycle":
+        out["ox"], out["oy"] = (f"{fract(f'({step} * {num(a)})')} * {period}" for a in R2)
+    elif mode == "bayer-offset-scroll":
+        out["ox"], out["oy"] = (wrapped(f"({num(c)} * frame / {num(n)})") for c in v["cells"])
+    elif mode == "ign-scroll":
+        out["ox"] = out["oy"] = wrapped(f"(frame * {num(GRADIENT_ADVANCE)})")
     elif mode == "bayer-rotation":
-        zero["turns"] = fract(f"(t * {num(v['turns'])})")
+        out["turns"] = fract(f"({num(v['turns'])} * frame / {num(n)})")
     elif mode == "golden-ratio-rotation":
-        zero["turns"] = fract(f"(frame * {num((math.sqrt(5) - 1) / 2)})")
-    return rel.let(**zero).keep("frame", "seed", "ox", "oy", "turns")
+        out["turns"] = fract(f"(frame * {num(GOLDEN_TURNS)})")
+    return rel.let(**out).keep("frame", "seed", "ox", "oy", "turns")
 
 
 #: easing -> expression of the unit time u.

@@ -8,30 +8,38 @@ from pixelmill.plans.rel import num, whole
 
 def rgba8(rel):
     """Adds 8-bit codes of each channel."""
-    code = {f"c{c}": f"cast({rel.d.rint(f'{color.clamp(color.encode(c))} * 255.0')} as bigint)" for c in "rgb"}
-    return rel.let(**code, ca=f"cast({rel.d.rint(f'{color.clamp("a")} * 255.0')} as bigint)")
+    code = {f"c{c}": whole(f"{color.clamp(color.encode(c))} * 255.0 + 0.5") for c in "rgb"}
+    return rel.let(**code, ca=whole(f"{color.clamp('a')} * 255.0 + 0.5"))
 
 
 def colour_census(rel, most: int = 256):
     """(image_id, entry, code, pixels, depth): an image's distinct colours, transparent ones first, then by first
-    appearance; images with more than ``most`` have no table. depth: bits of an index."""
+    appearance. An image with more than ``most`` has no table, but one row with a null entry, code and depth. depth: bits of an index."""
     rel = rgba8(rel).let(code="((cr * 256 + cg) * 256 + cb) * 256 + ca", place="y * w + x")
     found = rel.group(["image_id", "code", "ca"], pixels="count(*)", first="min(place)")
-    found = found.let(colours="count(*) over (partition by image_id)").where(f"colours <= {most}")
+    found = found.let(colours="count(*) over (partition by image_id)")
     order = "over (partition by image_id order by case when ca < 255 then 0 else 1 end, first)"
     found = found.let(entry=f"row_number() {order} - 1", depth="case when colours <= 2 then 1 when colours <= 4 then 2 when colours <= 16 then 4 else 8 end")
-    return found.keep("image_id", "entry", "code", "pixels", "depth")
+    many = found.where(f"colours > {most}").group(["image_id"], pixels="cast(sum(pixels) as bigint)")
+    none = many.let(entry="cast(null as bigint)", code="cast(null as bigint)", depth="cast(null as bigint)")
+    columns = ("image_id", "entry", "code", "pixels", "depth")
+    found = found.where(f"colours <= {most}").let(entry="cast(entry as bigint)", depth="cast(depth as bigint)")
+    return found.keep(*columns).union(none.keep(*columns))
 
 
-def histogram(rel, bins: int = 32):
-    """(image_id, bin, n, mr, mg, mb): OKLab bins over each image's own bounding box, with their mean colour."""
+def histogram(rel, bins: int = 32, moments: bool = False):
+    """(image_id, bin, n, mr, mg, mb): OKLab bins over each image's own bounding box, with their mean colour.
+
+    ``moments`` adds the means of the OKLab axes and of their squared length, and leaves all unrounded."""
     rel = color.oklab(rel)
     names = ("lab_l", "lab_a", "lab_b")
-    box = {f"{f}_{c}": f"{f}({c}) over (partition by image_id)" for c in names for f in ("min", "max")}
-    rel = rel.let(**box)
+    box = rel.group(["image_id"], **{f"{f}_{c}": f"{f}({c})" for c in names for f in ("min", "max")})
+    rel = rel.join(box, ["image_id"])
     cell = [f"least({whole(f'({c} - min_{c}) / greatest(max_{c} - min_{c}, 1e-12) * {num(bins)}')}, {bins - 1})" for c in names]
     rel = rel.let(bin=f"({cell[0]} * {bins} + {cell[1]}) * {bins} + {cell[2]}")
-    return rel.group(["image_id", "bin"], n="count(*)", mr="round(avg(r), 6)", mg="round(avg(g), 6)", mb="round(avg(b), 6)")
+    more = {f"m{c}": f"avg({c})" for c in names} | {"m2": " + ".join(f"avg({c} * {c})" for c in names)} if moments else {}
+    means = {f"m{c}": f"avg({c})" if moments else f"round(avg({c}), 6)" for c in "rgb"}
+    return rel.group(["image_id", "bin"], n="count(*)", **means, **more)
 
 
 def runs(rel):

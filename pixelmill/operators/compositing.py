@@ -5,7 +5,7 @@ from __future__ import annotations
 from pixelmill.functions import color
 from pixelmill.functions.color import RGB, clamp, luminance, mix, smoothstep
 from pixelmill.operators.pointwise import done
-from pixelmill.operators.spatial import bilinear, gather
+from pixelmill.operators.spatial import bilinear, gather, place
 from pixelmill.operators.registry import effect
 from pixelmill.plans.rel import num
 from pixelmill.sources.rasters import COLOUR
@@ -54,7 +54,8 @@ def mask_coverage(rel, mask: dict, image=None):
         raw = f"1.0 - {smoothstep(num(mask['tolerance']), num(mask['tolerance'] + mask.get('feather', 0.0)), f'sqrt({away})')}"
     else:
         channel = {"luminance": luminance(), "alpha": "a", "red": "r", "green": "g", "blue": "b"}[mask["channel"]]
-        rel = rel.join(image.let(m=channel).keep("image_id", "x", "y", "m"), ["image_id", "x", "y"])
+        on = [c for c in place(rel) if c in image.columns]  # a still masks every frame
+        rel = rel.join(image.let(m=channel).keep(*on, "m"), on)
         raw = "m"
     return rel.let(cover=f"1.0 - {clamp(raw)}" if mask.get("invert") else clamp(raw))
 
@@ -76,8 +77,8 @@ def composite(base, top, blend: str = "normal", opacity: float = 1.0, mask: dict
         return top
     if mask is not None:
         base = mask_coverage(base, mask, image)
-    over = top.let(**{f"t{c}": c for c in COLOUR}).keep("image_id", "x", "y", *[f"t{c}" for c in COLOUR])
-    both = base.join(over, ["image_id", "x", "y"])
+    over = top.let(**{f"t{c}": c for c in COLOUR}).keep(*place(top), *[f"t{c}" for c in COLOUR])
+    both = base.join(over, [c for c in place(base) if c in over.columns])  # a still lies under or over every frame
     amount = f"({num(opacity)} * cover)" if mask is not None else num(opacity)
     out = {c: mix(c, BLENDS[blend](c, f"t{c}"), amount) for c in RGB}
     return done(both.let(**out, a=mix("a", "ta", amount)))

@@ -10,8 +10,7 @@ from pixelmill.operators.palettes import Palette
 @dataclass
 class Context:
     src: object
-    palette: Palette = field(default_factory=lambda: Palette.of("game-boy"))
-    sides: tuple[int, ...] = (8,)
+    palette: Palette = field(default_factory=lambda: Palette.of("gameboy-dmg"))
     tile: object = None
     tile_size: tuple[int, int] = (0, 0)
     frames: int = 1

@@ -18,9 +18,12 @@ from pixelmill.functions import color
 from pixelmill.operators.dithers import Pcg32, stream_of
 from pixelmill.operators.palettes import Palette
 from pixelmill.operators.registry import effect
+from pixelmill.operators.spatial import image, place
 from pixelmill.plans.rel import DuckRel, SparkRel, num
 
 SIDE_LIMIT, PIXEL_LIMIT = 8192, 16_777_216
+#: More than any loop has.
+FRAMES = 1 << 20
 
 #: (divisor, rows of (dx of the first weight, weights)) from the current row down; fixed values.
 KERNELS = {
@@ -119,6 +122,8 @@ def _nearest(rgb, palette: Palette):
 
 def diffuse(rgb: np.ndarray, w: int, h: int, kernel: str, p: dict, palette: Palette) -> np.ndarray:
     """rgb (images, pixels, 3) of linear light -> indices (images, pixels)."""
+    if max(w, h) > SIDE_LIMIT or w * h > PIXEL_LIMIT:
+        raise ValueError(f"an image of {w} x {h} exceeds {SIDE_LIMIT} a side or {PIXEL_LIMIT} pixels")
     work, out = rgb.copy(), np.zeros(rgb.shape[:2], np.int32)
     lin = np.array(palette.linear)
     low, high = -p["overshootLimit"], 1 + p["overshootLimit"]
@@ -178,7 +183,7 @@ def _batches(kernel, p, palette):
                 rgb = np.stack([flat[start[k] : start[k + 1]].reshape(w * h, 3) for k in own])
                 for k, row in zip(own, diffuse(rgb, w, h, kernel, p, palette), strict=True):
                     results[k] = row
-            yield pa.RecordBatch.from_arrays([ids, batch.column(1), batch.column(2), pa.array(results, pa.list_(pa.int32()))], names=["image_id", "w", "h", "idx"])
+            yield pa.RecordBatch.from_arrays([ids, batch.column(1), batch.column(2), pa.array(results, pa.list_(pa.int32()))], names=["key", "w", "h", "idx"])
 
     return run
 
@@ -186,16 +191,21 @@ def _batches(kernel, p, palette):
 def on_spark(rel: SparkRel, kernel: str, p: dict, palette: Palette) -> SparkRel:
     from pyspark.sql import functions as F
 
+    one = image(rel)  # every frame is an image of its own
     pixels = F.array_sort(F.collect_list(F.struct("y", "x", "r", "g", "b")))
-    planes = rel.df.groupBy("image_id", "w", "h").agg(pixels.alias("p"))
-    planes = planes.select("image_id", "w", "h", F.flatten(F.transform("p", lambda v: F.array(v["r"], v["g"], v["b"]))).alias("rgb"))
-    done = planes.mapInArrow(_batches(kernel, p, palette), "image_id long, w long, h long, idx array<int>")
-    out = done.select("image_id", "w", "h", F.posexplode("idx").alias("pos", "idx"))
-    return SparkRel(out.select("image_id", (F.col("pos") % F.col("w")).alias("x"), F.expr("pos div w").alias("y"), "w", "h", "idx"))
+    planes = rel.df.groupBy(*one, "w", "h").agg(pixels.alias("p"))
+    planes = planes.select(F.struct(*one).alias("key"), "w", "h", F.flatten(F.transform("p", lambda v: F.array(v["r"], v["g"], v["b"]))).alias("rgb"))
+    kind = planes.schema["key"].dataType.simpleString()
+    done = planes.mapInArrow(_batches(kernel, p, palette), f"key {kind}, w long, h long, idx array<int>")
+    out = done.select("key.*", "w", "h", F.posexplode("idx").alias("pos", "idx"))
+    return SparkRel(out.select(*one, (F.col("pos") % F.col("w")).alias("x"), F.expr("pos div w").alias("y"), "w", "h", "idx"))
 
 
 def on_duck(rel: DuckRel, kernel: str, p: dict, palette: Palette, w: int = 8, h: int = 8) -> DuckRel:
     """The same rule as a recursive query, for images of one known small size."""
+    framed = "frame" in rel.columns
+    if framed:  # one number for both until the end
+        rel = rel.let(image_id=f"image_id * {FRAMES} + frame").drop("frame")
     n = w * h
     low, high = num(-p["overshootLimit"]), num(1 + p["overshootLimit"])
     order = [(i, 1) for i in hilbert(w, h)] if kernel == "riemersma" else scan(w, h, p["serpentine"])
@@ -242,7 +252,8 @@ def on_duck(rel: DuckRel, kernel: str, p: dict, palette: Palette, w: int = 8, h:
     rel = rel._next(walk, ["image_id", "idx"])
     places = ", ".join(str(i) for i, _ in order)
     sql = f"select image_id, cast(pos % {w} as bigint) as x, cast(pos // {w} as bigint) as y, cast({w} as bigint) as w, cast({h} as bigint) as h, idx from (select image_id, unnest([{places}]) as pos, unnest(idx) as idx from {rel.name})"
-    return rel._next(sql, ["image_id", "x", "y", "w", "h", "idx"])
+    rel = rel._next(sql, ["image_id", "x", "y", "w", "h", "idx"])
+    return rel.let(frame=f"image_id % {FRAMES}", image_id=f"image_id // {FRAMES}") if framed else rel
 
 
 def _register(kernel: str):
@@ -255,8 +266,8 @@ def _register(kernel: str):
 
         p = {"serpentine": False} | p
         index = (on_spark if isinstance(rel, SparkRel) else on_duck)(rel, kernel, p, ctx.palette)
-        alpha = rel.keep("image_id", "x", "y", "a")
-        return paint(index.join(alpha, ["image_id", "x", "y"]), ctx.palette, "idx")
+        alpha = rel.keep(*place(rel), "a")
+        return paint(index.join(alpha, place(rel)), ctx.palette, "idx")
 
 
 for _kernel in (*KERNELS, "ostromoukhov", "riemersma"):

@@ -33,6 +33,16 @@ class Pcg32:
         self.state = (self.state + seed) & (2**64 - 1)
         self.next_u32()
 
+    def skip(self, n: int) -> Pcg32:
+        """Past ``n`` draws: the step applied n times, by squaring."""
+        times, plus, step, add = 1, 0, 6364136223846793005, self.inc
+        while n:
+            if n & 1:
+                times, plus = times * step, plus * step + add
+            step, add, n = step * step % 2**64, (step + 1) * add % 2**64, n >> 1
+        self.state = (self.state * times + plus) % 2**64
+        return self
+
     def next_u32(self) -> int:
         old = self.state
         self.state = (old * 6364136223846793005 + self.inc) & (2**64 - 1)
@@ -323,7 +333,8 @@ def glyph_tile(rel, p, ctx):
     """Each cell's mean picks the glyph whose coverage is nearest to the wanted one (ties: the sparser)."""
     cs, ox, oy = p["cellSize"], math.floor(p["offsetX"]), math.floor(p["offsetY"])
     rel = rel.let(cx=whole(f"(x - ({ox})) / {num(cs)}"), cy=whole(f"(y - ({oy})) / {num(cs)}"))
-    cell = rel.group(["image_id", "cx", "cy"], mr="avg(r)", mg="avg(g)", mb="avg(b)")
+    cell_of = [c for c in ("image_id", "frame", "cx", "cy") if c in rel.columns]
+    cell = rel.group(cell_of, mr="avg(r)", mg="avg(g)", mb="avg(b)")
     cell = palettes.candidate_pair(cell, ctx.palette, ("mr", "mg", "mb"))
     shaped = clamp(f"0.5 + (f - 0.5) * {num(p['contrast'])} + {num(p['thresholdOffset'])}")
     glyphs = [bytes.fromhex(g) for g in GLYPHS[p["glyphSet"]]]
@@ -331,8 +342,8 @@ def glyph_tile(rel, p, ctx):
     cell = cell.let(want=shaped if p["invert"] else f"1.0 - {shaped}").let(**{f"g{k}": f"abs({num(c)} - want)" for k, c in enumerate(cover)})
     names = [f"g{k}" for k in range(len(cover))]
     cell = cell.let(best=f"least({', '.join(names)})").let(glyph="(case " + " ".join(f"when {n} <= best then {k}" for k, n in enumerate(names)) + " end)")
-    cell = cell.keep("image_id", "cx", "cy", "lo", "hi", "glyph")
-    rel = rel.join(cell, ["image_id", "cx", "cy"])
+    cell = cell.keep(*cell_of, "lo", "hi", "glyph")
+    rel = rel.join(cell, cell_of)
     rel = rel.let(gx=rel.d.div(f"(x - ({ox}) - cx * {cs}) * 8", cs), gy=rel.d.div(f"(y - ({oy}) - cy * {cs}) * 8", cs))
     bits = rel.d.array([b >> k & 1 for g in glyphs for b in g for k in range(8)])
     on = f"{rel.d.at(bits, 'glyph * 64 + gy * 8 + gx')} = 1"

@@ -10,9 +10,19 @@ from pixelmill.plans.rel import num
 #: Built-in palettes, sRGB; fixed values.
 BUILT_IN = {
     "mono": "000000 FFFFFF",
-    "game-boy": "0F380F 306230 8BAC0F 9BBC0F",
-    "cga-4": "000000 55FFFF FF55FF FFFFFF",
+    "mac-1bit": "000000 FFFFFF",
+    "gameboy-dmg": "081820 346856 88C070 E0F8D0",
+    "gameboy-pocket": "000000 555555 AAAAAA FFFFFF",
     "cga-16": "000000 0000AA 00AA00 00AAAA AA0000 AA00AA AA5500 AAAAAA 555555 5555FF 55FF55 55FFFF FF5555 FF55FF FFFF55 FFFFFF",
+    "cga-0-low": "000000 00AA00 AA0000 AA5500",
+    "cga-0-high": "000000 55FF55 FF5555 FFFF55",
+    "cga-1-low": "000000 00AAAA AA00AA AAAAAA",
+    "cga-1-high": "000000 55FFFF FF55FF FFFFFF",
+    "cga-mode-5": "000000 00AAAA AA0000 AAAAAA",
+    "ega-16": "000000 0000AA 00AA00 00AAAA AA0000 AA00AA AA5500 AAAAAA 555555 5555FF 55FF55 55FFFF FF5555 FF55FF FFFF55 FFFFFF",
+    "c64": "000000 FFFFFF 68372B 70A4B2 6F3D86 588D43 352879 B8C76F 6F4F25 433900 9A6759 444444 6C6C6C 9AD284 6C5EB5 959595",
+    "zx-spectrum": "000000 0000D7 D70000 D700D7 00D700 00D7D7 D7D700 D7D7D7 0000FF FF0000 FF00FF 00FF00 00FFFF FFFF00 FFFFFF",
+    "pico-8": "000000 1D2B53 7E2553 008751 AB5236 5F574F C2C3C7 FFF1E8 FF004D FFA300 FFEC27 00E436 29ADFF 83769C FF77A8 FFCCAA",
     "teletext": "000000 FF0000 00FF00 FFFF00 0000FF FF00FF 00FFFF FFFFFF",
 }
 
@@ -61,6 +71,8 @@ class Palette:
 
         a, b = color.oklab_value(lin(first)), color.oklab_value(lin(last))
         out = []
+        if steps < 2:
+            return cls((tuple(first),))
         for k in range(steps):
             t = k / (steps - 1)
             rgb = color.from_oklab_value([p + (q - p) * t for p, q in zip(a, b, strict=True)])

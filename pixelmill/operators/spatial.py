@@ -40,6 +40,10 @@ def keys(rel) -> list[str]:
     return [c for c in ("image_id", "frame", "x", "y", "w", "h") if c in rel.columns]
 
 
+def place(rel) -> list[str]:
+    return [c for c in ("image_id", "frame", "x", "y") if c in rel.columns]
+
+
 def image(rel) -> list[str]:
     return [c for c in ("image_id", "frame") if c in rel.columns]
 
@@ -200,30 +204,38 @@ def ghost_echo(rel, p, ctx):
     return done(rel.let(a=clamp("a")))
 
 
-def slices(seed: int, extent: int, low_share: float, high_share: float, salt_active=0x5BD1E995, salt_offset=0x27D4EB2F):
-    """(start, end, active draw, offset draw) of the seeded slices of an extent; salts are fixed values."""
+#: Salts of a slice's draws; fixed values.
+ACTIVE, OFFSET = 0x5BD1E995, 0x27D4EB2F
+
+
+def slices(rel, across: str, extent: str, p: dict, low_share: float, high_share: float):
+    """(extent, line, moved, draw): the seeded slices of every side that occurs, a row for each of their lines.
+
+    A slice's height is drawn between two shares of the side; slices stand one after
+    the other, so each begins at the running sum of those before it.
+    """
+    d, seed = rel.d, p["seed"]
     a, b = min(low_share, high_share), max(low_share, high_share)
-    low = max(1, round(a * extent))
-    high = max(low, round(b * extent))
-    out, at, k = [], 0, 0
-    while at < extent:
-        size = min(max(low + int(hashing.unit_value(hashing.multiplied_value(seed, k)) * (high - low + 1)), low), high)
-        out.append((at, min(at + size, extent), hashing.unit_value(hashing.multiplied_value(seed ^ salt_active, k)), hashing.unit_value(hashing.multiplied_value(seed ^ salt_offset, k))))
-        at, k = at + size, k + 1
-    return out
+    rel = rel.group([extent], images="count(*)")
+    rel = rel.let(low=f"greatest(1, cast({d.rint(f'{num(a)} * {extent}')} as bigint))")
+    rel = rel.let(high=f"greatest(low, cast({d.rint(f'{num(b)} * {extent}')} as bigint))")
+    rel = rel.explode("k", d.ints(0, d.div(extent, "low"))).let(k="cast(k as bigint)")
+    rel, h = hashing.multiplied(rel, str(seed), "k")
+    rel = rel.let(size=f"least(low + {whole(f'{hashing.unit(d, h)} * (high - low + 1)')}, high)")
+    rel = rel.let(stop=f"sum(size) over (partition by {extent} order by k rows between unbounded preceding and current row)")
+    rel = rel.let(begin="cast(stop - size as bigint)").where(f"begin < {extent}")
+    rel, active = hashing.multiplied(rel, str(seed ^ ACTIVE), "k")
+    rel, draw = hashing.multiplied(rel, str(seed ^ OFFSET), "k")
+    rel = rel.let(moved=f"case when {hashing.unit(d, active)} < {num(p['probability'])} then 1 else 0 end", draw=f"{hashing.unit(d, draw)} * 2.0 - 1.0")
+    rel = rel.explode(across, d.ints("begin", f"least(begin + size, {extent}) - 1"))
+    return rel.let(**{across: f"cast({across} as bigint)"}).keep(extent, across, "moved", "draw")
 
 
 def _displacement(across, along, n_across, n_along, keys_):
     def run(rel, p, ctx):
-        """Slice tables are small (at most the image's side); each is spread over its lines and joined by equality."""
-        rows = []
-        for extent in ctx.sides:
-            for s, e, active, draw in slices(p["seed"], extent, p[keys_[0]], p[keys_[1]]):
-                moved = active < p["probability"]
-                rows += [(extent, line, 1 if moved else 0, draw * 2 - 1) for line in range(s, e)]
-        table = ctx.src.values([n_across, across, "moved", "draw"], rows)
+        """Slice tables have a row for each line of each side that occurs, and are joined by equality."""
         src = rel
-        rel = rel.join(table, [n_across, across])
+        rel = rel.join(slices(rel, across, n_across, p, p[keys_[0]], p[keys_[1]]), [n_across, across])
         shift = f"(case when moved = 1 then cast({rel.d.rint(f'draw * {num(p['offsetRange'])} * {n_along}')} as bigint) else 0 end)"
         where = edge(f"{along} - {shift}", n_along, p["edge"])
         found = lookup(rel, src, where if along == "x" else "x", where if along == "y" else "y")
@@ -238,7 +250,6 @@ for _id, _a, _key in (("row-displacement", ("y", "x", "h", "w"), "Height"), ("co
         "postprocess",
         f"minSlice{_key}:float[0.002,0.5]=0.008; maxSlice{_key}:float[0.002,0.5]=0.05; offsetRange:float[0,1]=0.06; probability:float[0,1]=0.35; edge:enum{{wrap/clamp/mirror}}=wrap; seed:seed=0",
         access="neighbourhood",
-        needs=("sides",),
     )(_displacement(*_a, (f"minSlice{_key}", f"maxSlice{_key}")))
 
 
@@ -336,7 +347,7 @@ def datamosh_smear(rel, p, ctx):
     walk = rel.where("lit = 0 and steps > 0").keep(*keys(rel), "steps").explode("k", rel.d.ints(1, "steps"))
     back = walk.let(sx=key(whole(f"x + 0.5 - {num(dx)} * k")), sy=key(whole(f"y + 0.5 - {num(dy)} * k")))
     lit = back.join(source_of(src.where("lit = 1"), RGB), [*image(rel), "sx", "sy"])
-    first = lit.let(n="row_number() over (partition by image_id, x, y order by k)").where("n = 1").let(k="cast(k as bigint)").keep(*keys(rel), "k", *[f"s_{c}" for c in RGB])
+    first = lit.let(n=f"row_number() over (partition by {', '.join(place(rel))} order by k)").where("n = 1").let(k="cast(k as bigint)").keep(*keys(rel), "k", *[f"s_{c}" for c in RGB])
     out = rel.keep(*keys(rel), *COLOUR).join(first, keys(rel), "left")
     decay = num(max(p["decay"], 1e-6))
     return done(out.let(**{c: f"case when k is null then {c} else {mix(c, f's_{c}', f'pow({decay}, k - 1)')} end" for c in RGB}))

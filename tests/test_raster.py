@@ -1,13 +1,17 @@
 """Raster engine: oracles on a sample of queries, and properties that need no stored image."""
 
+import itertools
+
 import duckdb
 import numpy as np
 import pytest
 
 from pixelmill import catalog
-from pixelmill.operators import animation, diffusion, dithers, spatial
+from pixelmill.functions import color
+from pixelmill.operators import animation, census, diffusion, dithers, extract, spatial
 from pixelmill.operators.palettes import Palette
 from pixelmill.operators.registry import EFFECTS, coerce, problems
+from pixelmill.plans.rel import Spark
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -36,7 +40,7 @@ def test_query_equals_its_oracle(spark, duck, name):
 
 
 def test_every_query_but_extraction_has_an_oracle():
-    assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"palette_extract_median_cut", "palette_extract_k_means"}
+    assert set(catalog.queries()) - set(catalog.oracle_sql()) == {f"palette_extract_{m}" for m in ("median_cut", "wu", "k_means")}
     assert len(EFFECTS) >= 72
 
 
@@ -91,9 +95,14 @@ def test_block_permutation_is_an_involution():
     assert sorted(out) == list(range(35)) and all(out[out[b]] == b for b in range(35))
 
 
-def test_slices_cover_the_side_once():
-    cut = spatial.slices(5, 100, 0.05, 0.2)
-    assert cut[0][0] == 0 and cut[-1][1] == 100 and all(a[1] == b[0] for a, b in zip(cut, cut[1:], strict=False))
+def test_slices_cover_the_side_once(spark):
+    rel = Spark(spark, "").values(["h", "one"], [(100, 1), (37, 1), (100, 2)])
+    rows = spatial.slices(rel, "y", "h", {"seed": 5, "probability": 0.5}, 0.05, 0.2).df.collect()
+    for side in (100, 37):
+        own = sorted((r.y, r.moved, r.draw) for r in rows if r.h == side)
+        assert [y for y, *_ in own] == list(range(side))
+        runs = [len(list(g)) for _, g in itertools.groupby(own, key=lambda r: r[1:])]
+        assert all(round(0.05 * side) <= n <= round(0.2 * side) for n in runs[:-1])
 
 
 def test_parameters_are_checked_and_coerced():
@@ -111,12 +120,97 @@ def test_seam_report():
 
 
 def test_extraction_counts_every_pixel(spark):
-    for method in ("median_cut", "k_means"):
+    for method in ("median_cut", "wu", "k_means"):
         rows = catalog.queries()[f"palette_extract_{method}"](spark, SF)
         assert rows.groupBy("image_id").sum("pixels").where("`sum(pixels)` <> 64").isEmpty()
         assert rows.where("entry >= 4 or r < 0 or r > 1").isEmpty() and rows.select("image_id").distinct().count() == 500
 
 
+def test_extraction_finds_separate_clusters():
+    """Four tight clusters of unequal weight: every method returns their means; ties and too many entries are harmless."""
+    rng = np.random.default_rng(2)
+    centres = np.array([[0.05, 0.1, 0.6], [0.9, 0.2, 0.1], [0.3, 0.8, 0.3], [0.95, 0.95, 0.9]])
+    which = np.repeat(np.arange(4), (50, 200, 120, 30))
+    rgb = np.clip(centres[which] + rng.normal(0, 0.004, (400, 3)), 0, 1)
+    lms = np.cbrt(rgb @ np.array(color.TO_LMS).T)
+    lab = lms @ np.array(color.TO_LAB).T
+    low, size = lab.min(0), np.ptp(lab, axis=0)
+    place = np.minimum((lab - low) / size * 32, 31).astype(int) @ [1024, 32, 1]
+    rows = []
+    for b in np.unique(place):
+        own = place == b
+        rows.append([b, own.sum(), *rgb[own].mean(0), *lab[own].mean(0), (lab[own] ** 2).sum(1).mean()])
+    want = np.array(sorted(rgb[which == k].mean(0).tolist() for k in range(4)))
+    for method in ("wu", "k-means"):
+        found = np.array(sorted(extract.entries_of(np.array(rows), 4, method, 3).tolist()))
+        assert np.allclose(found, want, atol=1e-9), method
+    cut = extract.median_cut(extract.Bins(np.array(rows)), 4, 0)
+    assert sorted(np.concatenate(cut)) == list(range(len(rows)))
+    flat = np.array([[5, 9, 0.2, 0.2, 0.2, 0.5, 0, 0, 0.25]])
+    assert all(len(extract.entries_of(flat, 6, m, 0)) == 1 for m in extract.METHODS)
+
+
+def test_median_cut_splits_at_the_weighted_median():
+    rows = np.array([[k, n, k / 10, 0, 0, k / 10, 0, 0, k * k / 100] for k, n in enumerate((1, 1, 8, 1, 1))], float)
+    assert [b.tolist() for b in extract.median_cut(extract.Bins(rows), 2, 0)] == [[0, 1, 2], [3, 4]]
+
+
+def test_temporal_values(spark):
+    """Numbers worked out by hand from the definitions."""
+    src = Spark(spark, "")
+
+    def at(mode, frame, **v):
+        return next(r for r in animation.temporal(src, mode, 24, **v).df.collect() if r.frame == frame)
+
+    assert at("blue-noise-cycle", 0, period=64).ox == 0
+    assert abs(at("blue-noise-cycle", 2, period=64).oy - 64 * (2 * 0.5698402909980533 - 1)) < 1e-9
+    assert at("bayer-offset-scroll", 6, cells=(8, -16), period=8).ox == 2 and at("bayer-offset-scroll", 9, cells=(8, -16), period=8).oy == 2
+    r = at("ign-scroll", 23, period=64)
+    assert r.ox == r.oy and abs(r.ox - (23 * 5.588238 - 128)) < 1e-9
+    assert abs(at("golden-ratio-rotation", 1).turns - 0.3819660112501051) < 1e-12
+    seeds = [at("ping-pong", f, base=5, hold=4).seed for f in (0, 4, 8, 12, 16, 20)]
+    assert seeds[4] == seeds[2] and seeds[5] == seeds[1] and len(set(seeds)) == 4
+    assert at("per-frame-reseed", 3, base=5).seed == animation.fold(5, animation.seed_from_string("temporal:per-frame-reseed"), 3)
+
+
+def test_census_of_many_colours(spark):
+    rel = Spark(spark, "").values(["image_id", "x", "y", "w", "h", "r", "g", "b", "a"], [(i, x, 0, 300, 1, (x if i else x % 3) / 299, 0.0, 0.0, 1.0) for i in (0, 1) for x in range(300)])
+    rows = census.colour_census(rel).df.collect()
+    assert sum(r.pixels for r in rows if r.image_id == 0) == 300 and all(r.depth == 2 for r in rows if r.image_id == 0)
+    assert len(rows) == 3 or [(r.entry, r.code, r.pixels) for r in rows if r.image_id == 1 and r.entry is None] in ([], [(None, None, 300)])
+
+
+def test_images_round_trip_and_batch(spark, tmp_path):
+    from pixelmill import extras
+    from pixelmill.operators import batch
+    from pixelmill.operators.context import Context
+    from pixelmill.plans.document import Document
+    from pixelmill.sources import images
+
+    rng = np.random.default_rng(4)
+    codes = rng.integers(0, 256, (7, 11, 4), np.uint8)
+    codes[2:5] = codes[1]  # rows that other filters suit
+    codes[5] = np.arange(44).reshape(11, 4)
+    raw = images.encode_png(codes)
+    assert images.extent(raw) == (11, 7) and images.problem(raw) is None and np.array_equal(images.decode_png(raw), codes)
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "one.png").write_bytes(raw)
+    (folder / "two.png").write_bytes(raw[:60])
+    (folder / "three.txt").write_bytes(b"hello")
+    (folder / "big.png").write_bytes(raw[:16] + (9000).to_bytes(4, "big") * 2 + raw[24:])
+    pixels, errors = images.read_images(spark, str(folder))
+    assert pixels.df.count() == 77 and {r.error.split(":")[0] for r in errors.collect()} == {"broken", "unknown-format", "too-large"}
+    again = images.png_files(pixels).collect()
+    assert len(again) == 1 and np.array_equal(images.decode_png(bytes(again[0].png)), codes)
+    found = batch.run(spark, str(folder), Document.parse(extras.DOCUMENT), Context(Spark(spark, "")), "{name}-{index}")
+    found = {r.output: r for r in found.collect()}
+    assert set(found) == {"big-1.png", "one-2.png", "three-3.png", "two-4.png"}
+    assert found["one-2.png"].error is None and images.extent(bytes(found["one-2.png"].png)) == (11, 7)
+    assert all(r.png is None and r.error for n, r in found.items() if n != "one-2.png")
+    assert batch.template_problem("  ") == "empty-template" and batch.template_problem("{what}") == "unknown-token"
+
+
 def test_document_faults():
     from pixelmill.plans.document import Document, content_hash, validate
     from pixelmill import extras
