@@ -38,11 +38,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def scratch_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 
-    Only a session that sets none (tests, local runs) gets a local folder.
+    Only a local session that sets none (as in tests) gets a local folder; on a
+    cluster other machines could not read it, so there the setting is asked for.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = os.path.join(tempfile.gettempdir(), "checkpoints", "pixelmill")
     spark.conf.set("spark.checkpoint.dir", own)
     return own

@@ -118,13 +118,15 @@ def mix(
 
 
 def take_mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` the mix takes, with their number of ``copies``."""
+    """The rows of ``docs`` the mix takes, with their number of ``copies``; an input column of that name gives way."""
     found = mix(docs, id_col=id_col, source_col=source_col, text_col=text_col, **how)
     found = found.groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies")).where("copies > 0")
-    found = found.select(*[F.col(c).alias(f"_{c}") for c in found.columns])
+    found = found.select(F.struct("doc_id", "source", "size").alias("key"), "copies")
+    # each side in one column, so that no name of the input clashes
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
     same = (
-        F.col(id_col).eqNullSafe(F.col("_doc_id"))
-        & F.col(source_col).eqNullSafe(F.col("_source"))
-        & (word_count(F.col(text_col)) == F.col("_size"))
+        F.col("row")[id_col].eqNullSafe(F.col("key.doc_id"))
+        & F.col("row")[source_col].eqNullSafe(F.col("key.source"))
+        & (word_count(F.col("row")[text_col]) == F.col("key.size"))
     )
-    return docs.join(found, same).select(*docs.columns, F.col("_copies").alias("copies"))
+    return rows.join(found, same).select(*[F.col("row")[c].alias(c) for c in docs.columns if c != "copies"], "copies")
