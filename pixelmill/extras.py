@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 from pixelmill.functions import color
-from pixelmill.operators import animation, census, compositing, dithers, extract, noise, palettes
+from pixelmill.operators import animation, census, compositing, dithers, extract, geometry, noise, palettes
 from pixelmill.operators.context import Context
 from pixelmill.operators.palettes import Palette
 from pixelmill.operators.registry import EFFECTS, apply
@@ -202,20 +202,47 @@ def event_raster(src):
     return result(rel)
 
 
-def catalogue_search(src, words=("noise", "dis", "edge")):
-    """Effects that match every word: a whole word of the id 1, a beginning 0.7, a part 0.4."""
-    rows = [(id, e.slot, w) for id, e in sorted(EFFECTS.items()) for w in id.split("-")]
-    rel = src.values(["id", "slot", "word"], rows)
+#: Weights of the fields this catalogue has, and how strongly a token matches; fixed values.
+FIELD_WEIGHTS = {"id": 3.0, "slot": 1.0}
+EXACT, PREFIX, SUBSTRING = 1.0, 0.7, 0.4
+
+
+def catalogue_search(src, searches=("noise", "dis", "edge", "post glow", "row displacement", "dither tone")):
+    """Effects in which every token of a search is found; each token counts by its best field."""
+    fields = [(id, e.slot, f, w, FIELD_WEIGHTS[f]) for id, e in sorted(EFFECTS.items()) for f, v in (("id", id), ("slot", e.slot)) for w in v.split("-")]
+    texts = {"id": "replace(id, '-', ' ')", "slot": "slot"}
+    rel = src.values(["id", "slot", "field", "word", "weight"], fields)
+    rel = rel.let(content="case field " + " ".join(f"when '{k}' then {v}" for k, v in texts.items()) + " end")
     out = None
-    for q in words:
-        n = len(q)
-        score = f"case when word = '{q}' then 1.0 when substring(word, 1, {n}) = '{q}' then 0.7 when word like '%{q}%' then 0.4 else 0.0 end"
-        own = rel.let(score=score).group(["id", "slot"], score="max(score)").where("score > 0.0")
-        own = own.let(query=f"'{q}'", rank="row_number() over (order by score desc, id)")
-        out = own if out is None else out.union(own)
+    for search in searches:
+        tokens, hits = search.split(), None
+        for k, q in enumerate(tokens):
+            strength = f"case when word = '{q}' then {EXACT} when substring(word, 1, {len(q)}) = '{q}' then {PREFIX} when content like '%{q}%' then {SUBSTRING} else 0.0 end"
+            own = rel.let(score=f"weight * {strength}").group(["id", "slot"], best="max(score)").where("best > 0.0").let(token=str(k))
+            hits = own if hits is None else hits.union(own)
+        found = hits.group(["id", "slot"], score="round(sum(best), 9)", n="count(*)").where(f"n = {len(tokens)}").drop("n")
+        found = found.let(query=f"'{search}'", rank="row_number() over (order by score desc, id)")
+        out = found if out is None else out.union(found)
     return out
 
 
+def locked_palette(src):
+    """The six commonest colours of each image around two locked swatches."""
+    found = census.rgba8(emb8(src)).let(code="(cr * 256 + cg) * 256 + cb").group(["image_id", "code"], population="count(*)")
+    found = found.let(place="row_number() over (partition by image_id order by population desc, code) - 1").where("place < 6")
+    return palettes.merge_locked(found, [(0x101010, False), (0xFF0000, True), (0x202020, False), (0x00FF00, True)])
+
+
+def bound(src):
+    """A set of bindings of which most are refused, each for another reason."""
+    rows = [(0, "a", "contrast", 0.5), (1, "z", "contrast", 0.5), (2, "b", "x", 0.5), (3, "a", "nothing", 0.5), (4, "c", "mode", 0.5), (5, "a", "contrast", 0.1), (6, "a", "exposure", math.inf)]
+    kept = src.values(["nth", "node", "param", "amount"], [r if math.isfinite(r[3]) else (*r[:3], -1.0) for r in rows])
+    kept = kept.let(amount="case when amount >= 0.0 then amount end")
+    nodes = src.values(["node", "effect"], [("a", "brightness-contrast"), ("b", "no-such-effect"), ("c", "levels")])
+    params = src.values(["effect", "param", "kind"], [(id, k, p.kind) for id, e in sorted(EFFECTS.items()) for k, p in e.params.items()])
+    return animation.binding_problems(kept, nodes, params)
+
+
 def batch_plan(src):
     """Output names of a batch by template, and which of them collide regardless of case."""
     rel = src.table("part", "p_partkey", "p_name", "p_brand")
@@ -309,6 +336,11 @@ PAIRS = {
     "raster_fixtures": fixtures,
     "catalogue_search": catalogue_search,
     "batch_plan": batch_plan,
+    "palette_locked": locked_palette,
+    "animation_binding_problems": bound,
+    "integer_scale": lambda src: result(geometry.integer_scale(emb8(src), 3), "w", "h"),
+    "preview_reduced": lambda src: result(geometry.reduced(sequence(src), "5", "h * 0.4"), "w", "h"),
+    "sprite_sheet": lambda src: result(geometry.sprite_sheet(sequence(src), 4, 3, 2), "w", "h"),
 }
 SPARK_QUERIES: dict = {f"palette_extract_{m.replace('-', '_')}": _extracted(m) for m in extract.METHODS}
 ORACLES: dict = {}

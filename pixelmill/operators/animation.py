@@ -167,3 +167,18 @@ def seam_report(bindings: list[dict], n: int) -> list[tuple[int, str, str]]:
         if least < low or most > high:
             out.append((k, "clipped", "warning"))
     return out
+
+
+def binding_problems(bindings, nodes, params):
+    """``bindings`` (nth, node, param, amount) with the first reason why one cannot be bound; null if it can.
+
+    nodes: (node, effect). params: (effect, param, kind) of all effects. A parameter is bound once, by the first binding
+    that names it. Only floats and integers swing; names, switches and seeds do not.
+    """
+    effects = params.group(["effect"], known="1")
+    out = bindings.let(turn="row_number() over (partition by node, param order by nth)")
+    out = out.join(nodes, ["node"], "left").join(effects, ["effect"], "left").join(params, ["effect", "param"], "left")
+    problem = """case when effect is null then 'unknown-node' when known is null then 'unknown-effect'
+        when kind is null then 'unknown-parameter' when kind not in ('float', 'int') then 'parameter-not-animatable'
+        when turn > 1 then 'duplicate-binding' when amount is null or isnan(amount) or abs(amount) > 1.7e308 then 'non-finite-value' end"""
+    return out.let(problem=problem).keep("nth", "node", "param", "problem")

@@ -140,3 +140,24 @@ def paint(rel, palette: Palette, idx: str):
     """Sets idx and the colour of that entry."""
     rel = rel.let(idx=f"cast({idx} as int)")
     return rel.let(**{c: pick("idx", [v[k] for v in palette.linear]) for k, c in enumerate("rgb")})
+
+
+def merge_locked(rel, previous: list[tuple[int, bool]], most: int = 256):
+    """(image_id, position, code, population, locked): extracted colours placed around the locked swatches of a palette.
+
+    rel: (image_id, place, code, population), places from 0 and below ``most``. previous: (code, locked) in order. Locked
+    swatches keep their positions and lose their populations; extracted colours take the others in order. Where they do
+    not reach, the palette shrinks: positions close up, nothing is padded.
+    """
+    d = rel.d
+    held = [(k, code) for k, (code, locked) in enumerate(previous) if locked]
+    taken = {k for k, _ in held}
+    free = [k for k in range(len(previous) + most) if k not in taken][:most]
+    columns = ("image_id", "position", "code", "population", "locked")
+    out = rel.let(position=f"cast({d.at(d.array(free), 'place')} as bigint)", locked="false").keep(*columns)
+    if held:
+        own = rel.group(["image_id"], n="count(*)").explode("k", d.ints(0, len(held) - 1))
+        at = {"position": [k for k, _ in held], "code": [c for _, c in held]}
+        own = own.let(**{c: f"cast({d.at(d.array(v), 'k')} as bigint)" for c, v in at.items()}, population="cast(null as bigint)", locked="true")
+        out = out.union(own.keep(*columns))
+    return out.let(position="cast(row_number() over (partition by image_id order by position) - 1 as bigint)")
