@@ -3,8 +3,11 @@
 Every text's rolling two-word grams are joined, by hash, to the grams of known
 license phrases. A hit at word p of the text and place q of a template votes for
 the diagonal p - q. Votes are counted by diagonal; diagonals no more than ``gap``
-apart merge, so that a few inserted or missing words do not split a notice. A
-merged span is verified gram by gram and stands if it has enough of its template.
+apart merge, so that a few inserted or missing words do not split a notice. Only
+votes that stand together count: where the next one of a notice is farther than its
+missing words and a shift can explain, a new stretch begins. A merged span is
+verified: it stands if it has enough of its template's grams and at most twice as
+many words as the template, so grams scattered over a text make no notice.
 
 Templates are constants, so the broadcast side has a fixed size. Texts are split
 once, their grams stream through the join, and only hits and one row a document
@@ -104,14 +107,20 @@ def scan(
     dealt = hits.repartition(*doc)
     # repeated rows of a document count once here, and come back at the end
     once = dealt.groupBy(*doc, "n_words", "template", "label", "grams", "whole", "p", "q").agg(F.count("*").alias("rows"))
-    diagonals = once.groupBy(*doc, "n_words", "template", "label", "grams", "whole", (F.col("p") - F.col("q")).alias("d")).agg(
+    # the next vote of a notice is no farther than the grams it may lack, one shift and one step
+    reach = F.floor(F.lit(1 - least_share) * F.col("grams") + F.lit(1e-9)) + gap + 1
+    reading = Window.partitionBy(*doc, "template").orderBy("p", "q")
+    far = ~F.col("whole") & (F.col("p") - F.lag("p").over(reading) > reach)
+    once = once.withColumn("far", F.coalesce(far, F.lit(False)).cast("int"))
+    once = once.withColumn("stretch", F.sum("far").over(reading.rowsBetween(Window.unboundedPreceding, 0)))
+    diagonals = once.groupBy(*doc, "n_words", "template", "label", "grams", "whole", "stretch", (F.col("p") - F.col("q")).alias("d")).agg(
         F.max("rows").alias("rows"), F.collect_set("q").alias("places"), F.min("p").alias("first"), F.max("p").alias("last")
     )
     # whole phrases must have all votes on one diagonal; notices merge diagonals that lie close
-    along = Window.partitionBy(*doc, "template").orderBy("d")
+    along = Window.partitionBy(*doc, "template", "stretch").orderBy("d")
     apart = F.col("whole") | (F.col("d") - F.lag("d").over(along) > gap)
     islands = diagonals.withColumn("apart", F.coalesce(apart, F.lit(True)).cast("int")).withColumn("island", F.sum("apart").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = islands.groupBy(*doc, "n_words", "template", "label", "grams", "whole", "island").agg(
+    spans = islands.groupBy(*doc, "n_words", "template", "label", "grams", "whole", "stretch", "island").agg(
         F.max("rows").alias("rows"),
         F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("votes"),
         F.min("first").alias("first"),
@@ -120,7 +129,8 @@ def scan(
     share = F.when(F.col("template") >= 0, F.col("votes") / F.col("grams")).otherwise(F.lit(0.0))
     spans = spans.withColumn("share", share)
     base = F.col("whole") & (F.col("share") >= 1)
-    found = base | (~F.col("whole") & (F.col("template") >= 0) & (F.col("share") >= least_share))
+    compact = F.col("last") - F.col("first") + GRAM <= 2 * (F.col("grams") + GRAM - 1)
+    found = base | (~F.col("whole") & (F.col("template") >= 0) & (F.col("share") >= least_share) & compact)
 
     def labels(which):
         return F.array_join(F.array_sort(F.collect_set(F.when(which, F.col("label")))), ",")

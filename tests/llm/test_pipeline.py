@@ -66,17 +66,20 @@ def brute_licenses(text):
             score = 1.0
     for notice, label in licenses.NOTICES.items():
         t = notice.split()
-        votes = sorted((i - q, q) for i in range(len(words) - 1) for q in range(len(t) - 1) if words[i : i + 2] == t[q : q + 2])
-        island, last = set(), None
-        for d, q in [*votes, (math.inf, None)]:
-            if last is not None and d - last > 3:
-                share = len(island) / (len(t) - 1)
-                if share >= 0.85:
-                    labels.add(label)
-                    score = max(score, share)
-                island = set()
-            island.add(q)
-            last = d
+        votes = [(i, q) for i in range(len(words) - 1) for q in range(len(t) - 1) if words[i : i + 2] == t[q : q + 2]]
+        reach = math.floor(0.15 * (len(t) - 1) + 1e-9) + 4
+        cuts = [k for k in range(1, len(votes)) if votes[k][0] - votes[k - 1][0] > reach]
+        for low, high in zip([0, *cuts], [*cuts, len(votes)]):
+            island, last = [], None
+            for d, i, q in [*sorted((i - q, i, q) for i, q in votes[low:high]), (math.inf, 0, 0)]:
+                if last is not None and d - last > 3:
+                    share, span = len({q for _, q in island}) / (len(t) - 1), max(island)[0] - min(island)[0] + 2
+                    if share >= 0.85 and span <= 2 * len(t):
+                        labels.add(label)
+                        score = max(score, share)
+                    island = []
+                island.append((i, q))
+                last = d
     joined = [",".join(sorted(x)) for x in (base, base | labels)]
     return len(words), len(starts), min(starts, default=None), max(starts, default=None), *joined, score
 
@@ -105,6 +108,15 @@ def test_licenses_match_brute_force(spark):
     assert sum(1 for r in got.values() if r.labels != r.base_labels) > 30
 
 
+def test_scattered_grams_are_no_notice(spark):
+    notice = next(n for n in licenses.NOTICES if n.startswith("permission")).split()
+    drift = " ".join(f"{a} {b} x y z" for a, b in zip(notice, notice[1:]))
+    spread = " ".join(f"{a} {b} " + "x " * 40 for a, b in zip(notice, notice[1:]))
+    near = " ".join([*notice[:9], "or", "party", *notice[10:]])
+    docs = spark.createDataFrame(list(enumerate([drift, spread, near, "x " * 50 + near + " y" * 50])), "doc_id long, text string")
+    assert [r.labels for r in licenses.scan(docs).orderBy("doc_id").collect()] == ["", "", "mit", "mit"]
+
+
 def tail(n, x, p):
     return 1.0 if x >= n * p else sum(math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p)) for k in range(x + 1))
 
