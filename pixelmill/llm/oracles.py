@@ -100,4 +100,45 @@ from docs d join kept k using (doc_id) left join removed r using (doc_id)
 """
 
 
-ORACLE_SQL = {"op3_chat": chat_digests(), "op5_mixing": mixed(), "op7_suffix": repeats()}
+def product_codes(parts=8, entries=16, rounds=6, scale=4096) -> str:
+    """Plain Lloyd rounds: every part against every entry, all in integers."""
+    steps = "".join(
+        f"""
+near{r} as materialized (
+  select vec_id, p, min(d * {entries} + k) as m from (
+    select v.vec_id, v.p, b.k, sum((v.x - b.c) * (v.x - b.c)) as d from comps v join book{r} b on v.p = b.p and v.j = b.j group by v.vec_id, v.p, b.k
+  ) group by vec_id, p
+),"""
+        + (
+            f"""
+sums{r} as (select v.p, n.m % {entries} as k, v.j, sum(v.x) as s, count(*) as n from comps v join near{r} n on v.vec_id = n.vec_id and v.p = n.p group by all),
+book{r + 1} as materialized (
+  select b.p, b.k, b.j, case when s.n is null then b.c else (s.s - ((s.s % s.n) + s.n) % s.n) // s.n end as c
+  from book{r} b left join sums{r} s on b.p = s.p and b.k = s.k and b.j = s.j
+),"""
+            if r < rounds
+            else ""
+        )
+        for r in range(rounds + 1)
+    )
+    return f"""
+with flat as (
+  select vec_id, label, unnest(embedding) as x, generate_subscripts(embedding, 1) - 1 as i, len(embedding) // {parts} as deep from embeddings where embedding is not null
+),
+kept as (select vec_id from flat group by vec_id having bool_and(x is not null and isfinite(x))),
+comps as materialized (
+  select vec_id, i // deep as p, i % deep as j, cast(floor({scale} * cast(x as double)) as bigint) as x from flat where vec_id in (from kept)
+),
+book0 as materialized (
+  select c.p, f.k, c.j, c.x as c from comps c join (select vec_id, row_number() over (order by vec_id) - 1 as k from kept order by vec_id limit {entries}) f using (vec_id)
+),{steps}
+coded as (
+  select vec_id, string_agg(printf('%02x', cast(m % {entries} as integer)), '' order by p) as code, cast(sum(m // {entries}) as bigint) as error from near{rounds} group by vec_id
+)
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error,
+  (select sha256(string_agg(cast(c as varchar), ',' order by p, k, j)) from book{rounds}) as codebooks_sha256
+from coded join (select distinct vec_id, label from embeddings) using (vec_id)
+"""
+
+
+ORACLE_SQL = {"op13_codes": product_codes(), "op3_chat": chat_digests(), "op5_mixing": mixed(), "op7_suffix": repeats()}
