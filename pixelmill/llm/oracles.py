@@ -141,4 +141,48 @@ from coded join (select distinct vec_id, label from embeddings) using (vec_id)
 """
 
 
-ORACLE_SQL = {"op13_codes": product_codes(), "op3_chat": chat_digests(), "op5_mixing": mixed(), "op7_suffix": repeats()}
+def prefix_trie(block=100, most=6) -> str:
+    """Every prefix of every rebuilt conversation spelled out; CRC-32 bit by bit."""
+    return f"""
+with own as (
+  select conv_id, role, text, length(text) as chars, md5(length(role) || ':' || role || text) as digest,
+    row_number() over (partition by conv_id order by turn nulls first, role, md5(length(role) || ':' || role || text)) as pos
+  from (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null)
+),
+convs as (
+  select conv_id, conv_id - conv_id % {block} as base,
+    xor(list_reduce(list_prepend(4294967295, list_transform(string_split(cast(conv_id as varchar), ''), lambda ch: cast(ascii(ch) as bigint))),
+      lambda crc, b: list_reduce(list_prepend(xor(crc, b), cast(range(8) as bigint[])), lambda d, i: xor(d >> 1, 3988292384 * (d & 1)))), 4294967295) % {most} as h
+  from (select distinct conv_id from own)
+),
+turns as (
+  select conv_id, row_number() over (partition by conv_id order by grafted desc, pos) as depth, digest, chars from (
+    select c.conv_id, o.pos, o.digest, o.chars, 1 as grafted from convs c join own o on o.conv_id = c.base and o.pos <= c.h
+    union all select c.conv_id, o.pos, o.digest, o.chars, 0 from convs c join own o on o.conv_id = c.conv_id and o.pos > c.h
+  )
+),
+lengths as (select conv_id, coalesce(max(depth), 0) as len from convs left join turns using (conv_id) group by conv_id),
+paths as materialized (
+  select conv_id, depth, chars, md5(string_agg(digest, '') over (partition by conv_id order by depth)) as k from turns
+  union all select conv_id, 0, 0, '' from convs
+),
+nodes as materialized (
+  select p.depth, p.k, min(p.conv_id) as conv_id, count(*) as n, any_value(p.chars) as chars,
+    sha256(coalesce(string_agg(cast(p.conv_id as varchar), ',' order by p.conv_id) filter (l.len = p.depth), '')) as ends_sha256
+  from paths p join lengths l using (conv_id) group by p.depth, p.k
+),
+parents as (
+  select n.depth, n.k, a.k as up, a.conv_id as parent_conv_id from nodes n join paths p on p.conv_id = n.conv_id and p.depth = n.depth - 1 join nodes a on a.depth = p.depth and a.k = p.k
+),
+kids as (select depth - 1 as depth, up as k, count(*) as n_children from parents group by all),
+below as (
+  select p.depth, p.k, sum((n.n - 1) * n.chars) as saved, count(*) filter (kids.k is null) as n_leaves
+  from nodes n left join kids on kids.depth = n.depth and kids.k = n.k join paths p on p.conv_id = n.conv_id and p.depth <= n.depth group by p.depth, p.k
+)
+select n.conv_id, cast(n.depth as bigint) as depth, u.parent_conv_id, n.n as n_convs, coalesce(c.n_children, 0) as n_children, b.n_leaves,
+  cast(b.saved as bigint) as saved_tokens, n.ends_sha256
+from nodes n left join parents u on u.depth = n.depth and u.k = n.k left join kids c on c.depth = n.depth and c.k = n.k join below b on b.depth = n.depth and b.k = n.k
+"""
+
+
+ORACLE_SQL = {"op12_trie": prefix_trie(), "op13_codes": product_codes(), "op3_chat": chat_digests(), "op5_mixing": mixed(), "op7_suffix": repeats()}

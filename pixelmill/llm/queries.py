@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, codes, common, decontaminate, licenses, mixing, ppm, pseudo, quality, simhash, suffix, weak
+from . import chat, codes, common, decontaminate, licenses, mixing, ppm, pseudo, quality, simhash, suffix, trie, weak
 from .oracles import ORACLE_SQL  # noqa: F401
 
 
@@ -58,6 +58,10 @@ def op10_weak(spark, sf_dir):
     return weak.classify(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "labels"))
 
 
+def op12_trie(spark, sf_dir):
+    return trie.rebuilt_trie(common.read(spark, sf_dir, "conversations"))
+
+
 def op13_codes(spark, sf_dir):
     found = codes.compress(common.read(spark, sf_dir, "embeddings"))
     return found.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
@@ -74,5 +78,6 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_decontaminate": op9_decontaminate,
     "op10_weak": op10_weak,
+    "op12_trie": op12_trie,
     "op13_codes": op13_codes,
 }
