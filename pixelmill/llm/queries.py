@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, codes, common, decontaminate, licenses, mixing, ppm, pseudo, quality, simhash, suffix, trie, weak
+from . import chat, codes, common, decontaminate, licenses, mixing, pii, ppm, pseudo, quality, simhash, suffix, trie, weak
 from .oracles import ORACLE_SQL  # noqa: F401
 
 
@@ -58,6 +58,10 @@ def op10_weak(spark, sf_dir):
     return weak.classify(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "labels"))
 
 
+def op11_pii(spark, sf_dir):
+    return pii.digests(common.read(spark, sf_dir, "documents"))
+
+
 def op12_trie(spark, sf_dir):
     return trie.rebuilt_trie(common.read(spark, sf_dir, "conversations"))
 
@@ -78,6 +82,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_decontaminate": op9_decontaminate,
     "op10_weak": op10_weak,
+    "op11_pii": op11_pii,
     "op12_trie": op12_trie,
     "op13_codes": op13_codes,
 }
