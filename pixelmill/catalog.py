@@ -1,8 +1,8 @@
 """All registered queries of the raster engine: Spark plans and their DuckDB oracles.
 
 Effects are written once against ``Rel``; a query runs them on Spark, its oracle is
-the same chain as DuckDB SQL. Error diffusion, tracing and other other serial work has
-its own numpy code on Spark and an independent SQL oracle, or tests against brute force.
+the same chain as DuckDB SQL. Error diffusion, tracing and other serial work has
+its own code on Spark and an independent SQL oracle, or tests against brute force.
 """
 
 from __future__ import annotations
@@ -102,15 +102,15 @@ def census(src):
 
 
 def queries() -> dict:
-    from pixelmill import extras
+    from pixelmill import extras, tracing
 
     pairs = _pairs() | {"flagship_census": census}
     out = {name: (lambda spark, sf_dir, f=f: f(Spark(spark, sf_dir)).df) for name, f in pairs.items()}
-    return out | extras.SPARK_QUERIES
+    return out | extras.SPARK_QUERIES | tracing.SPARK_QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    from pixelmill import extras
+    from pixelmill import extras, tracing
 
     pairs = _pairs() | {"flagship_census": census}
-    return {name: f(Duck()).sql() for name, f in pairs.items()} | extras.ORACLES
+    return {name: f(Duck()).sql() for name, f in pairs.items()} | extras.ORACLES | tracing.oracles()
