@@ -7,7 +7,7 @@ its own code on Spark and an independent SQL oracle, or tests against brute forc
 
 from __future__ import annotations
 
-from pixelmill.operators import compositing, diffusion, dithers, generators, pointwise, spatial  # noqa: F401  (register effects)
+from pixelmill.operators import compositing, diffusion, dithers, generators, pointwise, spatial, waves  # noqa: F401  (register effects)
 from pixelmill.operators.context import Context
 from pixelmill.operators.palettes import Palette
 from pixelmill.operators.registry import EFFECTS, apply
@@ -64,6 +64,12 @@ EXAMPLES = {
     "outline": {"placement": "both", "colorIndex": 3, "targetIndex": 2},
     "dilate-erode": {"operation": "erode", "targetIndex": 2},
     "floyd-steinberg": {},
+    "wave-field": {"wavelength": 3.0, "thickness": 1.5, "maskThreshold": 0.8, "maskSmoothing": 1.0},
+}
+#: More queries of an effect, with other parameters.
+VARIANTS = {
+    "fx_wave_field_shadow": ("wave-field", {"wavelength": 3.0, "thickness": 2.0, "mode": "shadow", "maskThreshold": 0.82, "maskSmoothing": 0.0, "sourceX": -0.3}),
+    "fx_wave_field_line": ("wave-field", {"wavelength": 3.5, "sourceKind": "line", "sourceAngle": 0.1, "maskThreshold": 0.8, "maskSmoothing": 2.0, "strength": -0.7, "invert": True}),
 }
 
 
@@ -84,6 +90,7 @@ def run_effect(src, id: str, params: dict | None = None):
 def _pairs() -> dict:
     """name -> function of a source, for both engines."""
     out = {f"fx_{id.replace('-', '_')}": (lambda src, id=id: run_effect(src, id)) for id in EFFECTS}
+    out |= {name: (lambda src, id=id, params=params: run_effect(src, id, params)) for name, (id, params) in VARIANTS.items()}
     from pixelmill import extras
 
     return out | extras.PAIRS
