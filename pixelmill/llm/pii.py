@@ -211,40 +211,43 @@ class Tagger:
     # --- reading
 
     def weights(self) -> dict[str, np.ndarray]:
-        """32-bit weights for reading, biases added to the classes'."""
+        """32-bit weights for reading: gates apart, biases added to the classes'."""
+        h = self.hidden
         p = {k: v.astype(np.float32) for k, v in self.p.items()}
-        return p | {"wx": (self.p["wx"] + self.p["b"][:, None]).astype(np.float32)}
+        by_gate = (self.p["wx"] + self.p["b"][:, None]).reshape(2, CLASSES, 4, h).transpose(0, 2, 1, 3)
+        return p | {"wx": by_gate.astype(np.float32, order="C"), "wh": p["wh"].reshape(2, h, 4, h).transpose(2, 0, 1, 3).copy()}
 
 
 def emissions(p: dict[str, np.ndarray], both: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Emissions (step, window, tag) of windows, longest first: ``both`` has the classes (direction, window, step),
     the second direction's reversed within each window."""
-    h = p["wh"].shape[1]
+    h = p["wh"].shape[-1]
     _, n, steps = both.shape
     live = np.searchsorted(-size, -np.arange(steps), "left")  # windows longer than t
     we = p["we"].reshape(2, h, TAGS)
-    scale = np.repeat(np.array([0.5, 1], np.float32), [3 * h, h])
-    shift = np.repeat(np.array([0.5, 0], np.float32), [3 * h, h])
     each = np.zeros((2, steps, n, TAGS), np.float32)
     state, cell = np.zeros((2, n, h), np.float32), np.zeros((2, n, h), np.float32)
     for t in range(steps):
         k = live[t]
         s, c = state[:, :k], cell[:, :k]
-        z = s @ p["wh"]
+        z = s @ p["wh"]  # (gate, direction, window, unit)
         for way in range(2):
-            z[way] += p["wx"][way].take(both[way, :k, t], 0)
-        size_of = np.abs(z)
-        size_of += 1
-        z /= size_of
-        z *= scale
-        z += shift
-        c *= z[..., h : 2 * h]
-        c += z[..., :h] * z[..., 3 * h :]
-        np.multiply(softsign(c), z[..., 2 * h : 3 * h], out=s)
+            z[:, way] += p["wx"][way].take(both[way, :k, t], 1)
+        extent = np.abs(z)
+        extent += 1
+        z /= extent
+        gates = z[:3]
+        gates *= 0.5
+        gates += 0.5
+        c *= z[1]
+        c += z[0] * z[3]
+        np.multiply(softsign(c), z[2], out=s)
         np.matmul(s, we, out=each[:, t, :k])
     out = each[0] + p["be"]
-    turned = size[None, :] - 1 - np.arange(steps)[:, None]
-    out += np.take_along_axis(each[1], np.maximum(turned, 0)[:, :, None], 0)
+    whole = int(np.searchsorted(-size, -steps, "right"))
+    out[:, :whole] += each[1, ::-1, :whole]
+    turned = np.maximum(size[None, whole:] - 1 - np.arange(steps)[:, None], 0)
+    out[:, whole:] += np.take_along_axis(each[1, :, whole:], turned[:, :, None], 0)
     return out
 
 
