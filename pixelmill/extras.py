@@ -9,7 +9,7 @@ from pixelmill.operators import animation, census, compositing, dithers, extract
 from pixelmill.operators.context import Context
 from pixelmill.operators.palettes import Palette
 from pixelmill.operators.registry import EFFECTS, apply
-from pixelmill.plans import document
+from pixelmill.plans import animate, document
 from pixelmill.plans.rel import Spark, SparkRel
 from pixelmill.sources import rasters
 from pixelmill.sources.rasters import emb8, result
@@ -288,6 +288,30 @@ def document_render(src):
     return result(document.plan(document.Document.parse(DOCUMENT), emb8(src), Context(src)))
 
 
+ANIMATED = """{"stack": [
+  {"id": "tone", "effect": "levels", "params": {"gamma": 1.2}},
+  {"id": "shade", "effect": "vignette", "blend": "multiply", "opacity": 0.5},
+  {"id": "bits", "effect": "brightness-contrast", "params": {"contrast": 1.1}},
+  {"id": "dither", "effect": "bayer-4"}],
+ "edges": [{"from": "tone", "to": "shade"}, {"from": "shade", "to": "bits"}, {"from": "bits", "to": "dither"}],
+ "output": "dither", "clock": {"frames": 6, "fps": 12},
+ "bindings": [{"node": "bits", "param": "exposure", "shape": "triangle", "cycles": 1, "phase": 0.25, "amount": 0.8}],
+ "variations": [{"node": "dither", "mode": "bayer-offset-scroll", "cells": [4, -8], "period": 4}]}"""
+
+
+def animated_document(src):
+    """All frames of an animated document: on Spark by the plan that splits still from moving, as SQL frame by frame."""
+    anim = animate.Animation.parse(ANIMATED, seed=5)
+    if src.d.spark:
+        return result(animate.plan(anim, emb8(src), Context(src)))
+    out = None
+    for f in range(anim.frames):
+        own = document.plan(animate.document_at(anim, f), emb8(src), Context(src))
+        own = result(own.let(frame=f"cast({f} as bigint)"))
+        out = own if out is None else out.union(own)
+    return out
+
+
 def _extracted(method):
     def run(spark, sf_dir):
         rel = emb8(Spark(spark, sf_dir))
@@ -298,6 +322,7 @@ def _extracted(method):
 
 PAIRS = {
     "document_render": document_render,
+    "animation_document": animated_document,
     "blend_modes": blend_modes,
     "mask_luminance": _masked({"kind": "luminance", "low": 0.2, "high": 0.7, "feather": 0.1}),
     "mask_color": _masked({"kind": "color", "color": (200, 120, 90), "tolerance": 0.1, "feather": 0.2, "invert": True}),

@@ -55,8 +55,8 @@ def mask_coverage(rel, mask: dict, image=None):
     else:
         channel = {"luminance": luminance(), "alpha": "a", "red": "r", "green": "g", "blue": "b"}[mask["channel"]]
         on = [c for c in place(rel) if c in image.columns]  # a still masks every frame
-        rel = rel.join(image.let(m=channel).keep(*on, "m"), on)
-        raw = "m"
+        rel = rel.join(image.let(m=channel).keep(*on, "m"), on, "left")
+        raw = "coalesce(m, 0.0)"  # where a smaller mask does not reach, it covers nothing
     return rel.let(cover=f"1.0 - {clamp(raw)}" if mask.get("invert") else clamp(raw))
 
 

@@ -40,12 +40,21 @@ class Document:
     def parse(cls, text: str) -> Document:
         raw = json.loads(text)
         nodes = {n["id"]: Node(**n) for n in raw["stack"]}
+        if len(nodes) < len(raw["stack"]):
+            raise ValueError("two nodes share an id")
         return cls(nodes, tuple((e["from"], e["to"], e.get("port", "image")) for e in raw["edges"]), raw["output"])
 
     def input_of(self, node: str, port: str = "image") -> str | None:
         return next((a for a, b, p in self.edges if b == node and p == port), None)
 
 
+def full_params(n: Node) -> dict:
+    """A node's parameters with defaults; the node's seed is that of effects which draw in order, unless given."""
+    e = EFFECTS[n.effect]
+    own = {"seed": n.seed} if e.access == "serial" and "seed" in e.params else {}
+    return {k: p.default for k, p in e.params.items()} | own | n.params
+
+
 def validate(doc: Document) -> list[tuple[str, str]]:
     """(code, node) of every fault; an empty list is a document that runs."""
     out = []
@@ -136,7 +145,7 @@ def plan(doc: Document, source, ctx):
             base = of(doc.input_of(node))
             if not n.enabled:
                 return base
-            done = apply(base, n.effect, n.params, ctx)
+            done = apply(base, n.effect, full_params(n), ctx)
             image = of(doc.input_of(node, "mask")) if n.mask and n.mask["kind"] == "image" else None
             known[h] = composite(base, done, n.blend, n.opacity, n.mask, image)
         return known[h]
