@@ -180,11 +180,18 @@ def loop_palette(src):
     return rel.group(["cr", "cg", "cb"], pixels="count(*)")
 
 
-def regions(src):
-    rel = dithered(src, "mono")
+def dithered_frames(src):
+    return apply(sequence(src), "bayer-4", {}, Context(src))
+
+
+def regions_of(rel):
     return census.regions_spark(rel) if isinstance(rel, SparkRel) else census.regions_duck(rel)
 
 
+def regions(src):
+    return regions_of(dithered(src, "mono"))
+
+
 def small_features(src):
     """Regions of fewer than four pixels: what a trace with that minimum drops."""
     return regions(src).where("area < 4").group(["image_id"], dropped="count(*)", pixels="sum(area)").let(pixels="cast(pixels as bigint)")
@@ -350,6 +357,10 @@ PAIRS = {
     "animation_keyframes": keyframes,
     "animation_bound_levels": animated_levels,
     "census_colours": lambda src: census.colour_census(dithered(src)),
+    "census_colours_frames": lambda src: census.colour_census(dithered_frames(src)),
+    "palette_histogram_frames": lambda src: census.histogram(sequence(src)),
+    "trace_runs_frames": lambda src: census.runs(dithered_frames(src)),
+    "trace_regions_frames": lambda src: regions_of(dithered_frames(src)),
     "census_loop_palette": loop_palette,
     "census_changed_rectangle": lambda src: census.changed_rectangle(sequence(src)),
     "flatten_on_matte": flatten_on_matte,

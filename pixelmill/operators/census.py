@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pixelmill.functions import color
+from pixelmill.operators.spatial import image
 from pixelmill.plans.rel import num, whole
 
 
@@ -13,39 +14,41 @@ def rgba8(rel):
 
 
 def colour_census(rel, most: int = 256):
-    """(image_id, entry, code, pixels, depth): an image's distinct colours, transparent ones first, then by first
+    """(image, entry, code, pixels, depth): an image's or a frame's distinct colours, transparent ones first, then by first
     appearance. An image with more than ``most`` has no table, but one row with a null entry, code and depth. depth: bits of an index."""
     rel = rgba8(rel).let(code="((cr * 256 + cg) * 256 + cb) * 256 + ca", place="y * w + x")
-    found = rel.group(["image_id", "code", "ca"], pixels="count(*)", first="min(place)")
-    found = found.let(colours="count(*) over (partition by image_id)")
-    order = "over (partition by image_id order by case when ca < 255 then 0 else 1 end, first)"
+    k = image(rel)
+    found = rel.group([*k, "code", "ca"], pixels="count(*)", first="min(place)")
+    found = found.let(colours=f"count(*) over (partition by {', '.join(k)})")
+    order = f"over (partition by {', '.join(k)} order by case when ca < 255 then 0 else 1 end, first)"
     found = found.let(entry=f"row_number() {order} - 1", depth="case when colours <= 2 then 1 when colours <= 4 then 2 when colours <= 16 then 4 else 8 end")
-    many = found.where(f"colours > {most}").group(["image_id"], pixels="cast(sum(pixels) as bigint)")
+    many = found.where(f"colours > {most}").group(k, pixels="cast(sum(pixels) as bigint)")
     none = many.let(entry="cast(null as bigint)", code="cast(null as bigint)", depth="cast(null as bigint)")
-    columns = ("image_id", "entry", "code", "pixels", "depth")
+    columns = (*k, "entry", "code", "pixels", "depth")
     found = found.where(f"colours <= {most}").let(entry="cast(entry as bigint)", depth="cast(depth as bigint)")
     return found.keep(*columns).union(none.keep(*columns))
 
 
 def histogram(rel, bins: int = 32, moments: bool = False):
-    """(image_id, bin, n, mr, mg, mb): OKLab bins over each image's own bounding box, with their mean colour.
+    """(image, bin, n, mr, mg, mb): OKLab bins over each image's or frame's own bounding box, with their mean colour.
 
     ``moments`` adds the means of the OKLab axes and of their squared length, and leaves all unrounded."""
     rel = color.oklab(rel)
     names = ("lab_l", "lab_a", "lab_b")
-    box = rel.group(["image_id"], **{f"{f}_{c}": f"{f}({c})" for c in names for f in ("min", "max")})
-    rel = rel.join(box, ["image_id"])
+    box = rel.group(image(rel), **{f"{f}_{c}": f"{f}({c})" for c in names for f in ("min", "max")})
+    rel = rel.join(box, image(rel))
     cell = [f"least({whole(f'({c} - min_{c}) / greatest(max_{c} - min_{c}, 1e-12) * {num(bins)}')}, {bins - 1})" for c in names]
     rel = rel.let(bin=f"({cell[0]} * {bins} + {cell[1]}) * {bins} + {cell[2]}")
     more = {f"m{c}": f"avg({c})" for c in names} | {"m2": " + ".join(f"avg({c} * {c})" for c in names)} if moments else {}
     means = {f"m{c}": f"avg({c})" if moments else f"round(avg({c}), 6)" for c in "rgb"}
-    return rel.group(["image_id", "bin"], n="count(*)", **means, **more)
+    return rel.group([*image(rel), "bin"], n="count(*)", **means, **more)
 
 
 def runs(rel):
-    """(image_id, y, start, stop, idx): maximal runs of one index along rows, by gaps and islands."""
-    rel = rel.let(isle="x - row_number() over (partition by image_id, y, idx order by x)")
-    return rel.group(["image_id", "y", "idx", "isle"], start="min(x)", stop="max(x)").keep("image_id", "y", "start", "stop", "idx")
+    """(image, y, start, stop, idx): maximal runs of one index along rows, by gaps and islands."""
+    k = image(rel)
+    rel = rel.let(isle=f"x - row_number() over (partition by {', '.join(k)}, y, idx order by x)")
+    return rel.group([*k, "y", "idx", "isle"], start="min(x)", stop="max(x)").keep(*k, "y", "start", "stop", "idx")
 
 
 def changed_rectangle(rel):
@@ -63,59 +66,29 @@ def changed_rectangle(rel):
 
 
 def regions_spark(rel):
-    """(image_id, label, idx, area): 4-connected regions of one index; label is the smallest place in it.
+    """(image, label, idx, area): 4-connected regions of one index; label is the smallest place in it.
 
-    Runs are nodes and touching runs of neighbouring rows edges; each image's runs are a
-    bounded set, labelled in one vectorised pass of pointer jumping per image.
+    Runs are nodes, touching runs of neighbouring rows edges, and regions their components (see ``contours``).
     """
-    import numpy as np
-    import pyarrow as pa
-    from pyspark.sql import functions as F
-
+    from pixelmill.operators import contours
     from pixelmill.plans.rel import SparkRel
 
-    r = runs(rel).df.join(rel.df.select("image_id", "w").distinct(), "image_id")
-    grouped = r.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("y", "start", "stop", "idx", "w"))).alias("runs"))
-
-    def label(batches):
-        for batch in batches:
-            out = []
-            for image, rows in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                t = np.array([tuple(v.values()) for v in rows.as_py()], np.int64)
-                y, s, e, idx, w = t.T
-                at = y * w + s
-                parent = np.arange(len(t))
-                by_row = np.searchsorted(y, np.arange(y.max() + 2))
-                for row in range(1, y.max() + 1):
-                    i, j, end_i, end_j = by_row[row - 1], by_row[row], by_row[row], by_row[row + 1]
-                    while i < end_i and j < end_j:
-                        if idx[i] == idx[j] and s[i] <= e[j] and s[j] <= e[i]:
-                            a, b = i, j
-                            while parent[a] != a:
-                                a = parent[a]
-                            while parent[b] != b:
-                                b = parent[b]
-                            parent[max(a, b)] = min(a, b)
-                        i, j = (i + 1, j) if e[i] < e[j] else (i, j + 1)
-                while not np.array_equal(q := parent[parent], parent):
-                    parent = q
-                area = np.bincount(parent, e - s + 1, len(t)).astype(np.int64)
-                out += [(image, int(at[k]), int(idx[k]), int(area[k])) for k in np.unique(parent)]
-            cols = list(zip(*out, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["image_id", "label", "idx", "area"])
-
-    return SparkRel(grouped.mapInArrow(label, "image_id long, label long, idx long, area long"))
+    found = contours.regions(contours.settled(contours.layer_runs(rel.df)))
+    k = image(rel)
+    return SparkRel(found.select(*k, "root", "layer", "area").distinct().selectExpr(*k, "root as label", "layer as idx", "area"))
 
 
 def regions_duck(rel):
     """The same regions by spreading the smallest place over equal neighbours until nothing changes."""
-    base = rel._next(f"select image_id, x, y, w, idx, y * w + x as place from {rel.name}", ["image_id", "x", "y", "w", "idx", "place"])
+    k = image(rel)
+    ks, same = ", ".join(k), " and ".join(f"n.{c} = r.{c}" for c in k)
+    base = rel._next(f"select {ks}, x, y, w, idx, y * w + x as place from {rel.name}", [*k, "x", "y", "w", "idx", "place"])
     b = base.name
-    sql = f"""select image_id, label, cast(idx as bigint) as idx, count(*) as area from (
+    sql = f"""select {ks}, label, cast(idx as bigint) as idx, count(*) as area from (
       with recursive reach as (
-        select image_id, place, place as label, idx, x, y from {b}
+        select {ks}, place, place as label, idx, x, y from {b}
         union
-        select n.image_id, n.place, r.label, n.idx, n.x, n.y from reach r join {b} n
-        on n.image_id = r.image_id and n.idx = r.idx and abs(n.x - r.x) + abs(n.y - r.y) = 1 and r.label < n.place)
-      select image_id, place, idx, min(label) as label from reach group by all) group by image_id, label, idx"""
-    return base._next(sql, ["image_id", "label", "idx", "area"])
+        select {', '.join(f'n.{c}' for c in k)}, n.place, r.label, n.idx, n.x, n.y from reach r join {b} n
+        on {same} and n.idx = r.idx and abs(n.x - r.x) + abs(n.y - r.y) = 1 and r.label < n.place)
+      select {ks}, place, idx, min(label) as label from reach group by all) group by {ks}, label, idx"""
+    return base._next(sql, [*k, "label", "idx", "area"])

@@ -229,51 +229,57 @@ def document_at(anim: Animation, frame: int) -> Document:
 
 
 def plan(anim: Animation, source, ctx):
-    """The relation of all frames over ``source``, with a frame column; if nothing moves, without one."""
+    """The relation of all frames over ``source``, with a frame column; if nothing moves, without one.
+
+    A node's result is a list of parts: frames that look alike there, and their common relation. Parts get
+    their frame column where a step reads other frames (feedback), and at the end.
+    """
     if wrong := faults(anim) or validate(anim.document):
         raise ValueError(wrong)
-    doc, own = anim.document, anim.moving
+    doc, own, every = anim.document, anim.moving, list(range(anim.frames))
     ctx.frames = anim.frames
-    known: dict[str, object] = {}
+    known: dict[str | None, list] = {None: [(every, source)]}
 
-    def on(rel, frames: list[int]):
-        """``rel`` at just these frames: a still is repeated, else others are left out."""
+    def on(rel, frames):
         if "frame" in rel.columns:
-            return rel if len(frames) == anim.frames else rel.where(f"frame in ({', '.join(map(str, frames))})")
+            return rel.where(f"frame in ({', '.join(map(str, frames))})")
         return rel.explode("frame", rel.d.array(f"cast({f} as bigint)" for f in frames))
 
+    def united(parts):
+        out = None
+        for frames, rel in parts:
+            rel = rel if "frame" in rel.columns and len(parts) == 1 else on(rel, frames)
+            rel = rel.keep(*sorted(rel.columns))
+            out = rel if out is None else out.union(rel)
+        return out
+
     def of(id):
-        if id is None:
-            return source
         if id in known:
             return known[id]
-        n = doc.nodes[id]
-        base = of(doc.input_of(id))
+        n, base = doc.nodes[id], of(doc.input_of(id))
         if not n.enabled:
             known[id] = base
             return base
-        image = of(doc.input_of(id, "mask")) if n.mask and n.mask["kind"] == "image" else None
-        framed = n.effect == "feedback" or (image is not None and "frame" in image.columns)
-        if framed and anim.frames > 1 and "frame" not in base.columns:
-            base = on(base, list(range(anim.frames)))
-        if id not in own:
-            out = composite(base, apply(base, n.effect, full_params(n), ctx), n.blend, n.opacity, n.mask, image)
-        else:
-            states: dict[str, list[int]] = {}
-            for f in range(anim.frames):
-                states.setdefault(content_hash(replace(doc, nodes=doc.nodes | {id: node_at(anim, id, f)}), id), []).append(f)
-            out = None
-            for frames in states.values():
-                now = node_at(anim, id, frames[0])
-                under = on(base, frames) if "frame" in base.columns else base
-                over = None if image is None else on(image, frames) if "frame" in image.columns else image
-                part = on(composite(under, apply(under, now.effect, full_params(now), ctx), n.blend, n.opacity, n.mask, over), frames)
-                part = part.keep(*sorted(part.columns))
-                out = part if out is None else out.union(part)
-        known[id] = out
-        return out
-
-    return of(doc.output)
+        masks = of(doc.input_of(id, "mask")) if n.mask and n.mask["kind"] == "image" else [(every, None)]
+        if n.effect == "feedback" and anim.frames > 1:
+            base = [(every, united(base))]
+        parts = []
+        for frames, rel in base:
+            alike: dict[tuple, list[int]] = {}
+            for f in frames:
+                state = content_hash(replace(doc, nodes=doc.nodes | {id: node_at(anim, id, f)}), id) if id in own else ""
+                mask = next(i for i, (some, _) in enumerate(masks) if f in some)
+                alike.setdefault((state, mask), []).append(f)
+            for (_, mask), some in alike.items():
+                now, image = node_at(anim, id, some[0]), masks[mask][1]
+                framed = "frame" in rel.columns or (image is not None and "frame" in image.columns)
+                under = on(rel, some) if framed and (len(some) < len(frames) or "frame" not in rel.columns) else rel
+                parts.append((some, composite(under, apply(under, now.effect, full_params(now), ctx), n.blend, n.opacity, n.mask, image)))
+        known[id] = parts
+        return parts
+
+    parts = of(doc.output)
+    return parts[0][1] if len(parts) == 1 else united(parts)
 
 
 def seam(anim: Animation) -> list[tuple[str, str, str]]:
