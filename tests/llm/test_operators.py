@@ -367,6 +367,16 @@ def test_decontamination_drops_rows_without_id(spark):
     assert got.columns == docs.columns and Counter(map(tuple, got.collect())) == Counter(r for r in rows_ if item not in r[1])
 
 
+def test_decontamination_keeps_columns_of_any_name(spark):
+    rng = random.Random(20)
+    item = prose(rng, 40)
+    rows_ = [(i, prose(rng, 60) + (" " + item if i == 3 else ""), i * 10, f"r{i}", "x") for i in range(12)]
+    rows_ += [rows_[3], rows_[5], (12, None, 1, "r", "x"), (13, "", 1, "r", "x")]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string, _found long, _row_key string, _row string")
+    got = decontaminate.drop_contaminated(docs, spark.createDataFrame([(7, item)], "item_id long, text string"), rank=16)
+    assert got.columns == docs.columns and Counter(map(tuple, got.collect())) == Counter(r for r in rows_ if r[0] != 3)
+
+
 def test_decontamination_misses_nothing_its_check_accepts(spark):
     rng = random.Random(17)
     common_words = SYL[:12]

@@ -132,7 +132,7 @@ def test_kept_matches_brute_force(spark):
     labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, quality int")
     found = {r.doc_id: r for r in quality.apply_rules(docs, labels).collect()}
     values = {r.doc_id: r for r in quality.measures(docs).select("doc_id", *quality.rule_values()).collect()}
-    tuning = {r.doc_id for r in docs.where(quality.is_tuning()).select("doc_id").collect()}
+    tuning = {r.doc_id for r in quality.measures(docs).where(quality.is_tuning()).select("doc_id").collect()}
     own = [(i, lang, good) for i, _, lang, good in rows if not found[i].base_failed]
     assert 0.2 < len(tuning) / len(rows) < 0.3
     safe = {s: [i for i, lang, good in own if lang == s and good and i not in tuning] for s in ("en", "fr")}
@@ -164,6 +164,24 @@ def test_kept_matches_brute_force(spark):
     assert any(not r.kept and not r.base_failed for r in found.values())
 
 
+def test_repeated_rows_and_copies_have_one_vote(spark):
+    """Four times the rows, or four documents of each text, certify what the texts alone certify."""
+    rng = random.Random(46)
+    good = [prose(rng, 30) for _ in range(60)]
+    many = good + [prose(rng, 30) for _ in range(340)]
+    bad = [" ".join(w + "***" for w in prose(rng, 30).split()) for _ in range(40)]
+
+    def cutoffs(texts, bad, times, step):
+        rows = [(1000 * k * step + i, t, "en") for k in range(times) for i, t in enumerate([*texts, *bad])]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        labels = spark.createDataFrame([(r[0], int("***" not in r[1])) for r in rows], "doc_id long, quality int")
+        return sorted(map(tuple, quality.certified_cutoffs(quality.measures(docs), labels).collect()))
+
+    assert cutoffs(good, bad, 1, 0) == cutoffs(good, bad, 4, 0) == cutoffs(good, bad, 4, 1) == []
+    once = cutoffs(many, bad, 1, 0)
+    assert once and once == cutoffs(many, bad, 4, 0) == cutoffs(many, bad, 4, 1)
+
+
 def components(n, linked):
     parent = list(range(n))
     for j in range(n):
