@@ -109,15 +109,15 @@ def census(src):
 
 
 def queries() -> dict:
-    from pixelmill import extras, tracing
+    from pixelmill import extras, files, tracing
 
     pairs = _pairs() | {"flagship_census": census}
     out = {name: (lambda spark, sf_dir, f=f: f(Spark(spark, sf_dir)).df) for name, f in pairs.items()}
-    return out | extras.SPARK_QUERIES | tracing.SPARK_QUERIES
+    return out | extras.SPARK_QUERIES | tracing.SPARK_QUERIES | files.SPARK_QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    from pixelmill import extras, tracing
+    from pixelmill import extras, files, tracing
 
     pairs = _pairs() | {"flagship_census": census}
-    return {name: f(Duck()).sql() for name, f in pairs.items()} | extras.ORACLES | tracing.oracles()
+    return {name: f(Duck()).sql() for name, f in pairs.items()} | extras.ORACLES | tracing.oracles() | files.oracles()

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pixelmill.operators.diffusion import PIXEL_LIMIT, SIDE_LIMIT
 from pixelmill.operators.spatial import image
 from pixelmill.plans.rel import SparkRel
+from pixelmill.sources.gif import decode_gif
 from pixelmill.sources.rasters import COLOUR, PIXEL
 
 #: First bytes of each format; fixed values.
@@ -176,7 +177,7 @@ def decode_images(files: DataFrame) -> DataFrame:
                 error, codes = problem(content or b""), None
                 if error is None:
                     try:
-                        codes = decode_png(content) if sniff(content) == "png" else None
+                        codes = {"png": decode_png, "gif": lambda x: decode_gif(x)[0]}.get(sniff(content), lambda _: None)(content)
                         error = None if codes is not None else "no-decoder"
                     except Exception as e:  # noqa: BLE001  whatever a broken file does, it is that file's error
                         error = f"broken: {e}"
