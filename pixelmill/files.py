@@ -5,6 +5,7 @@ from __future__ import annotations
 from pixelmill.operators.context import Context
 from pixelmill.operators.palettes import Palette
 from pixelmill.operators.registry import apply
+from pixelmill.plans import codec
 from pixelmill.plans.rel import Duck, Spark
 from pixelmill.plans.scratch import settled
 from pixelmill.sources import gif
@@ -32,7 +33,87 @@ def gif_report(spark, sf_dir):
     return _files(spark, sf_dir).select("image_id", "frames", "cropped_frames", "pixels_written")
 
 
-SPARK_QUERIES = {"gif_round_trip": gif_round_trip, "gif_report": gif_report}
+#: A document of the old schema for each order, some of them broken; fields out of order.
+OLD_DOCUMENT = (
+    """case when o_orderkey % 17 = 0 then '{' when o_orderkey % 19 = 0 then '{"schema": 3, "stack": []}' else """
+    """concat('{"stack": [{"effect": "posterize", "id": "n1", "params": {"levels": ', 2 + o_orderkey % 30, '}}, {"id": "n2", "effect": "invert", "seed": ', o_custkey, """
+    """'}], "clock": {"frames": ', 1 + o_orderkey % 48, ', "fps": 24.0}, "schema": 1}') end"""
+)
+#: The same document as the codec has to write it; @1 to @3 stand for the levels, the seed and the frames.
+NEW_DOCUMENT = """{
+  "schema": 2,
+  "source": null,
+  "palette": {
+    "id": "mono",
+    "name": "Black & White",
+    "colors": [
+      0,
+      0,
+      0,
+      255,
+      255,
+      255
+    ],
+    "metric": "oklab"
+  },
+  "clock": {
+    "frames": @3,
+    "fps": 24
+  },
+  "stack": [
+    {
+      "id": "n1",
+      "effect": "posterize",
+      "enabled": true,
+      "opacity": 1,
+      "blend": "normal",
+      "params": {
+        "levels": @1
+      },
+      "seed": 0
+    },
+    {
+      "id": "n2",
+      "effect": "invert",
+      "enabled": true,
+      "opacity": 1,
+      "blend": "normal",
+      "params": {},
+      "seed": @2
+    }
+  ],
+  "edges": [
+    {
+      "from": "n1",
+      "to": "n2",
+      "port": "in"
+    }
+  ],
+  "output": "n2",
+  "bindings": []
+}
+"""
+
+
+def document_migration(spark, sf_dir):
+    """Documents of the old schema, read, migrated and written in canonical form."""
+    texts = Spark(spark, sf_dir).table("orders", "o_orderkey as id", f"{OLD_DOCUMENT} as text").df
+    return codec.decode_table(texts)
+
+
+def _migration_sql() -> str:
+    text = "'" + NEW_DOCUMENT + "'"
+    for k, x in enumerate(("2 + o_orderkey % 30", "o_custkey", "1 + o_orderkey % 48"), 1):
+        text = f"replace({text}, '@{k}', cast({x} as varchar))"
+    broken = "case when o_orderkey % 17 = 0 then 'not-json' when o_orderkey % 19 = 0 then 'unrecognised-file: schema 3' end"
+    whole = "o_orderkey % 17 <> 0 and o_orderkey % 19 <> 0"
+    return f"""
+select o_orderkey as id, case when {whole} then cast(1 as bigint) end as schema, case when {whole} then {text} end as document,
+  case when {whole} then '' end as problems, {broken} as error from orders
+"""
+
+
+SPARK_QUERIES = {"document_migration": document_migration, "gif_round_trip": gif_round_trip, "gif_report": gif_report}
 
 
 def oracles() -> dict[str, str]:
@@ -49,4 +130,4 @@ box as (
 sized as (select *, coalesce(r - l + 1, 1) as wide, coalesce(b - t + 1, 1) as high from box)
 select image_id, count(*) as frames, count(*) filter (wide <> w or high <> h) as cropped_frames, cast(sum(wide * high) as bigint) as pixels_written from sized group by image_id
 """
-    return {"gif_round_trip": f"select image_id, frame, x, y, {colours}, cast(255 as bigint) as ca from ({rel})", "gif_report": report}
+    return {"document_migration": _migration_sql(), "gif_round_trip": f"select image_id, frame, x, y, {colours}, cast(255 as bigint) as ca from ({rel})", "gif_report": report}
