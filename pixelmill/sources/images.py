@@ -102,9 +102,24 @@ def _unfiltered(lines: np.ndarray, step: int) -> np.ndarray:
     return out.astype(np.uint8)
 
 
+#: Passes of an interlaced PNG: first column and row, and the steps between; fixed values.
+ADAM7 = ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2))
+
+
+def _samples(lines: np.ndarray, width: int, channels: int, bits: int) -> np.ndarray:
+    """(row, column, channel) of unfiltered lines of 1 to 16 bits a sample."""
+    h = len(lines)
+    if bits == 16:
+        return (lines[:, ::2].astype(np.int32) << 8 | lines[:, 1::2]).reshape(h, width, channels)
+    if bits < 8:
+        each = np.unpackbits(lines, axis=1).reshape(h, -1, bits)
+        lines = (each << np.arange(bits - 1, -1, -1, dtype=np.uint8)).sum(2)[:, : width * channels]
+    return lines.astype(np.int32).reshape(h, width, channels)
+
+
 def decode_png(raw: bytes) -> np.ndarray:
-    """(height, width, 4) codes of a PNG of 8 bits a channel that is not interlaced."""
-    head, data, palette, clear = None, [], None, b""
+    """(height, width, 4) codes of a PNG of any kind; samples of other widths are scaled to 8 bits, to the nearest."""
+    head, data, palette, clear = None, [], None, None
     for kind, body in _chunks(raw):
         if kind == b"IHDR":
             head = struct.unpack(">IIBBBBB", body)
@@ -115,17 +130,28 @@ def decode_png(raw: bytes) -> np.ndarray:
         elif kind == b"IDAT":
             data.append(body)
     w, h, bits, colour, _, _, interlaced = head
-    if bits != 8 or interlaced:
+    if bits not in (1, 2, 4, 8, 16) or colour not in CHANNELS:
         raise ValueError("unsupported-png")
     n = CHANNELS[colour]
-    rows = np.frombuffer(zlib.decompress(b"".join(data)), np.uint8).reshape(h, 1 + w * n)
-    v = _unfiltered(rows, n).reshape(h, w, n)
+    body = np.frombuffer(zlib.decompress(b"".join(data)), np.uint8)
+    v, at = np.zeros((h, w, n), np.int32), 0
+    for x0, y0, dx, dy in ADAM7 if interlaced else ((0, 0, 1, 1),):
+        wide, high = -(-(w - x0) // dx), -(-(h - y0) // dy)
+        if wide > 0 and high > 0:
+            line = 1 + -(-wide * n * bits // 8)
+            lines = _unfiltered(body[at : at + high * line].reshape(high, line), max(1, n * bits // 8))
+            v[y0::dy, x0::dx] = _samples(lines, wide, n, bits)
+            at += high * line
     if colour == 3:
         alpha = np.full(256, 255, np.uint8)
-        alpha[: len(clear)] = np.frombuffer(clear, np.uint8)
+        alpha[: len(clear or b"")] = np.frombuffer(clear or b"", np.uint8)
         return np.concatenate((palette[v[..., 0]], alpha[v]), axis=2)
+    most = (1 << bits) - 1
+    codes = ((v * 255 + most // 2) // most).astype(np.uint8)
     opaque = np.full((h, w, 1), 255, np.uint8)
-    return np.concatenate({1: (v, v, v, opaque), 2: (v[..., :1],) * 3 + (v[..., 1:],), 3: (v, opaque), 4: (v,)}[n], axis=2)
+    if clear is not None and colour in (0, 2):  # one grey or colour, in samples as stored, is transparent
+        opaque[(v == np.frombuffer(clear, ">u2", n)).all(2)] = 0
+    return np.concatenate({1: (codes, codes, codes, opaque), 2: (codes[..., :1],) * 3 + (codes[..., 1:],), 3: (codes, opaque), 4: (codes,)}[n], axis=2)
 
 
 def encode_png(codes: np.ndarray) -> bytes:
