@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pixelmill.operators.context import Context
 from pixelmill.operators.palettes import Palette
-from pixelmill.operators.registry import apply
+from pixelmill.operators.registry import EFFECTS, apply
 from pixelmill.plans import codec
 from pixelmill.plans.rel import Duck, Spark
 from pixelmill.plans.scratch import settled
@@ -113,7 +113,41 @@ select o_orderkey as id, case when {whole} then cast(1 as bigint) end as schema,
 """
 
 
-SPARK_QUERIES = {"document_migration": document_migration, "gif_round_trip": gif_round_trip, "gif_report": gif_report}
+SHAPES = ("sine", "triangle", "saw", "square")
+#: An animated document for each order: a bound gamma, and for some a feedback node; the second is not read.
+LOOP_DOCUMENT = (
+    """case when o_orderkey % 23 = 1 then '{"schema": 2}' else concat('{"schema": 2, "stack": [{"id": "g", "effect": "levels", "params": {"gamma": 1.5}}, """
+    """{"id": "f", "effect": "feedback", "enabled": ', case when o_orderkey % 5 = 0 then 'true' else 'false' end, '}], "edges": [{"from": "g", "to": "f"}], "output": "f", """
+    """"clock": {"fps": 24, "frames": ', 2 + o_orderkey % 40, '}, "bindings": [{"nodeId": "g", "param": "gamma", "shape": "', """
+    + "case o_orderkey % 4 " + " ".join(f"when {i} then '{x}'" for i, x in enumerate(SHAPES)) + " end, "
+    """'", "cyclesPerLoop": ', 1 + o_custkey % 12, ', "amount": ', cast(o_orderkey % 50 as int), ', "phase": 0.125}]}') end"""
+)
+
+
+def loop_seams(spark, sf_dir):
+    """What keeps each document's loop from closing, or blurs it."""
+    return codec.seam_table(Spark(spark, sf_dir).table("orders", "o_orderkey as id", f"{LOOP_DOCUMENT} as text").df)
+
+
+def _seams_sql() -> str:
+    """Each frame's value of each binding, from the shapes' formulas."""
+    gamma = EFFECTS["levels"].params["gamma"]
+    return f"""
+with docs as (select o_orderkey as id, 2 + o_orderkey % 40 as frames, o_orderkey % 4 as shape, 1 + o_custkey % 12 as cycles, o_orderkey % 50 as amount from orders where o_orderkey % 23 <> 1),
+phased as (select *, cycles * f / cast(frames as double) + 0.125e0 as p from docs, lateral (select unnest(range(frames)) as f)),
+turned as (select *, p - floor(p) as t from phased),
+valued as (
+  select id, 1.5e0 + amount * case shape when 0 then sin(2e0 * pi() * t) when 1 then case when t < 0.25e0 then 4e0 * t when t < 0.75e0 then 2e0 - 4e0 * t else 4e0 * t - 4e0 end
+    when 2 then t * 2e0 - 1e0 else case when t < 0.5e0 then 1e0 else -1e0 end end as v from turned
+)
+select id, 'does-not-loop' as code, 'info' as severity, 'f' as place from docs where id % 5 = 0
+union all select id, 'sampled-below-nyquist', 'warning', 'g.gamma' from docs where 2 * cycles * case shape when 2 then 1 else 2 end > frames
+union all select id, 'binding-clips', 'warning', 'g.gamma' from valued group by id having min(v) < {gamma.low!r} or max(v) > {gamma.high!r}
+union all select o_orderkey, 'unrecognised-file', 'error', '' from orders where o_orderkey % 23 = 1
+"""
+
+
+SPARK_QUERIES = {"animation_seams": loop_seams, "document_migration": document_migration, "gif_round_trip": gif_round_trip, "gif_report": gif_report}
 
 
 def oracles() -> dict[str, str]:
@@ -130,4 +164,4 @@ box as (
 sized as (select *, coalesce(r - l + 1, 1) as wide, coalesce(b - t + 1, 1) as high from box)
 select image_id, count(*) as frames, count(*) filter (wide <> w or high <> h) as cropped_frames, cast(sum(wide * high) as bigint) as pixels_written from sized group by image_id
 """
-    return {"document_migration": _migration_sql(), "gif_round_trip": f"select image_id, frame, x, y, {colours}, cast(255 as bigint) as ca from ({rel})", "gif_report": report}
+    return {"animation_seams": _seams_sql(), "document_migration": _migration_sql(), "gif_round_trip": f"select image_id, frame, x, y, {colours}, cast(255 as bigint) as ca from ({rel})", "gif_report": report}

@@ -107,7 +107,8 @@ def binding_seed(anim: Animation, b: dict) -> int:
 def raw_value(anim: Animation, b: dict, frame: int) -> float:
     """A binding before it is rounded and held in its range."""
     node = anim.document.nodes[b["node"]]
-    unit = shape_value(b["shape"], phase_of(anim, b, frame % anim.frames), binding_seed(anim, b))
+    seed = binding_seed(anim, b) if b["shape"] in ("smooth-noise", "stepped-random") else 0
+    unit = shape_value(b["shape"], phase_of(anim, b, frame % anim.frames), seed)
     return full_params(node)[b["param"]] + b["amount"] * (unit if b.get("bipolar", True) else (unit + 1) / 2)
 
 

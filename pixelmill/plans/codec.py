@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelmill.operators.registry import EFFECTS
-from pixelmill.plans.animate import Animation
+from pixelmill.plans.animate import Animation, faults, seam
 from pixelmill.plans.document import Document, validate
 
 LINEAR, CURRENT = 1, 2
@@ -195,3 +195,28 @@ def decode_table(files: DataFrame) -> DataFrame:
 
     own = files.select(F.col(files.columns[0]).alias("id"), F.col(files.columns[1]).alias("text"))
     return own.mapInArrow(run, f"id {own.schema['id'].dataType.simpleString()}, schema long, document string, problems string, error string")
+
+
+def seam_table(files: DataFrame) -> DataFrame:
+    """(id, text) -> (id, code, severity, place): a row for everything that keeps a document's loop from closing or blurs
+    it. A file that cannot be read, or an animation that cannot be planned, has one row with its first fault, an error."""
+
+    def issues(text):
+        try:
+            anim = planned(decoded(text))
+            wrong = faults(anim)
+            return [(wrong[0][0], "error", wrong[0][1])] if wrong else seam(anim)
+        except FileError as e:
+            return [(e.code, "error", "")]
+        except (KeyError, TypeError, AttributeError, RecursionError):
+            return [("wrong-type", "error", "")]
+
+    def run(batches):
+        for batch in batches:
+            out = [(id_, *x) for id_, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for x in issues(text)]
+            columns = list(zip(*out, strict=True)) or [[]] * 4
+            kinds = (batch.schema.field(0).type, pa.string(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["id", "code", "severity", "place"])
+
+    own = files.select(F.col(files.columns[0]).alias("id"), F.col(files.columns[1]).alias("text"))
+    return own.mapInArrow(run, f"id {own.schema['id'].dataType.simpleString()}, code string, severity string, place string")
