@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from pixelmill.operators import search
 from pixelmill.operators.context import Context
 from pixelmill.operators.palettes import Palette
 from pixelmill.operators.registry import EFFECTS, apply
@@ -147,7 +150,42 @@ union all select o_orderkey, 'unrecognised-file', 'error', '' from orders where
 """
 
 
-SPARK_QUERIES = {"animation_seams": loop_seams, "document_migration": document_migration, "gif_round_trip": gif_round_trip, "gif_report": gif_report}
+#: What is looked for: of every hundredth part the name, mistyped in each word but for some.
+ASKED = "case when p_partkey % 700 = 0 then 'qqzzqqzz' when p_partkey % 300 = 0 then p_name else regexp_replace(p_name, '(^| )(.).', '{g}') end"
+
+
+def part_search(spark, sf_dir):
+    """Parts by name and type; of names that are mistyped the nearest."""
+    src = Spark(spark, sf_dir)
+    queries = src.table("part", "p_partkey", f"{ASKED.format(g='$1$2')} as text").df.where("p_partkey % 100 = 0").withColumnRenamed("p_partkey", "query_id")
+    names = src.table("part", "p_partkey as entry_id", "p_name as text", "3.0D as weight").df
+    kinds = src.table("part", "p_partkey as entry_id", "p_type as text", "1.0D as weight").df
+    found = search.searched(queries, names.unionAll(kinds))
+    return found.withColumn("score", F.round("score", 6))
+
+
+def _search_sql() -> str:
+    """Every token of every query against every word of every part."""
+    asked = ASKED.format(g="\\1\\2").replace("\\1\\2')", "\\1\\2', 'g')")
+    return f"""
+with queries as (select p_partkey as q, string_split(lower({asked}), ' ') as ts from part where p_partkey % 100 = 0),
+tokens as (select q, len(ts) as of, unnest(ts) as t, generate_subscripts(ts, 1) as nth from queries),
+words as (
+  select p_partkey as e, 3.0 as k, unnest(string_split(lower(p_name), ' ')) as w from part union all select p_partkey, 1.0, unnest(string_split(lower(p_type), ' ')) from part
+),
+cost as (select distinct t, w, case when t = w then 1.0 when starts_with(w, t) then 0.7 when contains(w, t) then 0.4 end as s,
+  levenshtein(t, w) <= case when length(t) >= 7 then 2 when length(t) >= 4 then 1 else 0 end and length(t) >= 4 as near from (select distinct t from tokens), (select distinct w from words)),
+each as (select q, of, nth, e, max(s * k) as direct, max(case when near then 0.4 * k end) as typo from tokens join cost using (t) join words using (w) where s is not null or near group by all),
+total as (select q, e, count(direct) = of as whole, sum(coalesce(direct, typo)) as score from each group by q, of, e),
+found as (select q, 'found' as kind, e, score from total where whole),
+close as (select q, 'nearest' as kind, e, score from total where q not in (select q from found)),
+ranked as (select *, row_number() over (partition by q order by round(score, 9) desc, e) as rank from (from found union all from close))
+select q as query_id, kind, rank, e as entry_id, cast(round(score, 6) as double) as score from ranked where kind = 'found' or rank <= 3
+union all select q, 'unknown', null, null, null from queries where q not in (select q from total)
+"""
+
+
+SPARK_QUERIES = {"part_search": part_search, "animation_seams": loop_seams, "document_migration": document_migration, "gif_round_trip": gif_round_trip, "gif_report": gif_report}
 
 
 def oracles() -> dict[str, str]:
@@ -164,4 +202,4 @@ box as (
 sized as (select *, coalesce(r - l + 1, 1) as wide, coalesce(b - t + 1, 1) as high from box)
 select image_id, count(*) as frames, count(*) filter (wide <> w or high <> h) as cropped_frames, cast(sum(wide * high) as bigint) as pixels_written from sized group by image_id
 """
-    return {"animation_seams": _seams_sql(), "document_migration": _migration_sql(), "gif_round_trip": f"select image_id, frame, x, y, {colours}, cast(255 as bigint) as ca from ({rel})", "gif_report": report}
+    return {"part_search": _search_sql(), "animation_seams": _seams_sql(), "document_migration": _migration_sql(), "gif_round_trip": f"select image_id, frame, x, y, {colours}, cast(255 as bigint) as ca from ({rel})", "gif_report": report}
