@@ -8,6 +8,7 @@ its own code on Spark and an independent SQL oracle, or tests against brute forc
 from __future__ import annotations
 
 from pixelmill.operators import compositing, diffusion, dithers, generators, pointwise, spatial, waves  # noqa: F401  (register effects)
+from pixelmill.operators import geometry
 from pixelmill.operators.context import Context
 from pixelmill.operators.palettes import Palette
 from pixelmill.operators.registry import EFFECTS, apply
@@ -74,10 +75,13 @@ VARIANTS = {
 
 
 def run_effect(src, id: str, params: dict | None = None):
-    """An effect over the 8x8 rasters (generators: a 48x32 canvas), colours rounded to six places."""
+    """An effect over the 8x8 rasters, colours rounded to six places; generators are multiplied onto them, at twice the size."""
     e = EFFECTS[id]
     ctx = Context(src)
-    rel = rasters.blank(src, 48, 32) if e.slot == "source" else rasters.emb8(src)
+    if e.slot == "source":
+        base = geometry.integer_scale(rasters.emb8(src), 2)
+        return rasters.result(compositing.composite(base, apply(base, id, EXAMPLES.get(id, {}) if params is None else params, ctx), "multiply", 0.7))
+    rel = rasters.emb8(src)
     if "tile" in e.needs:
         ctx.tile_size = (8, 8)
         luma = "floor(255.0 * (0.2126 * r + 0.7152 * g + 0.0722 * b) + 0.5) / 255.0"

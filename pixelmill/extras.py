@@ -119,6 +119,40 @@ def _field(kind, width=40, height=23, seed=9, cells=6):
     return run
 
 
+def threshold_by(field, wide, high):
+    """A field (x, y, value) as the threshold of the embeddings' images, which lie side by side on it, row by row, over and over."""
+    columns, rows = wide // 8, high // 8
+
+    def run(src):
+        rel = emb8(src)
+        rel = rel.let(px=f"(image_id % {columns}) * 8 + x", py=f"({rel.d.div('image_id', columns)} % {rows}) * 8 + y")
+        cells = field(src).let(px="x", py="y").keep("px", "py", "value")
+        return rel.join(cells, ["px", "py"]).let(is_on="case when r >= value then 1 else 0 end").keep("image_id", "x", "y", "value", "is_on")
+
+    return run
+
+
+def by_event(table, frames):
+    """A table over frames, and the events that fall on each frame of it."""
+
+    def run(src):
+        rows = table(src)
+        events = src.table("events", "event_id", "value as amount").let(frame=f"event_id % {frames}")
+        return rows.join(events, ["frame"]).group(rows.columns, events="count(*)", total="round(sum(amount), 3)")
+
+    return run
+
+
+def images_by_palette(src):
+    """For each image and built-in palette the entry nearest to the image's mean colour, and where that stands in the palette's orders."""
+    mean = emb8(src).group(["image_id"], **{c: f"avg({c})" for c in "rgb"})
+    out = None
+    for name in palettes.BUILT_IN:
+        own = palettes.nearest(mean, Palette.of(name)).let(entry="cast(idx as bigint)", palette=f"'{name}'").keep("image_id", "palette", "entry")
+        out = own if out is None else out.union(own)
+    return out.join(all_palettes(src), ["palette", "entry"])
+
+
 def all_palettes(src):
     """Every built-in palette's entries and where they stand when sorted by hue, by luminance and as given."""
     rows = []
@@ -267,8 +301,9 @@ def fixtures(src):
 
 
 def blue_tile(src):
-    """The rank tile itself: a permutation of 0 .. 4095."""
-    return src.values(["place", "rank"], list(enumerate(dithers.blue_noise_ranks())))
+    """The rank tile itself, a permutation of 0 .. 4095, as thresholds."""
+    rel = src.values(["place", "rank"], list(enumerate(dithers.blue_noise_ranks())))
+    return rel.let(x="place % 64", y=rel.d.div("place", 64), value="(rank + 0.5) / 4096.0").keep("x", "y", "value")
 
 
 def output_modes(src):
@@ -346,15 +381,15 @@ PAIRS = {
     "palette_populations": populations,
     "palette_histogram": lambda src: census.histogram(emb8(src)),
     "palette_output_modes": output_modes,
-    "noise_interleaved_gradient": gradient_noise,
-    "noise_white": _field("white"),
-    "noise_gaussian": _field("gaussian"),
-    "noise_value": _field("value"),
-    "noise_blue_tile": blue_tile,
-    "palette_built_in": all_palettes,
-    "animation_modulators": modulators,
-    "animation_temporal_modes": temporal_modes,
-    "animation_keyframes": keyframes,
+    "noise_interleaved_gradient": threshold_by(gradient_noise, 64, 48),
+    "noise_white": threshold_by(_field("white"), 40, 23),
+    "noise_gaussian": threshold_by(_field("gaussian"), 40, 23),
+    "noise_value": threshold_by(_field("value"), 40, 23),
+    "noise_blue_tile": threshold_by(blue_tile, 64, 64),
+    "palette_built_in": images_by_palette,
+    "animation_modulators": by_event(modulators, 48),
+    "animation_temporal_modes": by_event(temporal_modes, 24),
+    "animation_keyframes": by_event(keyframes, 24),
     "animation_bound_levels": animated_levels,
     "census_colours": lambda src: census.colour_census(dithered(src)),
     "census_colours_frames": lambda src: census.colour_census(dithered_frames(src)),
