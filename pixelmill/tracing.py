@@ -87,6 +87,46 @@ from near group by {image}, layer, ring
 """
 
 
+def _simplified_sql() -> str:
+    """The farthest point of every stretch between any two corners of a ring, then the splits that start from the whole ring."""
+    walked = _walk(_pixels(dithered(Duck()), "image_id"), "image_id").split("near as (")[0]
+    key, same = "image_id, layer, ring", "{0}.image_id = {1}.image_id and {0}.layer = {1}.layer and {0}.ring = {1}.ring".format
+    return walked + f"""pts as materialized (
+  select {key}, row_number() over (partition by {key} order by n) - 1 as seq, count(*) over (partition by {key}) as n, cast(x as double) as x, cast(y as double) as y from corners
+),
+far as (
+  select p.image_id, p.layer, p.ring, p.n, arg_max(p.seq, pow(p.x - f.x, 2) + pow(p.y - f.y, 2) - p.seq / 1e6) as anchor from pts p join pts f on {same("f", "p")} and f.seq = 0 group by all
+),
+closed_ring as materialized (select {key}, seq, x, y from pts union all select {key}, n, x, y from pts where seq = 0),
+stretches as materialized (
+  select a.image_id, a.layer, a.ring, a.seq as lo, b.seq as hi, arg_max(m.seq, d - m.seq / 1e9) as worst, max(d) as d
+  from closed_ring a join closed_ring b on {same("b", "a")} and b.seq > a.seq + 1 join closed_ring m on {same("m", "a")} and m.seq > a.seq and m.seq < b.seq,
+  lateral (select pow(b.x - a.x, 2) + pow(b.y - a.y, 2) as size),
+  lateral (select case when size > 0 then pow((b.x - a.x) * (m.y - a.y) - (b.y - a.y) * (m.x - a.x), 2) / size else pow(m.x - a.x, 2) + pow(m.y - a.y, 2) end as d) group by all
+),
+splits as (
+  select {key}, 0 as lo, anchor as hi from far union all select {key}, anchor, n from far
+  union all
+  select s.image_id, s.layer, s.ring, unnest([s.lo, t.worst]), unnest([t.worst, s.hi]) from splits s join stretches t using ({key}, lo, hi) where t.d > {TOLERANCE**2!r}
+),
+kept as (select p.* from pts p where exists (select 1 from splits s where {same("s", "p")} and s.lo = p.seq)),
+turns as (
+  select *, coalesce(lag(x) over ring, last_value(x) over ring) as px, coalesce(lag(y) over ring, last_value(y) over ring) as py,
+    coalesce(lead(x) over ring, first_value(x) over ring) as nx, coalesce(lead(y) over ring, first_value(y) over ring) as ny
+  from kept window ring as (partition by {key} order by seq rows between unbounded preceding and unbounded following)
+),
+bent as (select {key}, seq, x, y from turns where (x - px) * (ny - y) - (y - py) * (nx - x) <> 0),
+shown as (
+  select *, lag(x) over ring as px, lag(y) over ring as py, coalesce(lead(x) over ring, first_value(x) over ring) as nx, coalesce(lead(y) over ring, first_value(y) over ring) as ny
+  from bent window ring as (partition by {key} order by seq rows between unbounded preceding and unbounded following)
+)
+select {key}, count(*) as points, cast(sum(x * ny - nx * y) as bigint) as area2, sum(x * ny - nx * y) < 0 as is_hole,
+  string_agg(case when px is null then 'M' || cast(x as int) || ' ' || cast(y as int) when y = py then 'H' || cast(x as int) when x = px then 'V' || cast(y as int)
+    else 'L' || cast(x as int) || ' ' || cast(y as int) end, '' order by seq) || 'Z' as path
+from shown group by {key} having count(*) >= 3 and sum(x * ny - nx * y) <> 0
+"""
+
+
 def _donation_sql() -> str:
     """Floods: regions of each index, then each layer's background without its specks."""
     return f"""
@@ -142,4 +182,5 @@ def oracles() -> dict[str, str]:
         "trace_contours": _walk(_pixels(dithered(Duck()), "image_id"), "image_id"),
         "trace_contours_frames": _walk(_pixels(framed(Duck()), "image_id, frame"), "image_id, frame"),
         "trace_donation": _donation_sql(),
+        "trace_simplified": _simplified_sql(),
     }

@@ -39,8 +39,10 @@ def test_query_equals_its_oracle(spark, duck, name):
     assert ((a == b) | (a.isna() & b.isna())).all().all()
 
 
-def test_every_query_but_extraction_has_an_oracle():
-    assert set(catalog.queries()) - set(catalog.oracle_sql()) == {f"palette_extract_{m}" for m in ("median_cut", "wu", "k_means")}
+def test_every_query_but_a_few_has_an_oracle():
+    """Extraction is held by clusters with known means, SVG documents by their text (test_contours.py)."""
+    without = {f"palette_extract_{m}" for m in ("median_cut", "wu", "k_means")} | {"trace_svg"}
+    assert set(catalog.queries()) - set(catalog.oracle_sql()) == without
     assert len(EFFECTS) >= 72
 
 
