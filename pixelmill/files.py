@@ -8,7 +8,7 @@ from pixelmill.operators import search
 from pixelmill.operators.context import Context
 from pixelmill.operators.palettes import Palette
 from pixelmill.operators.registry import EFFECTS, apply
-from pixelmill.plans import codec
+from pixelmill.plans import codec, edits
 from pixelmill.plans.rel import Duck, Spark
 from pixelmill.plans.scratch import settled
 from pixelmill.sources import gif
@@ -185,7 +185,22 @@ union all select q, 'unknown', null, null, null from queries where q not in (sel
 """
 
 
-SPARK_QUERIES = {"part_search": part_search, "animation_seams": loop_seams, "document_migration": document_migration, "gif_round_trip": gif_round_trip, "gif_report": gif_report}
+#: Each user's events as edits of a graph of their own.
+EDIT_LOG = (
+    "user_id as doc", "event_id as nth",
+    "case event_id % 11 when 0 then 'remove' when 1 then 'disconnect' when 2 then 'output' when 3 then 'mask' when 4 then 'add' when 5 then 'add' when 6 then 'add' else 'connect' end as op",
+    "concat('n', event_id div 11 % 7) as a",
+    "case when event_id % 11 in (4, 5, 6) then element_at(array('levels', 'invert', 'feedback', 'bayer-4', 'gen-noise'), cast(event_id div 7 % 5 as int) + 1) when event_id % 11 = 3 then 'on' else concat('n', event_id div 5 % 7) end as b",
+    "case when event_id % 11 in (4, 5) then concat('n', event_id div 3 % 7) when event_id % 11 = 6 then cast(null as string) else element_at(array('in', 'in', 'mask', 'feedback', 'in'), cast(event_id div 13 % 5 as int) + 1) end as port",
+)
+
+
+def graph_edits(spark, sf_dir):
+    """What became of every edit, and the graph after it."""
+    return edits.replay(Spark(spark, sf_dir).table("events", *EDIT_LOG).df)
+
+
+SPARK_QUERIES = {"graph_edits": graph_edits, "part_search": part_search, "animation_seams": loop_seams, "document_migration": document_migration, "gif_round_trip": gif_round_trip, "gif_report": gif_report}
 
 
 def oracles() -> dict[str, str]:

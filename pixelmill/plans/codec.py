@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelmill.operators.registry import EFFECTS
+from pixelmill.operators.effects import EFFECTS
 from pixelmill.plans.animate import Animation, faults, seam
 from pixelmill.plans.document import Document, validate
 
