@@ -131,3 +131,13 @@ def test_frames_are_compared_image_by_image(spark):
     rel = Spark(spark, "").values(["image_id", "frame", "x", "y", "r", "g", "b", "a"], rows)
     got = {r.image_id: (r.matches, r.code) for r in animate.seam_of_frames(rel, []).df.collect()}
     assert got == {0: (True, None), 1: (False, "frame-hash-mismatch"), 2: (True, None)}
+
+
+def test_a_smaller_mask_covers_nothing_beyond_it(source, spark):
+    from pixelmill.operators.compositing import composite
+
+    mask = Spark(spark, "").values(["image_id", "x", "y", "w", "h", "r", "g", "b", "a"], [(0, x, 0, 3, 1, 1.0, 1.0, 1.0, 1.0) for x in range(3)])
+    top = source.let(r="1.0 - r")
+    got = colours(composite(source, top, "normal", 1.0, {"kind": "image", "channel": "red"}, mask))
+    base, over = colours(source), colours(top)
+    assert got == {k: over[k] if k[1] < 3 and k[2] == 0 else base[k] for k in base}
