@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pixelmill.plans.scratch import settled
+
 EXACT, PREFIX, SUBSTRING = 1.0, 0.7, 0.4
 #: How many of the nearest entries a miss names.
 NEAREST = 3
@@ -62,25 +64,33 @@ def searched(queries: DataFrame, entries: DataFrame, nearest: int = NEAREST) ->
     weight. nearest: for a query that finds nothing, the first few entries by the same sum, where a token
     without a direct match counts a word within its edits as a substring. unknown: one row without an entry.
     A query without words is unknown. Ranks go by score, then entry; an entry's texts may be several rows.
+
+    Queries of the same words are ranked once, and entries of the same words and weights are measured once, so that
+    only the rows that are returned grow with both tables.
     """
-    asked = queries.select("query_id", F.posexplode(tokens_of(F.col("text"))).alias("nth", "token"))
+    named = queries.select("query_id", tokens_of(F.col("text")).alias("asked")).distinct()
+    asked = named.select("asked").distinct()
     own = entries.select("entry_id", "weight", F.explode(tokens_of(F.col("text"))).alias("word")).groupBy("entry_id", "word").agg(F.max("weight").alias("weight"))
-    tokens, words = asked.select("token").distinct(), own.select("word").distinct()
+    members = own.groupBy("entry_id").agg(F.array_sort(F.collect_list(F.struct("word", "weight"))).alias("holds"))
+    kinds = members.select("holds").distinct()
+    own = kinds.select("holds", F.inline("holds"))
+    each_token = asked.select("asked", F.posexplode("asked").alias("nth", "token"))
+    tokens, words = each_token.select("token").distinct(), own.select("word").distinct()
     typos = typo_pairs(tokens, words).select("token", "word", F.lit(SUBSTRING).alias("strength"), F.lit(True).alias("typo"))
     pairs = direct_pairs(tokens, words).withColumn("typo", F.lit(False)).unionByName(typos)
-    hits = asked.join(pairs, "token").join(own, "word")
+    hits = each_token.join(pairs, "token").join(own, "word")
     value = F.col("strength") * F.col("weight")
-    each = hits.groupBy("query_id", "nth", "entry_id").agg(F.max(F.when(~F.col("typo"), value)).alias("direct"), F.max(F.when(F.col("typo"), value)).alias("typo"))
-    total = each.groupBy("query_id", "entry_id").agg(F.count("direct").alias("n"), F.sum(F.coalesce("direct", "typo")).alias("score"))
-    wanted = queries.select("query_id", F.size(tokens_of(F.col("text"))).alias("of"))
-    total = total.join(wanted, "query_id").withColumn("whole", F.col("n") == F.col("of"))
+    each = hits.groupBy("asked", "nth", "holds").agg(F.max(F.when(~F.col("typo"), value)).alias("direct"), F.max(F.when(F.col("typo"), value)).alias("typo"))
+    total = each.groupBy("asked", "holds").agg(F.count("direct").alias("n"), F.sum(F.coalesce("direct", "typo")).alias("score"))
+    total = settled(total.withColumn("whole", F.col("n") == F.size("asked")))
     found = total.where("whole")
-    close = total.join(found.select("query_id").distinct(), "query_id", "left_anti")
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "entry_id")
-    columns = ["query_id", "kind", "rank", "entry_id", "score"]
-    rank = F.row_number().over(order).cast("long")
-    found = found.select("query_id", F.lit("found").alias("kind"), rank.alias("rank"), "entry_id", "score")
-    close = close.select("query_id", F.lit("nearest").alias("kind"), rank.alias("rank"), "entry_id", "score").where(F.col("rank") <= nearest)
-    known = total.select("query_id").distinct()
-    none = queries.select("query_id").join(known, "query_id", "left_anti").select("query_id", F.lit("unknown").alias("kind"), F.lit(None).cast("long").alias("rank"), F.lit(None).cast(entries.schema["entry_id"].dataType).alias("entry_id"), F.lit(None).cast("double").alias("score"))
-    return found.select(columns).unionByName(close.select(columns)).unionByName(none)
+    close = total.join(found.select("asked").distinct(), "asked", "left_anti")
+    rank = F.row_number().over(Window.partitionBy("asked").orderBy(F.desc(F.round("score", 9)), "entry_id")).cast("long")
+    found = found.join(members, "holds").select("asked", F.lit("found").alias("kind"), rank.alias("rank"), "entry_id", "score")
+    # entries of the same words and weights score alike, so only the first few of them can be near
+    first = members.withColumn("place", F.row_number().over(Window.partitionBy("holds").orderBy("entry_id"))).where(F.col("place") <= nearest)
+    close = close.join(first, "holds").select("asked", F.lit("nearest").alias("kind"), rank.alias("rank"), "entry_id", "score").where(F.col("rank") <= nearest)
+    ranked = found.unionByName(close)
+    known = total.select("asked").distinct()
+    none = named.join(known, "asked", "left_anti").select("query_id", F.lit("unknown").alias("kind"), F.lit(None).cast("long").alias("rank"), F.lit(None).cast(entries.schema["entry_id"].dataType).alias("entry_id"), F.lit(None).cast("double").alias("score"))
+    return named.join(ranked, "asked").select("query_id", "kind", "rank", "entry_id", "score").unionByName(none)

@@ -80,3 +80,20 @@ def test_nothing_to_search(spark):
     one = spark.createDataFrame([(1, "abc")], "query_id long, text string")
     assert [tuple(r) for r in search.searched(one, none).collect()] == [(1, "unknown", None, None, None)]
     assert search.searched(one.where("false"), none).count() == 0
+
+
+def test_queries_and_entries_of_the_same_words_are_measured_once(spark):
+    """60 copies of each query and entry: the rows that meet on a word stay as few as those of one copy."""
+    names = ["large ring", "hot bolt", "blue ring", "old plate"]
+    entries = [(i, names[i % 4], 3.0) for i in range(240)]
+    queries = [(i, ["large ring", "ht bolt", "bolt", "qqqqqqq"][i % 4]) for i in range(240)]
+    seen = []
+    plain_settled = search.settled
+    search.settled = lambda df: seen.append(plain_settled(df)) or seen[-1]
+    try:
+        got = search.searched(spark.createDataFrame(queries, "query_id long, text string"), spark.createDataFrame(entries, "entry_id long, text string, weight double"))
+        found = {(r.query_id, r.kind, r["rank"], r.entry_id, None if r.score is None else round(r.score, 9)) for r in got.collect()}
+    finally:
+        search.settled = plain_settled
+    assert found == plain(queries, entries)
+    assert seen[0].count() <= 16
