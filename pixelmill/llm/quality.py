@@ -23,7 +23,7 @@ most ``risk`` of its good documents. At the defaults one stratum needs 99 good
 holdout rows, four need 144 each; a stratum with fewer certifies nothing, and only
 the fixed rules hold there.
 
-Labelled texts are bounded: about ``rows_per_stratum`` of each stratum, by hash.
+Every labelled text takes part; only counts by stratum and rule are gathered.
 """
 
 from __future__ import annotations
@@ -116,9 +116,7 @@ def is_tuning(key="text_key"):
     return F.pmod(F.xxhash64(key, F.lit(5)), F.lit(4)) == 0
 
 
-def certified_cutoffs(
-    measured: DataFrame, labels: DataFrame, *, risk: float = 0.03, delta: float = 0.05, rows_per_stratum: int = 50_000
-) -> DataFrame:
+def certified_cutoffs(measured: DataFrame, labels: DataFrame, *, risk: float = 0.03, delta: float = 0.05) -> DataFrame:
     """(stratum, rule, cutoff): the cutoffs that hold; ``labels`` has doc_id and quality (1 good).
 
     A text of a stratum has one vote, bad if any of its documents is; repeated rows and copies add nothing.
@@ -126,9 +124,6 @@ def certified_cutoffs(
     known = labels.where("quality is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("good"))
     own = measured.where(~base_failed()).join(known, F.col("doc_id") == F.col("_id"))
     own = own.groupBy("stratum", "text_key").agg(F.min("good").alias("good"), F.max(F.struct(*rule_values())).alias("v"))
-    size = own.groupBy(F.col("stratum").alias("_s")).agg(F.count("*").alias("_n"))
-    own = own.join(size, F.col("stratum").eqNullSafe(F.col("_s")))
-    own = own.where(F.pmod(F.xxhash64("text_key", F.lit(3)), F.lit(1_000_000)) < F.lit(1e6 * rows_per_stratum) / F.col("_n"))
     own = own.select("stratum", "good", is_tuning().alias("tuning"), "v")
     chosen = _tuned(own.where("tuning"), risk)
 

@@ -182,6 +182,17 @@ def test_repeated_rows_and_copies_have_one_vote(spark):
     assert once and once == cutoffs(many, bad, 4, 0) == cutoffs(many, bad, 4, 1)
 
 
+def test_all_labelled_texts_count(spark):
+    """Of 160 000 labelled texts of a stratum the rule loses 2 % of the good ones; of a certain 50 000 of them, 6 %."""
+    some = "pmod(xxhash64(id, 3), 1000000) < 312500"
+    lost = f"pmod(xxhash64(id, 5), 4) <> 0 and {some} and pmod(hash(id), 16) = 0"
+    counts = ["0L as n_repeat_words", "100L as n_words", "400L as word_chars", "0L as n_bangs", "0L as n_capitals", "0L as n_dup_lines", "1L as n_lines", "100L as n_distinct"]
+    rows = spark.range(160_000)
+    measured = rows.selectExpr("id as doc_id", "id as text_key", "'en' as stratum", f"if(id % 4 = 0 or ({lost}), 100L, 0L) as n_symbols", *counts)
+    labels = rows.selectExpr("id as doc_id", "int(id % 4 > 0) as quality")
+    assert [r.rule for r in quality.certified_cutoffs(measured, labels).collect()] == ["symbols"]
+
+
 def components(n, linked):
     parent = list(range(n))
     for j in range(n):
