@@ -251,3 +251,9 @@ def test_streamed_feedback_equals_batch(spark, tmp_path):
     for r in rows:
         for k in range(64):
             assert abs(r.rgb[3 * k] - batch[r.image_id, r.frame, k % 8, k // 8]) < 1e-9
+
+
+def test_blend_modes_meet_once(spark):
+    """All modes come from one join of base and top; a union of joins would have one task read the rasters once a mode."""
+    plan = catalog.queries()["blend_modes"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") == 1 and "Union" not in plan
