@@ -257,3 +257,23 @@ def test_blend_modes_meet_once(spark):
     """All modes come from one join of base and top; a union of joins would have one task read the rasters once a mode."""
     plan = catalog.queries()["blend_modes"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join Inner") == 1 and "Union" not in plan
+
+
+def test_taps_are_exploded_after_the_join(spark):
+    """Nine taps a pixel: the pixels meet the squares of their taps first, and only then become rows by tap."""
+    plan = catalog.queries()["fx_edge_detect"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "inline(taps" in plan and plan.index("inline(taps") < plan.index("Join LeftOuter")
+
+
+def test_gather_on_a_raster_with_holes_and_twins(spark):
+    from pixelmill.plans.rel import SparkRel
+
+    pixels = [(1, x, y, 19, 11, float(x * 100 + y), 0.0, 0.0, 1.0) for x in range(19) for y in range(11) if (x, y) != (8, 7)] + [(1, 3, 3, 19, 11, 5.5, 0.0, 0.0, 1.0)]
+    at = {}
+    for _, x, y, _, _, r, *_ in pixels:
+        at.setdefault((x, y), []).append(r)
+    rel = SparkRel(spark.createDataFrame(pixels, "image_id long, x long, y long, w long, h long, r double, g double, b double, a double")).where("r <> 5.5")
+    src = SparkRel(spark.createDataFrame(pixels, "image_id long, x long, y long, w long, h long, r double, g double, b double, a double"))
+    taps = [(f"x + ({dx})", f"y + ({dy})", {"k": f"{1 + k}.0"}) for k, (dx, dy) in enumerate([(-9, 0), (0, 0), (1, 1), (5, -4)])]
+    got = {(r.x, r.y): r.v for r in spatial.gather(rel, src, taps, {"v": "w_k * s_r"}).df.collect()}
+    assert got == {(x, y): sum((1 + k) * v for k, (dx, dy) in enumerate([(-9, 0), (0, 0), (1, 1), (5, -4)]) for v in at.get((x + dx, y + dy), [])) for x, y in at}
