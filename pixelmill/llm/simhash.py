@@ -48,7 +48,7 @@ def shingle_hashes(text: bytes, k: int) -> list[int]:
     return [digest(joined[a:b], 42) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)]
 
 
-def _majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """For each run of ``counts`` hashes the bits set in over half; 0 for an empty run."""
     out = np.zeros(len(counts), np.uint64)
     full = np.flatnonzero(counts)
@@ -66,7 +66,7 @@ def _majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def fingerprint_of(text: str | None, k: int) -> int:
     h = np.array(shingle_hashes((text or "").encode(), k), np.uint64)
-    return int(_majority(h, np.array([len(h)]))[0])
+    return int(majority(h, np.array([len(h)]))[0])
 
 
 def _fingerprint_batches(k: int, limit: int = 250_000):
@@ -80,9 +80,9 @@ def _fingerprint_batches(k: int, limit: int = 250_000):
                 hashes.extend(h)
                 counts.append(len(h))
                 if len(hashes) >= limit:
-                    found.append(_majority(np.array(hashes, np.uint64), np.array(counts)))
+                    found.append(majority(np.array(hashes, np.uint64), np.array(counts)))
                     hashes, counts = [], []
-            found.append(_majority(np.array(hashes, np.uint64), np.array(counts, np.int64)))
+            found.append(majority(np.array(hashes, np.uint64), np.array(counts, np.int64)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(np.concatenate(found).view(np.int64))], names=["doc_id", "fp"]
             )

@@ -136,6 +136,37 @@ def test_near_copies_by_jaccard(spark, docs, none):
     assert jaccard.keep_one_of_each_group(docs).columns == docs.columns and jaccard.keep_one_of_each_group(none).count() == 0
 
 
+def test_near_copies_are_linked_by_simhash_first(spark, monkeypatch):
+    rng = random.Random(5)
+    f = [rng.getrandbits(64) for _ in range(60)]
+    for x in f[:40]:  # a few bits off, on either side of the limit, and chains
+        for n in (2, 5, 7):
+            x ^= sum(1 << b for b in rng.sample(range(64), n))
+            f.append(x)
+    f += f[:5]  # other texts of the same fingerprint
+    made = spark.createDataFrame([(i + 1, x - 2**64 if x >= 2**63 else x) for i, x in enumerate(f)], "t long, fp long")
+    got = jaccard.fingerprint_pairs(made, 6).collect()
+    parent = list(range(len(f) + 1))
+    for a, b in [(i + 1, j + 1) for i, j in simhash.all_links_brute_force(f, 6)]:
+        x, y = parent[a], parent[b]
+        parent = [min(x, y) if p in (x, y) else p for p in parent]
+    own = list(range(len(f) + 1))
+    for r in got:
+        x, y = own[r.a], own[r.b]
+        own = [min(x, y) if p in (x, y) else p for p in own]
+    assert own == parent and all(r.a < r.b for r in got)
+    # leaders are not paired with what is joined already
+    t, low = np.arange(4), np.zeros((4, jaccard.MINIMA), np.uint8)
+    a, b = jaccard.led_pairs(t, np.array([0, 0, 2, 3]), low, 0.8)
+    assert list(zip(a, b, strict=True)) == [(0, 2), (0, 3)]
+    # without a round of MinHash, SimHash alone joins texts of nearly all words
+    monkeypatch.setattr(jaccard, "ESTIMATES", ())
+    words = prose(rng, 900).split()
+    texts = [" ".join(words), " ".join([*words[:450], "changed", *words[451:]]), prose(rng, 900), ""]
+    kept = jaccard.keep_one_of_each_group(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 3]
+
+
 def test_connected_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (5, 5)], "a long, b long")
     got = {r.node: r.component for r in components.connected_components(edges).collect()}
