@@ -16,8 +16,8 @@ from collections import Counter
 from dataclasses import dataclass, replace
 
 from pixelmill.operators import animation as loop
-from pixelmill.operators.compositing import composite
-from pixelmill.operators.registry import EFFECTS, apply
+from pixelmill.operators.compositing import laid_over
+from pixelmill.operators.registry import EFFECTS
 from pixelmill.plans.document import Document, Node, content_hash, full_params, validate
 
 OFFSETS, ROTATION = ("offsetX", "offsetY"), "tileRotation"
@@ -275,7 +275,7 @@ def plan(anim: Animation, source, ctx):
                 now, image = node_at(anim, id, some[0]), masks[mask][1]
                 framed = "frame" in rel.columns or (image is not None and "frame" in image.columns)
                 under = on(rel, some) if framed and (len(some) < len(frames) or "frame" not in rel.columns) else rel
-                parts.append((some, composite(under, apply(under, now.effect, full_params(now), ctx), n.blend, n.opacity, n.mask, image)))
+                parts.append((some, laid_over(under, now.effect, full_params(now), ctx, n.blend, n.opacity, n.mask, image)))
         known[id] = parts
         return parts
 

@@ -12,8 +12,8 @@ import hashlib
 import json
 from dataclasses import dataclass, field
 
-from pixelmill.operators.compositing import composite, mask_problem
-from pixelmill.operators.registry import EFFECTS, apply, problems
+from pixelmill.operators.compositing import laid_over, mask_problem
+from pixelmill.operators.registry import EFFECTS, problems
 
 PORTS = ("image", "mask", "feedback")
 
@@ -145,9 +145,8 @@ def plan(doc: Document, source, ctx):
             base = of(doc.input_of(node))
             if not n.enabled:
                 return base
-            done = apply(base, n.effect, full_params(n), ctx)
             image = of(doc.input_of(node, "mask")) if n.mask and n.mask["kind"] == "image" else None
-            known[h] = composite(base, done, n.blend, n.opacity, n.mask, image)
+            known[h] = laid_over(base, n.effect, full_params(n), ctx, n.blend, n.opacity, n.mask, image)
         return known[h]
 
     return of(doc.output)
