@@ -80,7 +80,7 @@ def run_effect(src, id: str, params: dict | None = None):
     ctx = Context(src)
     if e.slot == "source":
         base = geometry.integer_scale(rasters.emb8(src), 2)
-        return rasters.result(compositing.composite(base, apply(base, id, EXAMPLES.get(id, {}) if params is None else params, ctx), "multiply", 0.7))
+        return rasters.result(compositing.laid_over(base, id, EXAMPLES.get(id, {}) if params is None else params, ctx, "multiply", 0.7))
     rel = rasters.emb8(src)
     if "tile" in e.needs:
         ctx.tile_size = (8, 8)

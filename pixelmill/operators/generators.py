@@ -8,7 +8,7 @@ from pixelmill.functions import hashing
 from pixelmill.functions.color import RGB, clamp, decode, fract, mix, smoothstep
 from pixelmill.operators.pointwise import TAU, done, from_lut, monotone_lut
 from pixelmill.operators.registry import effect
-from pixelmill.plans.rel import num, whole
+from pixelmill.plans.rel import SparkRel, num, whole
 
 #: Amplitudes and salts of the noise kinds; fixed values.
 PERLIN_SCALE, SIMPLEX_SCALE, WORLEY_SCALE = 0.9, 32.0, 1.1
@@ -99,6 +99,14 @@ def _worley(rel, seed, edges):
     "kind:enum{value/perlin/simplex/worley/worley-edges}=simplex; scale:float[1,4096]=64; octaves:int[1,8]=4; lacunarity:float[1.01,8]=2; gain:float[0.05,1]=0.5; ridged:bool=false; offsetX:float[-4096,4096]=0; offsetY:float[-4096,4096]=0; evolve:float[-1024,1024]=0; seed:seed=0x5eed",
 )
 def gen_noise(rel, p, ctx):
+    if rel.d.spark:  # the field is the same in every image: computed once for each place
+        field = _noise(SparkRel(rel.df.select("x", "y").distinct()), p).keep("x", "y", *RGB, "a")
+        return done(rel.drop(*RGB, "a").join(field, ["x", "y"]))
+    return done(_noise(rel, p))
+
+
+def _noise(rel, p):
+    """Sets the colours of a noise field at x, y."""
     terms, norm = [], 0.0
     for octave in range(p["octaves"]):
         freq, amp = p["lacunarity"] ** octave, p["gain"] ** octave
@@ -118,7 +126,7 @@ def gen_noise(rel, p, ctx):
         rel = done_but(rel.let(**{f"oct{octave}": f"{num(amp)} * {'(1.0 - abs(n * 2.0 - 1.0))' if p['ridged'] else 'n'}"}), octave)
         terms.append(f"oct{octave}")
         norm += amp
-    return done(rel.let(tone=clamp(f"({' + '.join(terms)}) / {num(norm)}")).let(**dict.fromkeys(RGB, decode("tone")), a=num(1)))
+    return rel.let(tone=clamp(f"({' + '.join(terms)}) / {num(norm)}")).let(**dict.fromkeys(RGB, decode("tone")), a=num(1))
 
 
 def done_but(rel, octave):

@@ -39,3 +39,10 @@ def test_composites_without_a_join_are_those_of_the_join(spark):
             assert isinstance(new, SparkRel) and set(new.columns) == set(old.columns)
             names = sorted(old.columns)
             assert old.df.count() > 0 and old.df.select(names).exceptAll(new.df.select(names)).isEmpty() and new.df.count() == old.df.count()
+
+
+def test_noise_is_computed_once_a_place(spark):
+    import re
+
+    plan = plan_of(catalog.queries()["fx_gen_noise"](spark, SF))
+    assert len(re.findall(r"\w+Join ", plan)) == 1 and re.search(r"HashAggregate\(keys=\[x#\w+, y#\w+\]", plan)
