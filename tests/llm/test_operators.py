@@ -167,6 +167,44 @@ def test_near_copies_are_linked_by_simhash_first(spark, monkeypatch):
     assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 3]
 
 
+def test_texts_that_are_nearly_near_copies_are_not_compared_pair_by_pair(spark, monkeypatch):
+    rng = random.Random(8)
+    words = prose(rng, 400).split()
+    texts = []
+    for _ in range(120):  # two of them share about 0.74 of their shingles
+        own = list(words)
+        for at in rng.sample(range(400), 6):
+            own[at] = f"w{rng.getrandbits(60)}"
+        texts.append(" ".join(own))
+    texts += [f"{text} more" for text in texts[:20]]  # these do link
+    asked, plain = spark.sparkContext.accumulator(0), jaccard._verified
+
+    def counted(least):
+        def run(batches):
+            for batch in plain(least)(batches):
+                yield batch
+
+        def tee(batches):
+            for batch in batches:
+                asked.add(batch.num_rows)
+                yield batch
+
+        return lambda batches: run(tee(batches))
+
+    monkeypatch.setattr(jaccard, "_verified", counted)
+    monkeypatch.setattr(jaccard, "fingerprint_pairs", lambda nodes: spark.createDataFrame([], "a long, b long"))
+    made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in jaccard.keep_one_of_each_group(made).collect()}
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (x.split() for x in texts)]
+    links = [(i, j) for j in range(len(sets)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    own = list(range(len(sets)))
+    for i, j in links:
+        x, y = own[i], own[j]
+        own = [min(x, y) if p in (x, y) else p for p in own]
+    assert kept == {i for i, p in enumerate(own) if p == i}
+    assert asked.value <= 400, asked.value  # of 9730 pairs
+
+
 def test_connected_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (5, 5)], "a long, b long")
     got = {r.node: r.component for r in components.connected_components(edges).collect()}
