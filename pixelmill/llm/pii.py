@@ -267,19 +267,28 @@ def best_paths(p: dict[str, np.ndarray], e: np.ndarray, size: np.ndarray) -> np.
     tags = np.zeros((steps, n), np.int8)
     if not len(open_):
         return tags
-    e, inside = e[:, open_], inside[:, open_]
-    back = np.empty((steps, len(open_), TAGS), np.int8)
-    score = e[0].copy()
+    # tags before windows: every step then works on whole rows of windows
+    e, inside = np.ascontiguousarray(e[:, open_].transpose(0, 2, 1)), inside[:, open_]
+    scores = np.empty_like(e)
+    scores[0] = e[0]
     for t in range(1, steps):
-        whole = score[:, :, None] + tr
-        back[t] = whole.argmax(1)
-        score = np.where(inside[t][:, None], whole.max(1) + e[t], score)
-    now = score.argmax(1)
-    rows = np.arange(len(open_))
+        np.max(scores[t - 1][:, None] + tr[:, :, None], axis=0, out=scores[t])
+        scores[t] += e[t]
+        np.copyto(scores[t], scores[t - 1], where=~inside[t])
+    now = np.zeros(len(open_), np.int8)
+    best = scores[-1][0].copy()
+    for k in range(1, TAGS):
+        now[scores[-1][k] > best] = k
+        np.maximum(best, scores[-1][k], out=best)
     for t in range(steps - 1, -1, -1):
-        tags[t, open_] = np.where(inside[t], now, 0)
-        if t:
-            now = np.where(inside[t], back[t][rows, now], now)
+        tags[t, open_] = now * inside[t]
+        if t:  # the first of the best tags before the one that stands
+            into = scores[t - 1] + tr[:, now]
+            before, best = np.zeros(len(open_), np.int8), into[0]
+            for k in range(1, TAGS):
+                np.copyto(before, np.int8(k), where=into[k] > best)
+                np.maximum(best, into[k], out=best)
+            now = np.where(inside[t], before, now)
     return tags
 
 

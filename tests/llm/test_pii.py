@@ -90,6 +90,42 @@ def test_reading_is_the_trained_network_and_the_best_path():
             assert tags[:n, j].tolist() == list(best) and not tags[n:, j].any()
 
 
+def _paths_window_by_window(p, e, size):
+    """The same search with windows before tags, every tag before every tag kept."""
+    steps, n, _ = e.shape
+    inside = np.arange(steps)[:, None] < size
+    back, score, tags = np.empty((steps, n, pii.TAGS), np.int8), e[0].copy(), np.zeros((steps, n), np.int8)
+    for t in range(1, steps):
+        whole = score[:, :, None] + p["tr"]
+        back[t] = whole.argmax(1)
+        score = np.where(inside[t][:, None], whole.max(1) + e[t], score)
+    now = score.argmax(1)
+    for t in range(steps - 1, -1, -1):
+        tags[t] = np.where(inside[t], now, 0)
+        if t:
+            now = np.where(inside[t], back[t][np.arange(n), now], now)
+    return tags
+
+
+def test_best_paths_equal_a_plain_search_at_less_cost():
+    rng = np.random.default_rng(4)
+    for n, steps, plain in ((700, 300, False), (90, 40, True), (1, 1, True)):
+        e, p = rng.normal(0, 2, (steps, n, pii.TAGS)).astype(np.float32), {"tr": rng.normal(0, 1, (pii.TAGS, pii.TAGS)).astype(np.float32)}
+        if plain:  # many equal scores: the first tag counts
+            e, p = np.round(e), {"tr": np.round(p["tr"])}
+        size = np.sort(rng.integers(1, steps + 1, n))[::-1]
+        spent = {pii.best_paths: [], _paths_window_by_window: []}
+        for _ in range(3 if n > 100 else 1):
+            found = []
+            for way in spent:
+                start = time.process_time()
+                found.append(way(p, e, size))
+                spent[way].append(time.process_time() - start)
+            assert np.array_equal(*found)
+        if n > 100:
+            assert min(spent[pii.best_paths]) < 0.75 * min(spent[_paths_window_by_window]), spent
+
+
 def test_windows_and_reconciliation():
     for n in (0, 1, 500, 512, 513, 900, 5000):
         starts = pii.window_starts(n)
