@@ -16,6 +16,7 @@ from pixelmill.operators.dithers import Pcg32, stream_of
 from pixelmill.plans.rel import SparkRel
 
 GRID = 32
+CORNERS = list(np.ndindex(2, 2, 2))
 ROUNDS = 64
 
 
@@ -48,19 +49,23 @@ def median_cut(bins: Bins, entries: int, seed: int) -> list[np.ndarray]:
 
 
 def wu(bins: Bins, entries: int, seed: int) -> list[np.ndarray]:
-    """Boxes of the grid, cut where the two parts' summed squared means are greatest; the box of most variance is next."""
-    sums = np.zeros((5, GRID + 1, GRID + 1, GRID + 1))
-    place = np.stack(np.unravel_index(bins.at, (GRID,) * 3))
+    """Boxes of the grid, cut where the two parts' summed squared means are greatest; the box of most variance is next.
+
+    Only planes of the grid that have bins are laid out: the others would add nothing to any sum.
+    """
+    used = [np.unique(a, return_inverse=True) for a in np.unravel_index(bins.at, (GRID,) * 3)]
+    place, whole_grid = np.stack([own for _, own in used]), [len(planes) for planes, _ in used]
+    sums = np.zeros((5, *(n + 1 for n in whole_grid)))
     sums[(slice(None), *(place + 1))] = np.concatenate(([bins.n], (bins.lab * bins.n[:, None]).T, [bins.square * bins.n]))
     for axis in (1, 2, 3):
         np.cumsum(sums, axis=axis, out=sums)
 
     def inside(low, high):
-        """Sums over boxes, a column each; an edge may be an array of planes."""
-        total = np.zeros((5, 1))
-        for corner in np.ndindex(2, 2, 2):
-            at = [np.atleast_1d(h if c else lo) for c, lo, h in zip(corner, low, high, strict=True)]
-            total = total + (-1) ** (3 - sum(corner)) * sums[:, at[0], at[1], at[2]]
+        """Sums over a box, or over boxes, a column each, where an edge is a slice of planes."""
+        total = 0.0
+        for corner in CORNERS:
+            x, y, z = (h if c else lo for c, lo, h in zip(corner, low, high, strict=True))
+            total = total + (-1) ** (3 - sum(corner)) * sums[:, x, y, z].reshape(5, -1)
         return total
 
     def variance(box):
@@ -71,9 +76,9 @@ def wu(bins: Bins, entries: int, seed: int) -> list[np.ndarray]:
         low, high = box
         whole, best = inside(low, high), None
         for axis in range(3):
-            planes = np.arange(low[axis] + 1, high[axis])
-            if not len(planes):
+            if high[axis] - low[axis] < 2:
                 continue
+            planes = slice(low[axis] + 1, high[axis])
             part = inside(low, [planes if k == axis else h for k, h in enumerate(high)])
             rest = whole - part
             with np.errstate(divide="ignore", invalid="ignore"):
@@ -81,13 +86,13 @@ def wu(bins: Bins, entries: int, seed: int) -> list[np.ndarray]:
             score[(part[0] <= 0) | (rest[0] <= 0)] = -1
             k = int(score.argmax())
             if score[k] >= 0 and (best is None or score[k] > best[0]):
-                best = score[k], axis, int(planes[k])
+                best = score[k], axis, planes.start + k
         if best is None:
             return None
         _, axis, plane = best
         return (low, [plane if k == axis else v for k, v in enumerate(high)]), ([plane if k == axis else v for k, v in enumerate(low)], high)
 
-    boxes, priority, k = [([0] * 3, [GRID] * 3)], [0.0], 0
+    boxes, priority, k = [([0] * 3, whole_grid)], [0.0], 0
     while len(boxes) < entries:
         parts = cut(boxes[k])
         if parts:

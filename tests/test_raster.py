@@ -277,3 +277,21 @@ def test_gather_on_a_raster_with_holes_and_twins(spark):
     taps = [(f"x + ({dx})", f"y + ({dy})", {"k": f"{1 + k}.0"}) for k, (dx, dy) in enumerate([(-9, 0), (0, 0), (1, 1), (5, -4)])]
     got = {(r.x, r.y): r.v for r in spatial.gather(rel, src, taps, {"v": "w_k * s_r"}).df.collect()}
     assert got == {(x, y): sum((1 + k) * v for k, (dx, dy) in enumerate([(-9, 0), (0, 0), (1, 1), (5, -4)]) for v in at.get((x + dx, y + dy), [])) for x, y in at}
+
+
+def test_wu_lays_out_only_planes_with_bins():
+    import tracemalloc
+
+    import numpy as np
+
+    from pixelmill.operators import extract
+
+    at = [(c * 32 + c) * 32 + c for c in (1, 2, 20, 30)]
+    lab = np.array([0.0, 0.02, 0.7, 1.0])[:, None] * np.ones(3)
+    bins = extract.Bins(np.column_stack([at, [4, 2, 3, 1], lab, lab, (lab**2).sum(1)]))
+    tracemalloc.start()
+    boxes = extract.wu(bins, 3, 0)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(b.tolist() for b in boxes) == [[0, 1], [2], [3]]
+    assert most < 200_000, most  # the whole grid takes 1.4 MB
