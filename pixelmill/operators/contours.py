@@ -9,23 +9,29 @@ Everything is a table. A layer is one palette index of one image or frame.
   filled, so a dropped speck goes to the colour around it.
 * A pixel's sides that face another colour are edges with the layer on their right.
   At a corner an edge goes on to the right, else straight, else to the left, which is a
-  permutation: its cycles are the contours. Straight edges are joined by windows; the
-  cycles' first edges and the order of the rest come from pointer doubling, in as many
-  rounds as the longest contour has binary digits.
-* Simplification is Douglas-Peucker on all rings at once, one level of splits a round.
+  permutation: its cycles are the contours. Squares of bounded size, with a border of one
+  pixel, link their own edges to chains; chains that leave a square are joined by pointer
+  doubling, in as many rounds as the contour with most chains has binary digits.
+* A contour is a row from then on. Simplification is Douglas-Peucker on all rings of an
+  Arrow batch at once, one level of splits a round.
 
-Regions are 4-connected, holes 8-connected. Windows hold a row, a column or a ring of one
+Regions are 4-connected, holes 8-connected. Tasks hold a row, a square or a ring of one
 image, never more; no image has to fit in a task.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelmill.operators.palettes import Palette
 from pixelmill.plans.scratch import settled
 
+#: Pixels on a side of the squares whose edges are linked in one place. Fixed value.
+SQUARE = 64
+
 
 def keys(df: DataFrame) -> list[str]:
     """What names an image: its id, and its frame if there is one."""
@@ -127,43 +133,149 @@ def without_specks(runs: DataFrame, least_area: int) -> tuple[DataFrame, DataFra
     return kept.select(*columns).unionByName(filled.select(*columns)), report
 
 
-def _edges(runs: DataFrame) -> DataFrame:
-    """(image, layer, w, vx, vy, d): pixels' sides that face another layer, from corner (vx, vy) in direction d:
-    0 right, 1 down, 2 left, 3 up."""
+def _squares(runs: DataFrame) -> DataFrame:
+    """(key, w, sx, sy, runs): the runs in each square of ``SQUARE`` pixels a side and in a border of one pixel around it."""
     k = keys(runs)
-    p = runs.select(*k, "layer", "w", "y", F.explode(F.sequence("x0", "x1")).alias("x"))
-
-    def differs(way: str, line: str, step: int) -> Column:
-        w = Window.partitionBy(*k, line).orderBy(way)
-        move = F.lag if step < 0 else F.lead
-        return ~F.coalesce((move("layer").over(w) == F.col("layer")) & (move(way).over(w) == F.col(way) + step), F.lit(False))
 
-    p = p.withColumns({"e3": differs("x", "y", -1), "e1": differs("x", "y", 1)}).withColumns({"e0": differs("y", "x", -1), "e2": differs("y", "x", 1)})
-    corner = {0: (0, 0), 1: (1, 0), 2: (1, 1), 3: (0, 1)}
-    sides = [F.when(F.col(f"e{d}"), F.struct((F.col("x") + dx).alias("vx"), (F.col("y") + dy).alias("vy"), F.lit(d).cast("long").alias("d"))) for d, (dx, dy) in corner.items()]
-    return p.select(*k, "layer", "w", F.explode(F.filter(F.array(*sides), lambda s: s.isNotNull())).alias("e")).select(*k, "layer", "w", "e.*")
+    def reached(low: Column, high: Column, size: str) -> Column:
+        return F.explode(F.sequence(F.floor(F.greatest(low - 1, F.lit(0)) / SQUARE), F.floor(F.least(high + 1, F.col(size) - 1) / SQUARE)))
 
+    p = runs.withColumn("sx", reached(F.col("x0"), F.col("x1"), "w")).withColumn("sy", reached(F.col("y"), F.col("y"), "h"))
+    piece = {"y": F.col("y"), "x0": F.greatest("x0", F.col("sx") * SQUARE - 1), "x1": F.least("x1", (F.col("sx") + 1) * SQUARE), "layer": F.col("layer")}
+    one = F.struct(*[c.cast("int").alias(n) for n, c in piece.items()])
+    return p.groupBy(*k, "w", "sx", "sy").agg(F.collect_list(one).alias("runs")).select(F.struct(*k).alias("key"), "w", "sx", "sy", "runs")
 
-def _segments(edges: DataFrame) -> DataFrame:
-    """(image, layer, w, id, next): the contours' corners, each by the edge that leaves it, and the corner after it."""
-    k = [*keys(edges), "layer"]
-    wide = F.col("w") + 1
-    edges = edges.withColumn("v", F.col("vy") * wide + F.col("vx"))
-    step = F.when(F.col("d") == 0, F.lit(1)).when(F.col("d") == 1, wide).when(F.col("d") == 2, F.lit(-1)).otherwise(-wide)
-    leaving = edges.groupBy(*k, "v").agg(F.expr("bit_or(shiftleft(1, cast(d as int)))").alias("out")).withColumnRenamed("v", "to")
-    e = edges.withColumn("to", F.col("v") + step).join(leaving, [*k, "to"])
 
-    def has(turn: int) -> Column:
-        return F.col("out").bitwiseAND(F.expr(f"shiftleft(1, cast((d + {turn}) % 4 as int))")) != 0
+def _edges(square, home, width, x, y, layer):
+    """Edges of the pixels that are at home in their squares: (pixel, id, next, corner).
 
-    e = e.withColumn("turn", F.when(has(1), F.lit(1)).when(has(0), F.lit(0)).otherwise(F.lit(3)))
-    along = F.when(F.col("d") == 0, F.col("vx")).when(F.col("d") == 1, F.col("vy")).when(F.col("d") == 2, -F.col("vx")).otherwise(-F.col("vy"))
-    e = e.withColumns({"line": F.when(F.col("d") % 2 == 0, F.col("vy")).otherwise(F.col("vx")), "along": along})
-    line = Window.partitionBy(*k, "d", "line").orderBy("along")
-    after = F.when(F.col("turn") != 0, F.col("to") * 4 + (F.col("d") + F.col("turn")) % 4)
-    goes_on = F.coalesce((F.lag("along").over(line) == F.col("along") - 1) & (F.lag("turn").over(line) == 0), F.lit(False))
-    e = e.withColumns({"next": F.first(after, ignorenulls=True).over(line.rowsBetween(0, Window.unboundedFollowing)), "goes_on": goes_on})
-    return e.where("not goes_on").select(*k, "w", (F.col("v") * 4 + F.col("d")).alias("id"), "next")
+    Arrays of pixels come in, ordered by square. An edge is a side that faces another layer, with its pixel on the right,
+    in direction d: 0 right, 1 down, 2 left, 3 up. ``id`` and ``next`` number it and the edge after it by the corner where
+    they begin and d; ``corner`` is false where the edge before goes in the same direction.
+    """
+    first = np.flatnonzero(np.diff(square, prepend=-1))
+    column, row = x - np.minimum.reduceat(x, first)[square] + 1, y - np.minimum.reduceat(y, first)[square] + 1
+    stride, lines = np.maximum.reduceat(column, first) + 2, np.maximum.reduceat(row, first) + 2
+    base = np.cumsum(stride * lines) - stride * lines
+    cell = base[square] + row * stride[square] + column
+    of = np.full(int((stride * lines).sum()), -1, np.int64)
+    of[cell] = layer
+    own = np.flatnonzero(home)
+    cell, mine, wide = cell[own], layer[own], stride[square[own]]
+    one = np.ones(len(own), np.int64)
+    steps = (one, wide, -one, -wide)
+    out = []
+    for d in range(4):
+        facing = np.flatnonzero(of[cell + steps[d - 1]] != mine)
+        at, its, by, side = cell[facing], mine[facing], steps[d][facing], steps[d - 1][facing]
+        ahead, aside = of[at + by] == its, of[at + by + side] == its
+        # to the right around the pixel, else along the next one, else to the left around the one beside that
+        turn = np.where(~ahead, 1, np.where(~aside, 0, 3))
+        dx, dy = ((1, 0), (0, 1), (-1, 0), (0, -1))[d]
+        lx, ly = ((0, -1), (1, 0), (0, 1), (-1, 0))[d]
+        p = own[facing]
+        nx, ny = x[p] + dx * ahead + lx * (turn == 3), y[p] + dy * ahead + ly * (turn == 3)
+        straight = (of[at - by] == its) & (of[at - by + side] != its)
+        out.append((p, _number(x[p], y[p], d, width[p]), _number(nx, ny, (d + turn) % 4, width[p]), ~straight))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def _number(x, y, d, width):
+    """An edge's number: the corner where it begins, by rows, times 4, and its direction."""
+    d = np.asarray(d)
+    return ((y + (d >= 2)) * (width + 1) + x + ((d == 1) | (d == 2))) * 4 + d
+
+
+def _chained(group, ids, after):
+    """Links edges that are in one group: (order, start, head, tail).
+
+    ``order`` lists the edges chain after chain, ``start`` where each begins in it; a cycle begins with its least id.
+    Pointers are doubled, as in ``rings``.
+    """
+    m = len(ids)
+    self = np.arange(m)
+    sort = np.lexsort((ids, group))
+    gap = np.flatnonzero(np.diff(group[sort], prepend=-1))
+    top = int(max(ids.max(), after.max())) + 1
+    rank = np.zeros(m, np.int64)
+    rank[gap] = 1
+    flat = (np.cumsum(rank) - 1) * top + ids[sort]  # one number for group and id
+    dense = np.empty(m, np.int64)
+    dense[sort] = np.cumsum(rank) - 1
+    want = dense * top + after
+    at = np.minimum(np.searchsorted(flat, want), m - 1)
+    following = np.where(flat[at] == want, sort[at], -1)
+    end = following < 0
+    hop, best = np.where(end, self, following), np.where(end, -1, ids)
+    while True:
+        far = best[hop]
+        if (end[hop] | (far == best)).all():
+            break
+        best, hop = np.minimum(best, far), hop[hop]
+    best = np.minimum(best, best[hop])  # -1 where an end was met, else the cycle's least id
+    following[(following >= 0) & (best[following] == ids[following])] = -1
+    end = following < 0
+    hop, left = np.where(end, self, following), (~end).astype(np.int64)
+    while not end[hop].all():
+        left, hop = left + left[hop], hop[hop]
+    leads = np.ones(m, bool)
+    leads[following[~end]] = False
+    head = np.flatnonzero(leads)
+    tail = hop[head]
+    length = left[head] + 1
+    start = np.cumsum(length) - length
+    chain = np.empty(m, np.int64)
+    chain[tail] = np.arange(len(head))
+    chain = chain[hop]
+    order = np.empty(m, np.int64)
+    order[start[chain] + length[chain] - 1 - left] = self
+    return order, start, head, tail, best[head] < 0
+
+
+def _parts(offsets, limit=1 << 17):
+    """Ranges of rows whose lists have about ``limit`` entries together, a row at least."""
+    low = 0
+    while low < len(offsets) - 1:
+        high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + limit, "right")) - 1)
+        yield low, high
+        low = high
+
+
+def _chain_batches(batches):
+    """The edges of each square linked as far as they stay in it: a row a chain, with the corners it turns at."""
+    for batch in batches:
+        key, w, sx, sy = (batch.column(i) for i in range(4))
+        w, sx, sy = (c.to_numpy() for c in (w, sx, sy))
+        lists = batch.column(4)
+        offsets = lists.offsets.to_numpy()
+        y, x0, x1, layer = (lists.values.field(i).to_numpy().astype(np.int64) for i in range(4))
+        for low, high in _parts(offsets):
+            n = np.diff(offsets[low : high + 1])
+            run = slice(int(offsets[low]), int(offsets[high]))
+            square = np.repeat(np.arange(high - low), n)
+            long = x1[run] - x0[run] + 1
+            of = np.repeat(np.arange(len(long)), long)
+            x = np.arange(len(of)) - np.repeat(np.cumsum(long) - long, long) + x0[run][of]
+            at, py, index = square[of], y[run][of], layer[run][of]
+            home = (x // SQUARE == sx[low:high][at]) & (py // SQUARE == sy[low:high][at])
+            pixel, ids, after, corner = _edges(at, home, w[low:high][at], x, py, index)
+            if not len(ids):
+                continue
+            order, start, head, tail, opened = _chained(at[pixel] * (int(index.max()) + 1) + index[pixel], ids, after)
+            turns = corner[order]
+            count = np.add.reduceat(turns, start, dtype=np.int64)
+            owner = pixel[head]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    key.take(pa.array(at[owner] + low)),
+                    pa.array(index[owner]),
+                    pa.array(w[low:high][at[owner]]),
+                    pa.array(ids[head]),
+                    pa.array(after[tail], mask=~opened),
+                    pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))), pa.int32()), pa.array(ids[order][turns])),
+                ],
+                names=["key", "layer", "w", "id", "next", "corners"],
+            )
 
 
 def rings(corners: DataFrame) -> DataFrame:
@@ -187,88 +299,132 @@ def rings(corners: DataFrame) -> DataFrame:
 
 
 def contours(runs: DataFrame) -> DataFrame:
-    """(image, layer, ring, seq, x, y): the corners of every contour, in order, from the first in reading order.
+    """(image, layer, ring, xs, ys): the corners of every contour, in order, from the first in reading order.
 
-    Regions have their points clockwise (y grows downwards), holes counter-clockwise.
+    Regions have their points clockwise (y grows downwards), holes counter-clockwise. Squares link their own edges;
+    chains that leave a square are linked by ``rings``.
     """
     k = [*keys(runs), "layer"]
-    found = rings(_segments(_edges(runs)))
-    v = F.expr("id div 4")
-    return found.select(*k, "ring", "seq", (v % (F.col("w") + 1)).alias("x"), F.expr("(id div 4) div (w + 1)").alias("y"))
-
-
-def _around(points: DataFrame) -> tuple[list[str], dict[str, Column]]:
-    """A ring's neighbours: the columns px, py before a point and nx, ny after it."""
-    k = [*keys(points), "layer", "ring"]
-    ring = Window.partitionBy(*k).orderBy("seq")
-    whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    out = {}
-    for c in "xy":
-        out[f"p{c}"] = F.coalesce(F.lag(c).over(ring), F.last(c).over(whole))
-        out[f"n{c}"] = F.coalesce(F.lead(c).over(ring), F.first(c).over(whole))
-    return k, out
-
-
-def described(points: DataFrame) -> DataFrame:
+    squares = _squares(runs)
+    kind = squares.schema["key"].dataType.simpleString()
+    chains = settled(squares.mapInArrow(_chain_batches, f"key {kind}, layer long, w long, id long, next long, corners array<long>").select("key.*", "layer", "w", "id", "next", "corners"))
+    found = chains.where("next is null").select(*k, "w", F.col("id").alias("ring"), "corners")
+    parts = chains.where("next is not null")
+    if not parts.isEmpty():
+        linked = rings(parts.select(*k, "w", "id", "next")).select(*k, "id", "ring", "seq").join(parts, [*k, "id"])
+        whole = linked.groupBy(*k, "w", "ring").agg(F.array_sort(F.collect_list(F.struct("seq", "corners"))).alias("parts"))
+        whole = whole.withColumn("corners", F.flatten(F.transform("parts", lambda p: p["corners"]))).withColumn("ring", F.array_min("corners"))
+        at, size = F.array_position("corners", F.col("ring")).cast("int"), F.size("corners")
+        turned = F.concat(F.slice("corners", at, size - at + 1), F.slice("corners", F.lit(1), at - 1))
+        found = found.unionByName(whole.select(*k, "w", "ring", turned.alias("corners")))
+    xs = F.expr("transform(corners, c -> (c div 4) % (w + 1))")
+    return found.select(*k, "ring", xs.alias("xs"), F.expr("transform(corners, c -> (c div 4) div (w + 1))").alias("ys"))
+
+
+def described(rings: DataFrame) -> DataFrame:
     """(image, layer, ring, points, area2, is_hole, path): each contour as an SVG subpath; area2 is twice its signed area."""
-    k, around = _around(points)
-    p = points.withColumns(around)
-    each = F.struct("seq", F.when(F.col("seq") == F.min("seq").over(Window.partitionBy(*k)), F.concat(F.lit("M"), "x", F.lit(" "), "y"))
-        .when(F.col("y") == F.col("py"), F.concat(F.lit("H"), "x")).when(F.col("x") == F.col("px"), F.concat(F.lit("V"), "y"))
-        .otherwise(F.concat(F.lit("L"), "x", F.lit(" "), "y")).alias("step"))
-    grouped = p.withColumn("each", each).groupBy(*k).agg(
-        F.count("*").alias("points"),
-        F.sum(F.col("x") * F.col("ny") - F.col("nx") * F.col("y")).alias("area2"),
-        F.array_sort(F.collect_list("each")).alias("steps"),
-    )
-    path = F.concat(F.array_join(F.transform("steps", lambda s: s["step"]), ""), F.lit("Z"))
-    return grouped.select(*k, "points", "area2", (F.col("area2") < 0).alias("is_hole"), path.alias("path"))
-
-
-def simplified(points: DataFrame, tolerance: float) -> DataFrame:
+    k = [*keys(rings), "layer", "ring"]
+    step = """case when i = 0 then concat('M', x, ' ', get(ys, 0)) when get(ys, i) = get(ys, i - 1) then concat('H', x)
+      when x = get(xs, i - 1) then concat('V', get(ys, i)) else concat('L', x, ' ', get(ys, i)) end"""
+    cross = "x * get(ys, (i + 1) % size(xs)) - get(xs, (i + 1) % size(xs)) * get(ys, i)"
+    area = F.expr(f"aggregate(transform(xs, (x, i) -> {cross}), 0L, (a, c) -> a + c)")
+    path = F.concat(F.array_join(F.expr(f"transform(xs, (x, i) -> {step})"), ""), F.lit("Z"))
+    out = rings.select(*k, F.size("xs").cast("long").alias("points"), area.alias("area2"), path.alias("path"))
+    return out.select(*k, "points", "area2", (F.col("area2") < 0).alias("is_hole"), "path")
+
+
+def _kept(start, x, y, tolerance: float):
+    """Which points of some rings Douglas-Peucker keeps; ``start`` is where each ring begins, and the end of the last."""
+    first, n = start[:-1], np.diff(start)
+    ring = np.repeat(np.arange(len(n)), n)
+    kept = np.zeros(len(x), bool)
+    away = (x - x[first][ring]) ** 2 + (y - y[first][ring]) ** 2
+    cut = _first_greatest(away, np.arange(len(x)), first)[1]
+    kept[n[ring] < 4] = True
+    kept[first] = kept[cut] = True
+    long = n >= 4
+    low, high = np.concatenate((first[long], cut[long])), np.concatenate((cut[long], start[1:][long]))
+    # a stretch that ends at ``high`` = the next ring's beginning ends at its own ring's first point
+    back = np.concatenate((cut[long], first[long]))
+    while True:
+        open_ = high - low > 1
+        low, high, back = low[open_], high[open_], back[open_]
+        if not len(low):
+            return kept
+        size = high - low - 1
+        begin = np.cumsum(size) - size
+        of = np.repeat(np.arange(len(size)), size)
+        p = np.arange(len(of)) - begin[of] + low[of] + 1
+        ex, ey, px, py = x[back][of] - x[low][of], y[back][of] - y[low][of], x[p] - x[low][of], y[p] - y[low][of]
+        cross, square = ex * py - ey * px, ex * ex + ey * ey
+        far = np.where(square > 0, cross * cross / np.where(square > 0, square, 1.0), px * px + py * py)
+        worst, middle = _first_greatest(far, p, begin)
+        split = worst > tolerance * tolerance
+        middle = middle[split]
+        kept[middle] = True
+        low, high, back = np.concatenate((low[split], middle)), np.concatenate((middle, high[split])), np.concatenate((middle, back[split]))
+
+
+def _first_greatest(values, places, begin):
+    """Of every stretch from ``begin`` on: its greatest value, and the first place that has it."""
+    most = np.maximum.reduceat(values, begin)
+    of = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(values))))
+    return most, np.minimum.reduceat(np.where(values == most[of], places, np.iinfo(np.int64).max), begin)
+
+
+def _neighbours(start):
+    """The places before and after each point of some rings."""
+    at = np.arange(start[-1])
+    before, after = at - 1, at + 1
+    before[start[:-1]], after[start[1:] - 1] = start[1:] - 1, start[:-1]
+    return before, after
+
+
+def _fewer(start, keep):
+    """Where rings begin when only the points of ``keep`` are left."""
+    return np.concatenate(([0], np.cumsum(keep)))[start]
+
+
+def _simplified_batches(tolerance):
+    def run(batches):
+        for batch in batches:
+            key, xs, ys = (batch.column(i) for i in range(3))
+            offsets = xs.offsets.to_numpy()
+            for low, high in _parts(offsets):
+                own = slice(int(offsets[low]), int(offsets[high]))
+                start = (offsets[low : high + 1] - offsets[low]).astype(np.int64)
+                x, y = (c.values.to_numpy()[own].astype(float) for c in (xs, ys))
+                short = np.repeat(np.diff(start) < 4, np.diff(start))
+                keep = _kept(start, x, y, tolerance)
+                start, x, y, short = _fewer(start, keep), x[keep], y[keep], short[keep]
+                b, a = _neighbours(start)
+                keep = short | ((x - x[b]) * (y[a] - y) - (y - y[b]) * (x[a] - x) != 0)
+                start, x, y = _fewer(start, keep), x[keep], y[keep]
+                left = np.flatnonzero(np.diff(start) >= 3)  # an empty ring has no place among the sums
+                point = np.repeat(np.diff(start) >= 3, np.diff(start))
+                x, y, n = x[point], y[point], np.diff(start)[left]
+                start = np.concatenate(([0], np.cumsum(n)))
+                if not len(left):
+                    continue
+                _, a = _neighbours(start)
+                real = np.add.reduceat(x * y[a] - x[a] * y, start[:-1]) != 0
+                point = np.repeat(real, n)
+                ends = pa.array(np.concatenate(([0], np.cumsum(n[real]))), pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, pa.array(c[point].astype(np.int64))) for c in (x, y)]
+                yield pa.RecordBatch.from_arrays([key.take(pa.array(left[real] + low)), *lists], names=["key", "xs", "ys"])
+
+    return run
+
+
+def simplified(rings: DataFrame, tolerance: float) -> DataFrame:
     """The points that Douglas-Peucker keeps of every ring; rings that collapse are gone.
 
     A ring is cut at its first point and at the one farthest from it (the first of equals). Each round
-    splits every open stretch at its farthest point, if that is farther than ``tolerance``; stretches that
-    need no split are closed and their points leave.
+    splits every open stretch at its farthest point, if that is farther than ``tolerance``.
     """
-    k = [*keys(points), "layer", "ring"]
-    columns = [*k, "seq", "x", "y", "kept"]
-    ring = Window.partitionBy(*k)
-    order = ring.orderBy("seq")
-    first = F.first(F.struct("x", "y")).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    p = points.withColumn("f", first).withColumn("away", F.pow(F.col("x") - F.col("f.x"), 2) + F.pow(F.col("y") - F.col("f.y"), 2))
-    p = p.withColumn("rank", F.row_number().over(ring.orderBy(F.desc("away"), "seq"))).withColumn("n", F.count("*").over(ring))
-    short = p.where("n < 4").select(*k, "seq", "x", "y")
-    p = p.where("n >= 4")
-    p = p.select(*k, "seq", "x", "y", ((F.col("seq") == 0) | (F.col("rank") == 1)).alias("kept"), "n")
-    closing = p.where("seq = 0").select(*k, F.col("n").alias("seq"), "x", "y", "kept", "n")
-    now = settled(p.unionAll(closing).select(*columns))
-    mark = F.when(F.col("kept"), F.struct("seq", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")))
-    while not now.where("not kept").isEmpty():
-        q = now.withColumns(
-            {
-                "a": F.last(mark, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)),
-                "b": F.first(mark, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing)),
-            }
-        )
-        ex, ey = F.col("b.x") - F.col("a.x"), F.col("b.y") - F.col("a.y")
-        px, py = F.col("x") - F.col("a.x"), F.col("y") - F.col("a.y")
-        cross, size = ex * py - ey * px, ex * ex + ey * ey
-        q = q.withColumns({"away": F.when(size > 0, cross * cross / F.nullif(size, F.lit(0.0))).otherwise(px * px + py * py), "from": F.col("a.seq")})
-        stretch = Window.partitionBy(*k, "from").orderBy("kept", F.desc("away"), "seq")
-        worst = F.max(F.when(~F.col("kept"), F.col("away"))).over(Window.partitionBy(*k, "from"))
-        q = q.withColumns({"place": F.row_number().over(stretch), "worst": worst})
-        q = q.where(F.col("kept") | (F.col("worst") > tolerance * tolerance))
-        now = settled(q.select(*k, "seq", "x", "y", (F.col("kept") | (F.col("place") == 1)).alias("kept")))
-    n = F.max("seq").over(ring)
-    kept = now.withColumn("n", n).where("seq < n").select(*k, "seq", "x", "y")
-    _, around = _around(kept)
-    bend = (F.col("x") - F.col("px")) * (F.col("ny") - F.col("y")) - (F.col("y") - F.col("py")) * (F.col("nx") - F.col("x"))
-    kept = kept.withColumns(around).where(bend != 0).select(*k, "seq", "x", "y").unionAll(short)
-    _, around = _around(kept)
-    area = F.sum(F.col("x") * F.col("ny") - F.col("nx") * F.col("y")).over(ring)
-    return kept.withColumns(around).withColumns({"area": area, "n": F.count("*").over(ring)}).where("n >= 3 and area <> 0").select(*k, "seq", "x", "y")
+    own = rings.select(F.struct(*keys(rings), "layer", "ring").alias("key"), "xs", "ys")
+    kind = own.schema["key"].dataType.simpleString()
+    return own.mapInArrow(_simplified_batches(tolerance), f"key {kind}, xs array<long>, ys array<long>").select("key.*", "xs", "ys")
 
 
 def traced(pixels: DataFrame, *, least_area: int = 0, tolerance: float | None = None) -> tuple[DataFrame, DataFrame]:
@@ -279,12 +435,13 @@ def traced(pixels: DataFrame, *, least_area: int = 0, tolerance: float | None =
     """
     if tolerance is not None and not 0 < tolerance < float("inf"):
         raise ValueError("tolerance must be finite and positive")
-    runs, report = without_specks(settled(layer_runs(pixels)), least_area)
-    exact = settled(contours(settled(runs)))
+    runs = layer_runs(pixels)
+    runs, report = without_specks(settled(runs) if least_area > 1 else runs, least_area)
+    exact = contours(runs)
     k = [*keys(pixels), "layer"]
-    shown = settled(described(simplified(exact, tolerance) if tolerance else exact))
+    shown = described(simplified(exact, tolerance) if tolerance else exact)
     counts = shown.groupBy(*k).agg(F.count("*").alias("contours"), F.sum("points").alias("points"))
-    before = exact.groupBy(*k).agg(F.countDistinct("ring").alias("all_rings"))
+    before = exact.groupBy(*k).agg(F.count("*").alias("all_rings"))
     report = report.join(before, k, "left").join(counts, k, "left").fillna(0)
     return shown, report.withColumn("contours_dropped", F.col("all_rings") - F.col("contours")).drop("all_rings")
 

@@ -204,3 +204,43 @@ def test_svg(pixels):
 def test_no_pixels(spark):
     shown, report = contours.traced(spark.createDataFrame([], SCHEMA), least_area=3, tolerance=1.0)
     assert shown.count() == report.count() == 0
+
+
+def wide():
+    """A map over several squares: blobs across their borders, a frame, a line through three squares and noise."""
+    rng = random.Random(5)
+    w, h = 2 * contours.SQUARE + 9, contours.SQUARE + 7
+    m = [[int((x - 60) ** 2 + (y - 62) ** 2 < 300) + 2 * int(90 < x < 120 and 20 < y < 68) for x in range(w)] for y in range(h)]
+    for x in range(w):
+        m[0][x] = m[h - 1][x] = m[10][x] = 3
+    for y in range(h):
+        m[y][0] = m[y][w - 1] = 3
+    for _ in range(400):
+        m[rng.randrange(h)][rng.randrange(w)] = rng.randrange(4)
+    return m
+
+
+@pytest.mark.parametrize("tolerance", [None, 1.5])
+def test_squares_are_linked(spark, tolerance):
+    m = wide()
+    w, h = len(m[0]), len(m)
+    df = spark.createDataFrame([(7, 0, x, y, w, h, v) for y, line in enumerate(m) for x, v in enumerate(line)], SCHEMA).repartition(3)
+    got = {(r.layer, r.ring): r.path for r in contours.traced(df, tolerance=tolerance)[0].collect()}
+    expect = {}
+    for c, (cells, *_) in layers(m, 0).items():
+        for k, ring in walks(cells, w).items():
+            if tolerance is None or reduced(ring, tolerance):
+                expect[c, k] = path(ring if tolerance is None else reduced(ring, tolerance))
+    assert got == expect
+
+
+@pytest.mark.parametrize("tolerance", [None, 1.5])
+def test_small_images_take_no_rounds(spark, pixels, tolerance):
+    """Jobs do not grow with the length of contours, or with the splits of the simplification, within a square."""
+    context = spark.sparkContext
+    context.setJobGroup(f"trace {tolerance}", "")
+    try:
+        contours.traced(pixels, tolerance=tolerance)[0].collect()
+        assert len(context.statusTracker().getJobIdsForGroup(f"trace {tolerance}")) <= 10
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
