@@ -4,7 +4,8 @@ Everything is a table. A layer is one palette index of one image or frame.
 
 * Runs are maximal stretches of a layer in a row. Runs that touch across rows are found
   by looking up, in the other row, the run at the places where either begins; regions
-  are the components of that relation.
+  are the components of that relation. Blocks of rows and columns link their own pairs;
+  only images of several blocks take rounds of star contraction.
 * Below a minimum area regions are dropped and the enclosed holes of what is left are
   filled, so a dropped speck goes to the colour around it.
 * A pixel's sides that face another colour are edges with the layer on their right.
@@ -31,6 +32,8 @@ from pixelmill.plans.scratch import settled
 
 #: Pixels on a side of the squares whose edges are linked in one place. Fixed value.
 SQUARE = 64
+#: Columns of a block in which touching runs are linked; it has ``SQUARE`` rows. Fixed value.
+BLOCK = 1024
 
 
 def keys(df: DataFrame) -> list[str]:
@@ -49,29 +52,78 @@ def layer_runs(pixels: DataFrame) -> DataFrame:
 def gaps(runs: DataFrame) -> DataFrame:
     """The runs of a layer's background, in every row of its image, also in rows without the layer."""
     k = [*keys(runs), "layer"]
-    row = Window.partitionBy(*k, "y").orderBy("x0")
-    before = runs.select(*k, "y", "w", "h", F.coalesce(F.lag("x1").over(row) + 1, F.lit(0)).alias("x0"), (F.col("x0") - 1).alias("x1"))
-    after = runs.groupBy(*k, "y", "w", "h").agg((F.max("x1") + 1).alias("x0")).select(*k, "y", "w", "h", "x0", (F.col("w") - 1).alias("x1"))
-    rows = runs.groupBy(*k, "w", "h").agg(F.lit(1)).select(*k, "w", "h", F.explode(F.sequence(F.lit(0), F.col("h") - 1)).alias("y"))
-    bare = rows.join(runs.select(*k, "y").distinct(), [*k, "y"], "left_anti").select(*k, "y", "w", "h", F.lit(0).alias("x0"), (F.col("w") - 1).alias("x1"))
-    return before.unionByName(after).unionByName(bare).where("x0 <= x1").select(*k, "y", *(F.col(c).cast("long").alias(c) for c in ("x0", "x1", "w", "h")))
+    run = F.struct("x0", "x1").alias("run")
+    every = runs.select(*k, "w", "h").distinct().select(*k, F.explode(F.sequence(F.lit(0).cast("long"), F.col("h") - 1)).alias("y"), "w", "h")
+    rows = runs.select(*k, "y", "w", "h", run).unionByName(every.withColumn("run", F.lit(None).cast("struct<x0:bigint,x1:bigint>")))
+    rows = rows.groupBy(*k, "y", "w", "h").agg(F.array_sort(F.collect_list("run")).alias("runs"))
+    begin, end = F.expr("concat(array(0L), transform(runs, r -> r.x1 + 1))"), F.expr("concat(transform(runs, r -> r.x0 - 1), array(w - 1))")
+    between = rows.select(*k, "y", "w", "h", F.explode(F.arrays_zip(begin.alias("x0"), end.alias("x1"))).alias("gap"))
+    return between.select(*k, "y", "gap.x0", "gap.x1", "w", "h").where("x0 <= x1")
 
 
 def touching(runs: DataFrame, reach: int) -> DataFrame:
-    """(image, layer, u, v): pairs of runs in neighbouring rows that share a column (``reach`` 1: or a corner).
+    """(image, layer, u, v, whole): runs in neighbouring rows that share a column (``reach`` 1: or a corner), as stars.
 
     Of two that touch, one begins within ``reach`` of the other, so each run's beginning is looked up
-    in the rows above and below: the last run that begins there or before it.
+    in the rows above and below: the last run that begins there or before it. The pairs found in one block of an
+    image are replaced by stars around each component's smallest place, u; ``whole`` where the image has one block only.
     """
-    k = [*keys(runs), "layer"]
-    own = runs.select(*k, "y", "x0", "x1", place())
-    asked = own.select(*k, F.explode(F.array(F.col("y") - 1, F.col("y") + 1)).alias("y"), "x0", F.col("place").alias("asks"))
-    asked = asked.select(*k, "y", F.explode(F.sequence(F.col("x0") - reach, F.col("x0") + reach)).alias("x"), "asks")
-    found = Window.partitionBy(*k, "y").orderBy("x", F.col("asks").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    both = own.select(*k, "y", F.col("x0").alias("x"), F.lit(None).cast("long").alias("asks"), F.struct("x1", "place").alias("run"))
+    k = keys(runs)
+    band = F.floor(F.col("y") / SQUARE).alias("band")
+    own = runs.select(*k, "layer", "y", "x0", "x1", "w", "h", place())
+    asked = own.select(*k, "layer", "w", "h", F.explode(F.array(F.col("y") - 1, F.col("y") + 1)).alias("y"), "x0", F.col("place").alias("asks")).where("y >= 0 and y < h")
+    asked = asked.select(*k, "layer", "w", "h", "y", F.explode(F.sequence(F.col("x0") - reach, F.col("x0") + reach)).alias("x"), "asks")
+    both = own.select(*k, "layer", "w", "h", "y", F.col("x0").alias("x"), F.lit(None).cast("long").alias("asks"), F.struct("x1", "place").alias("run"))
     both = both.unionByName(asked.withColumn("run", F.lit(None).cast(both.schema["run"].dataType)))
+    both = both.select("*", band).repartition(*k, "band")  # the windows and the blocks need no shuffle of their own
+    found = Window.partitionBy(*k, "band", "layer", "y").orderBy("x", F.col("asks").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
     hit = both.withColumn("run", F.last("run", ignorenulls=True).over(found)).where("asks is not null and run.x1 >= x")
-    return hit.select(*k, F.least("asks", "run.place").alias("u"), F.greatest("asks", "run.place").alias("v")).distinct()
+    whole = ((F.col("h") <= SQUARE) & (F.col("w") <= BLOCK)).alias("whole")
+    pair = F.struct("layer", F.col("asks").alias("u"), F.col("run.place").alias("v"))
+    blocks = hit.groupBy(*k, "band", F.floor(F.col("x") / BLOCK).alias("block"), whole).agg(F.collect_list(pair).alias("pairs"))
+    blocks = blocks.select(F.struct(*k).alias("key"), "whole", "pairs")
+    kind = blocks.schema["key"].dataType.simpleString()
+    return blocks.mapInArrow(_star_batches, f"key {kind}, layer long, u long, v long, whole boolean").select("key.*", "layer", "u", "v", "whole")
+
+
+def _rooted(a, b, n: int):
+    """The smallest number that each of n nodes is connected to by the pairs a, b."""
+    root = np.arange(n)
+    while True:
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        if (low == high).all():
+            return root
+        np.minimum.at(root, high, low)
+        while True:
+            up = root[root]
+            if (up == root).all():
+                break
+            root = up
+
+
+def _star_batches(batches):
+    """The pairs of each block as stars: every place but the smallest of its component, with that one."""
+    for batch in batches:
+        key, whole, lists = (batch.column(i) for i in range(3))
+        offsets = lists.offsets.to_numpy()
+        for low, high in _parts(offsets):
+            own = slice(int(offsets[low]), int(offsets[high]))
+            layer, u, v = (lists.values.field(i).to_numpy()[own] for i in range(3))
+            block = np.repeat(np.arange(high - low), np.diff(offsets[low : high + 1]))
+            if not len(u):
+                continue
+            nodes = np.concatenate([np.stack([block, layer, end]) for end in (u, v)], axis=1)
+            sort = np.lexsort(nodes[::-1])
+            nodes = nodes[:, sort]
+            fresh = np.concatenate(([True], (np.diff(nodes) != 0).any(axis=0)))
+            number = np.empty(len(sort), np.int64)
+            number[sort] = np.cumsum(fresh) - 1
+            nodes = nodes[:, fresh]
+            root = _rooted(number[: len(u)], number[len(u) :], nodes.shape[1])
+            leaf = np.flatnonzero(root != np.arange(len(root)))
+            at = pa.array(nodes[0, leaf] + low)
+            columns = [key.take(at), pa.array(nodes[1, leaf]), pa.array(nodes[2, root[leaf]]), pa.array(nodes[2, leaf]), whole.take(at)]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "layer", "u", "v", "whole"])
 
 
 def place() -> Column:
@@ -82,11 +134,12 @@ def place() -> Column:
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``nodes`` (image, layer, place) with ``root``, the smallest place each is connected to by ``edges`` (u < v).
 
-    Large and small stars in turn: every node's larger neighbours are tied to its smallest one, then
-    its smaller ones, until all are stars.
+    Edges that are ``whole`` are stars already. The others take large and small stars in turn: every node's larger
+    neighbours are tied to its smallest one, then its smaller ones, until all are stars.
     """
     k = [*keys(nodes), "layer"]
-    now = settled(edges)
+    edges = settled(edges)
+    now = edges.where("not whole").drop("whole")
     while not now.isEmpty():
         both = now.select(*k, F.col("u").alias("a"), F.col("v").alias("b")).unionAll(now.select(*k, F.col("v").alias("a"), F.col("u").alias("b")))
         least = both.groupBy(*k, "a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -99,6 +152,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         now = following
         if many.isEmpty() and tops.join(leaves, [*k, "u"], "left_semi").isEmpty():
             break
+    now = now.unionByName(edges.where("whole").drop("whole"))
     return nodes.join(now.select(*k, F.col("v").alias("place"), F.col("u").alias("root")), [*k, "place"], "left").withColumn("root", F.coalesce("root", "place"))
 
 
@@ -106,8 +160,7 @@ def regions(runs: DataFrame, reach: int = 0) -> DataFrame:
     """Runs with ``root`` and the ``area`` of their region; 4-connected, or 8-connected with ``reach`` 1."""
     k = [*keys(runs), "layer"]
     rooted = components(runs.withColumn("place", place()), touching(runs, reach))
-    areas = rooted.groupBy(*k, "root").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("area"))
-    return rooted.join(areas, [*k, "root"])
+    return rooted.withColumn("area", F.sum(F.col("x1") - F.col("x0") + 1).over(Window.partitionBy(*k, "root")))
 
 
 def without_specks(runs: DataFrame, least_area: int) -> tuple[DataFrame, DataFrame]:

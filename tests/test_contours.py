@@ -234,6 +234,32 @@ def test_squares_are_linked(spark, tolerance):
     assert got == expect
 
 
+def test_blocks_are_linked(spark, monkeypatch):
+    """Regions and holes over several blocks, by the floods."""
+    monkeypatch.setattr(contours, "BLOCK", 50)
+    m = wide()
+    w, h = len(m[0]), len(m)
+    df = spark.createDataFrame([(7, 0, x, y, w, h, v) for y, line in enumerate(m) for x, v in enumerate(line)], SCHEMA).repartition(3)
+    runs, report = contours.without_specks(contours.layer_runs(df), 5)
+    got, counts = defaultdict(set), {}
+    for r in runs.collect():
+        got[r.layer] |= {(x, r.y) for x in range(r.x0, r.x1 + 1)}
+    for r in report.collect():
+        counts[r.layer] = (r.regions_dropped, r.region_pixels_dropped, r.holes_filled, r.hole_pixels_filled)
+    for c, (cells, *numbers) in layers(m, 5).items():
+        assert got[c] == cells and counts[c] == tuple(numbers)
+
+
+def test_regions_of_small_images_take_no_rounds(spark, pixels):
+    context = spark.sparkContext
+    context.setJobGroup("regions", "")
+    try:
+        contours.regions(contours.layer_runs(pixels), reach=1).collect()
+        assert len(context.statusTracker().getJobIdsForGroup("regions")) <= 14
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+
+
 @pytest.mark.parametrize("tolerance", [None, 1.5])
 def test_small_images_take_no_rounds(spark, pixels, tolerance):
     """Jobs do not grow with the length of contours, or with the splits of the simplification, within a square."""
