@@ -106,7 +106,7 @@ def _star_batches(batches):
     for batch in batches:
         key, whole, lists = (batch.column(i) for i in range(3))
         offsets = lists.offsets.to_numpy()
-        for low, high in _parts(offsets):
+        for low, high in pieces(offsets):
             own = slice(int(offsets[low]), int(offsets[high]))
             layer, u, v = (lists.values.field(i).to_numpy()[own] for i in range(3))
             block = np.repeat(np.arange(high - low), np.diff(offsets[low : high + 1]))
@@ -285,7 +285,7 @@ def _chained(group, ids, after):
     return order, start, head, tail, best[head] < 0
 
 
-def _parts(offsets, limit=1 << 17):
+def pieces(offsets, limit=1 << 17):
     """Ranges of rows whose lists have about ``limit`` entries together, a row at least."""
     low = 0
     while low < len(offsets) - 1:
@@ -302,7 +302,7 @@ def _chain_batches(batches):
         lists = batch.column(4)
         offsets = lists.offsets.to_numpy()
         y, x0, x1, layer = (lists.values.field(i).to_numpy().astype(np.int64) for i in range(4))
-        for low, high in _parts(offsets):
+        for low, high in pieces(offsets):
             n = np.diff(offsets[low : high + 1])
             run = slice(int(offsets[low]), int(offsets[high]))
             square = np.repeat(np.arange(high - low), n)
@@ -443,7 +443,7 @@ def _simplified_batches(tolerance):
         for batch in batches:
             key, xs, ys = (batch.column(i) for i in range(3))
             offsets = xs.offsets.to_numpy()
-            for low, high in _parts(offsets):
+            for low, high in pieces(offsets):
                 own = slice(int(offsets[low]), int(offsets[high]))
                 start = (offsets[low : high + 1] - offsets[low]).astype(np.int64)
                 x, y = (c.values.to_numpy()[own].astype(float) for c in (xs, ys))

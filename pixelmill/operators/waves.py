@@ -1,19 +1,23 @@
 """Waves that meet the picture's subject: a signed distance field of the picture, and a pattern drawn over it.
 
 The subject is where a smoothed mask reaches a threshold; its boundary pixels are the
-seeds. On Spark the nearest seed of every pixel comes from jump flooding: in each round
-every pixel that knows a seed offers it to the eight pixels a step away, and each keeps
-the nearest it was offered (one grouped minimum a round, combined before the shuffle);
-steps halve from half the longer side. On DuckDB every pixel is compared with every seed
-of its image.
+seeds. On Spark the nearest seed of every pixel is found exactly, a way at a time: the
+nearest in its row by a window, then, of its column's rows, the one whose seed is nearest,
+for all columns of an Arrow batch at once. Tasks hold a row or a column of one image. On
+DuckDB every pixel is compared with every seed of its image.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
+
 from pixelmill.functions import color
 from pixelmill.functions.color import clamp, fract
+from pixelmill.operators.contours import pieces
 from pixelmill.operators.dithers import lightest_darkest
 from pixelmill.operators.palettes import paint
 from pixelmill.operators.pointwise import TAU, done
@@ -23,8 +27,8 @@ from pixelmill.plans.rel import SparkRel, num
 
 #: The distance where an image has no boundary.
 FAR = 1.0e9
-#: Rounds of jump flooding, and steps of a ray; fixed values.
-ROUNDS, STEPS = 15, 64
+#: Steps of a ray; a fixed value.
+STEPS = 64
 #: How far the subject's delay is felt, in wavelengths.
 BEND_REACH = 1.5
 
@@ -50,31 +54,62 @@ def subject(rel, source: str, threshold: float, invert: bool, smoothing: float):
     return rel.let(seed="case when " + " or ".join(f"inside <> {s}" for s in sides) + " then 1 else 0 end").drop(*sides)
 
 
-def _flooded(rel):
-    """(image, x, y, near): the seed each pixel ends with, as y * 65536 + x."""
-    from pyspark.sql import functions as F
-
-    from pixelmill.plans.scratch import settled
-
+def _lowest(entries, start, columns, heights):
+    """For every y of some columns the entry with the least d + (y - its y)**2, the first of equals.
+
+    ``entries`` has y and d, by column and y; ``start`` is where each column's begin. That entry never moves up as y
+    grows, so the middle y of a stretch halves the entries that either side needs: a level of halves a round.
+    """
+    ey, d = entries
+    first = np.cumsum(heights) - heights
+    out = np.empty(int(heights.sum()), np.int64)
+    column, low, high = columns, np.zeros(len(columns), np.int64), heights - 1
+    least, most = start[:-1], start[1:] - 1
+    while len(column):
+        y = (low + high) // 2
+        size = most - least + 1
+        begin = np.cumsum(size) - size
+        of = np.repeat(np.arange(len(size)), size)
+        e = np.arange(len(of)) - begin[of] + least[of]
+        cost = d[e] + (y[of] - ey[e]) ** 2
+        found = np.minimum.reduceat(np.where(cost == np.minimum.reduceat(cost, begin)[of], e, len(ey)), begin)
+        out[first[column] + y] = found
+        column, low, high = np.tile(column, 2), np.concatenate((low, y + 1)), np.concatenate((y - 1, high))
+        least, most = np.concatenate((least, found)), np.concatenate((found, most))
+        left = low <= high
+        column, low, high, least, most = (c[left] for c in (column, low, high, least, most))
+    return out
+
+
+def _column_batches(batches):
+    """The nearest seed of every pixel of a column, from each row's nearest one."""
+    for batch in batches:
+        key, x, h = (batch.column(i) for i in range(3))
+        x, h, lists = x.to_numpy(), h.to_numpy(), batch.column(3)
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        for low, high in pieces(offsets + np.concatenate(([0], np.cumsum(h)))):
+            own = slice(int(offsets[low]), int(offsets[high]))
+            start = offsets[low : high + 1] - offsets[low]
+            at = np.repeat(np.arange(high - low), np.diff(start))
+            y, sx = (lists.values.field(i).to_numpy()[own] for i in range(2))
+            order = np.lexsort((y, at))
+            y, sx = y[order], sx[order]
+            found = _lowest((y, (sx - x[low:high][at]) ** 2), start, np.arange(high - low), h[low:high])
+            ends = pa.array(np.concatenate(([0], np.cumsum(h[low:high]))), pa.int32())
+            near = pa.ListArray.from_arrays(ends, pa.array(y[found] * 65536 + sx[found]))
+            yield pa.RecordBatch.from_arrays([key.slice(low, high - low), batch.column(1).slice(low, high - low), near], names=["key", "x", "near"])
+
+
+def _seeded(rel):
+    """(image, x, y, near): the nearest seed of each pixel, the first of equals, as y * 65536 + x; none where an image has none."""
     k = image(rel)
-    now = settled(rel.df.where("seed = 1").select(*k, "x", "y", "w", "h", F.struct(F.lit(0).cast("long").alias("d"), (F.col("y") * 65536 + F.col("x")).alias("seed")).alias("best")))
-    longest = now.agg(F.max(F.greatest("w", "h"))).first()[0] or 1
-    sums = None
-    around = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)])
-    for level in range(ROUNDS):
-        step = F.greatest(F.expr(f"shiftright(greatest(w, h), {level + 1})"), F.lit(1))
-        told = now.select(*k, "w", "h", "x", "y", F.col("best.seed").alias("seed"), F.explode(around).alias("o"))
-        told = told.select(*k, "w", "h", (F.col("x") + F.col("o.dx") * step).alias("x"), (F.col("y") + F.col("o.dy") * step).alias("y"), "seed")
-        told = told.where("x >= 0 and y >= 0 and x < w and y < h")
-        dx, dy = F.expr("seed % 65536") - F.col("x"), F.expr("seed div 65536") - F.col("y")
-        told = told.select(*k, "w", "h", "x", "y", F.struct((dx * dx + dy * dy).cast("long").alias("d"), "seed").alias("offer"))
-        now = settled(told.groupBy(*k, "w", "h", "x", "y").agg(F.min("offer").alias("best")))
-        if longest >> (level + 1) <= 1:  # from here on all steps are 1: a round that changes nothing is the last
-            found = tuple(now.agg(F.count("*"), F.sum("best.d"), F.sum("best.seed")).first())
-            if found == sums:
-                break
-            sums = found
-    return SparkRel(now.select(*k, "x", "y", F.col("best.seed").alias("near")))
+    row = f"over (partition by {', '.join(k)}, y order by x rows between"
+    rel = rel.let(before=f"last(case when seed = 1 then x end, true) {row} unbounded preceding and current row)", after=f"first(case when seed = 1 then x end, true) {row} current row and unbounded following)")
+    rel = rel.let(sx="case when after is null or x - before <= after - x then before else after end").where("sx is not null")
+    columns = rel.df.groupBy(*k, "x", "h").agg(F.collect_list(F.struct("y", "sx")).alias("rows")).select(F.struct(*k).alias("key"), "x", "h", "rows")
+    kind = columns.schema["key"].dataType.simpleString()
+    found = columns.mapInArrow(_column_batches, f"key {kind}, x long, near array<long>").select("key.*", "x", F.posexplode("near").alias("y", "near"))
+    return SparkRel(found.select(*k, "x", F.col("y").cast("long").alias("y"), "near"))
 
 
 def _nearest(rel):
@@ -93,7 +128,7 @@ def distance_field(rel):
         from pixelmill.plans.scratch import settled
 
         rel = SparkRel(settled(rel.df))
-        near = _flooded(rel)
+        near = _seeded(rel)
     else:
         near = _nearest(rel)
     rel = rel.join(near, place(rel), "left").let(side="case when inside = 1 then -1.0 else 1.0 end")
@@ -123,8 +158,6 @@ def _source(rel, p):
 
 def _clear_spark(rel, wavelength: float):
     """(image, x, y, clear): how freely the source is seen. Rays advance by their clearance, all of them a step a job."""
-    from pyspark.sql import functions as F
-
     from pixelmill.plans.scratch import settled
 
     k = image(rel)

@@ -8,7 +8,7 @@ import pytest
 from pixelmill.operators import waves
 from pixelmill.operators.context import Context
 from pixelmill.operators.registry import apply
-from pixelmill.plans.rel import Spark
+from pixelmill.plans.rel import Spark, SparkRel
 
 SIZES = {(0, 0): (23, 17), (0, 1): (23, 17), (1, 0): (40, 9), (2, 0): (1, 1), (3, 0): (12, 12), (4, 0): (31, 33)}
 COLUMNS = ["image_id", "frame", "x", "y", "w", "h", "r", "g", "b", "a"]
@@ -49,6 +49,23 @@ def test_distance_field(rel):
                 assert (round(sx), round(sy)) in seeds
 
 
+def test_nearest_seed_is_the_first_of_equals(spark):
+    """Scattered seeds with many ties, by comparing all pairs, and without rounds: few jobs."""
+    rng = random.Random(1)
+    w, h = 37, 90
+    seeds = {(rng.randrange(w), rng.randrange(h)) for _ in range(60)}
+    df = spark.createDataFrame([(0, 0, x, y, w, h, int((x, y) in seeds)) for x in range(w) for y in range(h)], "image_id long, frame long, x long, y long, w long, h long, seed long")
+    spark.sparkContext.setJobGroup("seeded", "")
+    try:
+        found = {(r.x, r.y): r.near for r in waves._seeded(SparkRel(df.repartition(3))).df.collect()}
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("seeded")) <= 4
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    for x in range(w):
+        for y in range(h):
+            assert found[x, y] == min(((sx - x) ** 2 + (sy - y) ** 2, sy * 65536 + sx) for sx, sy in seeds)[1]
+
+
 def test_smoothing_repeats_the_edges(rel):
     """A box of radius 3 over a mask whose borders go on: few specks are left, and a flat image stays flat."""
     found = waves.subject(rel, "alpha", 0.5, False, 3.0).df.collect()
