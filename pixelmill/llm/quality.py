@@ -35,14 +35,14 @@ from .common import SPACES, Table
 
 SYMBOLS = "#*$%&|<>"
 GRAM = 8
-#: name -> measure; each is 0 for an ordinary text and near 1 for a bad one.
+#: name -> measure; each is 0 for an ordinary text and near 1 for a bad one, null for a text without words.
 RULES = {
-    "symbols": "n_symbols / n_words",
-    "bangs": "n_bangs / n_words",
-    "capitals": "n_capitals / word_chars",
-    "same_lines": "n_dup_lines / n_lines",
-    "same_words": "n_repeat_words / n_words",
-    "few_kinds": "1 - n_distinct / n_words",
+    "symbols": "try_divide(n_symbols, n_words)",
+    "bangs": "try_divide(n_bangs, n_words)",
+    "capitals": "try_divide(n_capitals, word_chars)",
+    "same_lines": "try_divide(n_dup_lines, n_lines)",
+    "same_words": "try_divide(n_repeat_words, n_words)",
+    "few_kinds": "1 - try_divide(n_distinct, n_words)",
 }
 #: Cutoffs of every rule, most lenient first.
 CUTOFFS = [0.95, 0.9, 0.85, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.12, 0.1, 0.08, 0.05]

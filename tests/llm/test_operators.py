@@ -369,6 +369,20 @@ def test_quality_measures(docs, none):
     assert quality.apply_rules(none, labels).count() == 0
 
 
+def test_quality_rules_stand_texts_without_words(spark):
+    """Empty, blank and null texts fail the fixed rules, whole rows of the result included; the learned rules still hold for the rest."""
+    rng = random.Random(3)
+    good = [(i, prose(rng, 30), "en", 1) for i in range(2500)]
+    bad = [(5000 + i, " ".join(w + "***" for w in prose(rng, 30).split()), "en", 0) for i in range(300)]
+    bare = [(9000 + i, t, s, i % 2) for i, t in enumerate([None, "", " \n\t ", "\n\n"]) for s in ("en", None)]
+    docs = spark.createDataFrame([r[:3] for r in good + bad + bare], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in good + bad + bare], "doc_id long, quality int")
+    got = quality.apply_rules(docs, labels).collect()
+    assert len(got) == 2808 and {r.doc_id for r in got if r.kept} == set(range(2500))
+    empty = [r for r in got if r.doc_id >= 9000]
+    assert all((r.n_words, r.word_chars, r.base_failed, r.kept, r.failed_rules) == (0, 0, True, False, "") for r in empty)
+
+
 def test_binomial_tail_is_exact(spark):
     import math
 
