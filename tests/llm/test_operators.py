@@ -440,6 +440,55 @@ def test_decontamination(spark, none):
     assert decontaminate.contaminated(none, bench).count() == 0
 
 
+def test_every_word_is_fitted(spark):
+    """Words that stand in one passage only, in short documents or at the end of a document have their place in the basis; no passage is left to a sample."""
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"c{x}" for x in rng.integers(0, 60, 48 * 16)) for _ in range(1500)]
+    rare = {k: f"rare{k}" for k in range(0, 1500, 5)}
+    for k, w in rare.items():  # amid one of 16 passages, or in the last words
+        own = texts[k].split()
+        own[48 * (k // 5 % 16) + 7 if k % 2 else len(own) - 1] = w
+        texts[k] = " ".join(own)
+    short = [f"c{k} c{k + 1} brief{k}" for k in range(20)]
+    texts = [*texts, *[x + " " + " ".join(f"d{k}" for k in range(8)) + f" tail{len(x)}" for x in texts[:20]], *short]
+    table = spark.createDataFrame([(i, x.astype(np.uint32).tobytes()) for i, x in enumerate(decontaminate.hashed(texts))], "doc_id long, tokens binary")
+    basis, idf = decontaminate.latent_basis(table, features=4096, rank=16)
+    there = np.unique(np.concatenate(decontaminate.hashed(texts)) % 4096)
+    assert np.all((np.abs(basis[there]).max(axis=1) > 0) == (idf[there] > 0)) and (idf[there] > 0).sum() > 300
+
+
+def test_latent_basis_finds_the_first_directions(spark):
+    """Against the eigenvectors of all passages, the fit holds nearly as much of them; few documents, or none, need no directions."""
+    rng = np.random.default_rng(9)
+    texts = [" ".join(f"t{k % 12}w{x}" if u < 0.7 else f"c{x}" for x, u in zip(rng.integers(0, 40, n), rng.random(n), strict=True)) for k, n in enumerate(rng.integers(1, 400, 600))]
+    lists = decontaminate.hashed(texts)
+    table = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(lists)], "doc_id long, tokens binary")
+    basis, idf = decontaminate.latent_basis(table, features=512, rank=12)
+    rows = []
+    for t in lists:
+        parts = max(1, (len(t) + 24) // 48)
+        for k in range(parts):
+            a = np.bincount(t[k * len(t) // parts : (k + 1) * len(t) // parts] % 512, minlength=512) * idf
+            rows.append(a / max(np.linalg.norm(a), 1e-9))
+    a = np.array(rows)
+    own = np.linalg.qr(basis / np.where(idf > 0, idf, 1)[:, None])[0]
+    best = np.linalg.svd(a, compute_uv=False)[:12]
+    assert basis.shape == (512, 12) and np.sum((a @ own) ** 2) > 0.97 * np.sum(best**2)
+    assert decontaminate.latent_basis(table.limit(0), features=512, rank=12)[0].shape == (512, 0)
+
+
+def test_decontamination_of_short_or_single_documents(spark):
+    """Documents too short for a whole passage, and one document alone, are searched like any other."""
+    rng = random.Random(24)
+    item = prose(rng, 16)
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    short = [(i, prose(rng, 20)) for i in range(9)] + [(9, "so " + item)]
+    for rows in (short, [(3, item)], [(3, item), (4, item)]):
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench, rank=16).collect()}
+        assert got == {(i, 7) for i, t in rows if item in t}
+
+
 def test_decontamination_drops_rows_without_id(spark):
     rng = random.Random(19)
     item = prose(rng, 40)
