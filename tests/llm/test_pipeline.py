@@ -262,3 +262,17 @@ def test_every_stage_and_the_whole(spark, corpus):
         seen.append(name)
     assert seen == list(stages) and len(seen) == 5
     assert Counter(map(tuple, corpus_pipeline.run(spark, folder).collect())) == Counter(map(tuple, docs.collect()))
+
+
+def test_benchmark_passages_are_found_in_short_documents(spark, tmp_path):
+    """The stage takes its directions from every document: where all are short, or all but one went before, none is passed over."""
+    import corpus_pipeline
+
+    rng = random.Random(53)
+    item = prose(rng, 16)
+    spark.createDataFrame([(7, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    clean = [(i, prose(rng, 20), "en", "web", 1) for i in range(8)]
+    for rows in ([*clean, (8, "so " + item, "en", "web", 1)], [(8, item, "en", "web", 1)]):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+        left = corpus_pipeline.benchmark_passages(spark, docs, str(tmp_path)).collect()
+        assert sorted(r.doc_id for r in left) == [r[0] for r in rows if r[0] < 8]
